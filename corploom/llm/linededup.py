@@ -82,8 +82,9 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     kept and dropped lines by turns.  Rows with a null doc_id keep all lines.
     """
     occ = materialize(occurrences(docs.where(F.col("doc_id").isNotNull()), min_chars), "lines")
-    # no hint: a line in a third of all documents is split by the adaptive skew join
-    lost = occ.join(keepers(occ, min_docs), "key").where(F.col("doc_id") != F.col("keeper"))
+    # a written table, so that both sides of the join are plain exchanges: the adaptive skew join can then split a line of a third of all documents
+    kept = materialize(keepers(occ, min_docs), "keepers")
+    lost = occ.join(kept, "key").where(F.col("doc_id") != F.col("keeper"))
     per_doc = lost.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.col("pos").cast("int"))).alias("dropped"))
     return per_doc.select("doc_id", F.size("dropped").cast("long").alias("n_dropped"), _runs(F.col("dropped")).alias("bitmap"))
 
