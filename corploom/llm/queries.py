@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anomaly, boosting, bpe, linededup
+from . import anomaly, boosting, bpe, langid, linededup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,16 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boosting.classify(docs, labels).select("doc_id", "held_out", "score", "predicted")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    return toxicity.score(docs, labels).select("doc_id", "held_out", "score", "predicted", "worst_clause", "clause_weight")
+
+
 def vocabulary_path() -> str:
     """The byte-level BPE vocabulary among the installed public tokenizers."""
     import public_tokenizers
@@ -69,7 +79,9 @@ FROM m GROUP BY doc_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_language_id": op5_language_id,
     "op6_bpe": op6_bpe,
+    "op7_toxicity": op7_toxicity,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
