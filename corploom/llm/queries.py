@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anomaly, boosting, bpe, langid, linededup, ngram_join, toxicity
+from . import anomaly, boosting, bpe, covertree, langid, linededup, ngram_join, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, labels).select("doc_id", "held_out", "score", "predicted", "worst_clause", "clause_weight")
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def vocabulary_path() -> str:
     """The byte-level BPE vocabulary among the installed public tokenizers."""
     import public_tokenizers
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_bpe": op6_bpe,
     "op7_toxicity": op7_toxicity,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
