@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anomaly, boosting, bpe, covertree, langid, linededup, ngram_join, toxicity
+from . import anomaly, boosting, bpe, covertree, langid, linededup, mixing, ngram_join, toolcalls, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,39 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anomaly.apply_rules(docs, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "anomaly", "kept")
 
 
+#: Tools that plain turns stand for, and their parameters.
+TURN_TOOLS = {"instruct": {"prompt": ("string", True), "turn": ("integer", True)}, "reply": {"prompt": ("string", True), "turn": ("integer", True)}}
+
+
+def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = toolcalls.from_turns(_table(spark, sf_dir, "conversations"))
+    return toolcalls.link(calls, results, TURN_TOOLS).select("conv_id", "call_id", "rank", "turn", "status", F.size("errors").cast("long").alias("n_errors"), "line")
+
+
+_OP2_SQL = """
+WITH asked AS (
+  SELECT conv_id, turn, role, text, 'c' || conv_id || '-' || turn AS call_id FROM conversations WHERE role IN ('system', 'user')
+), said AS (
+  SELECT conv_id, turn, text, 'c' || conv_id || '-' || (turn - 1) AS call_id FROM conversations WHERE role = 'assistant'
+), linked AS (
+  SELECT a.conv_id, a.call_id, a.turn, a.role, a.text, s.text AS content, s.call_id IS NOT NULL AS answered,
+         a.turn > 0 AND EXISTS (SELECT 1 FROM asked o WHERE o.conv_id = a.conv_id AND o.turn = 0) AS waits,
+         a.turn > 0 AND NOT EXISTS (SELECT 1 FROM asked o WHERE o.conv_id = a.conv_id AND o.turn = 0) AS lost
+  FROM asked a LEFT JOIN said s ON s.conv_id = a.conv_id AND s.call_id = a.call_id
+)
+SELECT conv_id, call_id, CAST(CASE WHEN waits THEN 1 ELSE 0 END AS BIGINT) AS rank, turn,
+       CASE WHEN lost THEN 'invalid' WHEN NOT answered THEN 'unanswered' ELSE 'linked' END AS status,
+       CAST(CASE WHEN lost THEN 1 ELSE 0 END AS BIGINT) AS n_errors,
+       '{"arguments":{"prompt":' || CAST(to_json(text) AS VARCHAR) || ',"turn":' || turn || '},"id":' || CAST(to_json(call_id) AS VARCHAR) || ',"name":"'
+         || CASE WHEN role = 'system' THEN 'instruct' ELSE 'reply' END || '"' || CASE WHEN answered THEN ',"result":' || CAST(to_json(content) AS VARCHAR) ELSE '' END || '}' AS line
+FROM linked
+UNION ALL
+SELECT s.conv_id, s.call_id, CAST(NULL AS BIGINT), s.turn, 'orphan', CAST(0 AS BIGINT),
+       '{"id":' || CAST(to_json(s.call_id) AS VARCHAR) || ',"result":' || CAST(to_json(s.text) AS VARCHAR) || '}'
+FROM said s WHERE NOT EXISTS (SELECT 1 FROM asked a WHERE a.conv_id = s.conv_id AND a.call_id = s.call_id)
+"""
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=90)
 
@@ -42,6 +75,75 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.93)
 
 
+MIX_LEVELS = ["domain", "lang", "source"]
+MIX_WEIGHTS = {"domain": {"web": 3, "books": 2, "forum": 1}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 2}}
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.75, 2, 20
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    """docs with the domain that a source belongs to: by the number in its name."""
+    n = F.try_to_number(F.regexp_extract("source", "([0-9]+)$", 1), F.lit("999999999")).cast("long")
+    return docs.withColumn("domain", F.when(n <= 6, "web").when(n <= 13, "books").otherwise("forum"))
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_domain(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return mixing.choose(docs, MIX_LEVELS, MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED).select("doc_id", "domain", "lang", "source", "copies")
+
+
+_OP9_LEVEL = """
+{name}_n AS (
+  SELECT {path}, sum(capacity)::BIGINT AS capacity, {weight} AS weight FROM leaves GROUP BY {path}
+), {name}_s AS (
+  SELECT n.*, p.budget AS parent_budget,
+         coalesce(sum(capacity) OVER (PARTITION BY {parent} ORDER BY capacity / weight, n.{level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent,
+         sum(weight) OVER (PARTITION BY {parent}) - coalesce(sum(weight) OVER (PARTITION BY {parent} ORDER BY capacity / weight, n.{level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open_weight,
+         row_number() OVER (PARTITION BY {parent} ORDER BY capacity / weight, n.{level}) AS nth
+  FROM {name}_n n JOIN {above} p ON {on}
+), {name}_l AS (
+  SELECT *, (parent_budget - spent)::DOUBLE / open_weight::DOUBLE AS lift FROM {name}_s
+), {name}_a AS (
+  SELECT *, min(CASE WHEN lift <= capacity::DOUBLE / weight::DOUBLE THEN nth END) OVER (PARTITION BY {parent0}) AS spot FROM {name}_l
+), {name}_f AS (
+  SELECT *, max(CASE WHEN nth = spot THEN lift END) OVER (PARTITION BY {parent0}) AS level_lift FROM {name}_a
+), {name} AS (
+  SELECT {path}, greatest(0, CASE WHEN spot IS NULL OR nth < spot THEN capacity ELSE least(capacity, floor(level_lift * weight::DOUBLE)::BIGINT) END)::BIGINT AS budget FROM {name}_f
+)"""
+
+
+def _op9_sql() -> str:
+    weight = lambda level: "CASE " + " ".join(f"WHEN {level} = '{k}' THEN {v}" for k, v in MIX_WEIGHTS.get(level, {"": 1}).items()) + " ELSE 1 END"
+    steps = []
+    for n, level in enumerate(MIX_LEVELS):
+        up = MIX_LEVELS[:n]
+        steps.append(_OP9_LEVEL.format(
+            name=f"b{n}", path=", ".join(MIX_LEVELS[: n + 1]), weight=weight(level), level=level, above=f"b{n - 1}" if n else "total",
+            parent=", ".join(f"n.{c}" for c in up) or "1", parent0=", ".join(up) or "1", on=" AND ".join(f"n.{c} = p.{c}" for c in up) or "true",
+        ))
+    space = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source, lang AS lang0, source AS source0,
+         CASE WHEN try_cast(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) <= 6 THEN 'web' WHEN try_cast(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) <= 13 THEN 'books' ELSE 'forum' END AS domain,
+         CASE WHEN trim(coalesce(text, ''), {space}) = '' THEN 0 ELSE len(string_split_regex(trim(text, {space}), '[ \t-\r]+')) END::BIGINT AS n_tokens
+  FROM documents
+), leaves AS (
+  SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, (sum(n_tokens) * {MIX_EPOCHS})::BIGINT AS capacity FROM d GROUP BY ALL
+), total AS (SELECT floor(sum(tokens)::DOUBLE * {MIX_SHARE})::BIGINT AS budget FROM leaves),
+{",".join(steps)},
+e AS (
+  SELECT l.*, b.budget, CASE WHEN tokens > 0 THEN b.budget // tokens ELSE 0 END AS epochs, b.budget - CASE WHEN tokens > 0 THEN b.budget // tokens ELSE 0 END * tokens AS rest
+  FROM leaves l JOIN b2 b ON l.domain = b.domain AND l.lang = b.lang AND l.source = b.source
+), r AS (
+  SELECT d.*, e.epochs, e.rest, md5('{MIX_SEED}:' || e.epochs || ':' || d.doc_id) AS draw
+  FROM d JOIN e ON d.domain = e.domain AND d.lang = e.lang AND d.source = e.source
+), c AS (
+  SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY draw RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM r
+)
+SELECT doc_id, domain, lang0 AS lang, source0 AS source, (epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END)::BIGINT AS copies FROM c
+"""
+
+
 def vocabulary_path() -> str:
     """The byte-level BPE vocabulary among the installed public tokenizers."""
     import public_tokenizers
@@ -86,14 +188,18 @@ FROM m GROUP BY doc_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_tool_calls": op2_tool_calls,
     "op3_ngram_join": op3_ngram_join,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_language_id": op5_language_id,
     "op6_bpe": op6_bpe,
     "op7_toxicity": op7_toxicity,
     "op8_embedding_dedup": op8_embedding_dedup,
+    "op9_source_mixing": op9_source_mixing,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_tool_calls": _OP2_SQL,
+    "op9_source_mixing": _op9_sql(),
     "op10_line_dedup": _OP10_SQL,
 }

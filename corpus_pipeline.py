@@ -1,18 +1,70 @@
-"""The corpus pipeline: stages that each apply one operator to all that the stage before kept."""
+"""The corpus pipeline: stages that each apply one operator to all that the stage before kept.
+
+Each stage takes (spark, docs, sf_dir), where docs has the columns of documents,
+and returns a DataFrame; all but the last return those columns again.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corploom.llm import bpe, linededup, mixing, ngram_join, queries, toxicity
+from corploom.llm.work import materialize
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+MIX_SHARE = 0.9  # part of the tokens that the mixture keeps
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity grammar rejects go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.score(docs.select(*COLUMNS), labels).where("predicted = 0").select(*COLUMNS)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines stay in one document; texts and n_chars change."""
+    kept = linededup.dedup_lines(docs.select(*COLUMNS))
+    return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.char_length("kept_text").cast("long").alias("n_chars"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose five-word shingles are alike to 0.8 stays: the least doc_id."""
+    first = ngram_join.jaccard_components(docs, k=5, percent=80).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(first, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources in their target weights, no document more than once."""
+    chosen = mixing.choose(queries.with_domain(docs.select(*COLUMNS)), queries.MIX_LEVELS, queries.MIX_WEIGHTS, MIX_SHARE, 1, queries.MIX_SEED)
+    return chosen.where("copies > 0").select(*COLUMNS)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left, with the digest of the text that they decode to."""
+    path = queries.vocabulary_path()
+    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path).select("doc_id", "lang", "source", "ids"), path)
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("mixing sources to target weights", mix),
+    ("BPE encoding and decoding", tokenize),
+]
+#: Toxicity and near duplicates aren't SQL; the stages are tested against brute-force versions instead.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply STAGES to the documents table."""
+    """Apply STAGES to the documents table; between stages the documents are written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for n, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if n + 1 < len(STAGES):
+            docs = materialize(docs, "stage")
     return docs
