@@ -1 +1 @@
-
+"""A full-text retrieval and corpus-analytics engine on Spark DataFrames."""
