@@ -42,26 +42,23 @@ def nfc(text: Column) -> Column:
 
 @lru_cache(maxsize=1)
 def _fold_tables() -> tuple[str, str, list[tuple[str, str]]]:
-    """Where case folding differs from lower case: single characters, and those that become several."""
+    """What case folding still changes in lower-case text: single characters, and those that become several."""
     single, several = [], []
     for c in map(chr, range(sys.maxunicode + 1)):
-        folded = c.casefold()
-        if folded != c.lower():
-            (single if len(folded) == 1 else several).append((c, folded))
+        if c.lower() == c and c.casefold() != c:
+            (single if len(c.casefold()) == 1 else several).append((c, c.casefold()))
     return "".join(a for a, _ in single), "".join(b for _, b in single), several
 
 
 def casefold(text: Column) -> Column:
     """Full Unicode case folding: lower case and sharp s on the common path, the complete tables where a text has a rarer character."""
-    common = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    low = F.lower(text)
     old, new, several = _fold_tables()
-    rare = text.rlike(r"[^\x{0}-\x{B4}\x{B6}-\x{12F}\x{131}-\x{148}\x{14A}-\x{17E}\x{400}-\x{52F}\x{2000}-\x{2116}]")
-    full = F.translate(text, old, new)
+    rare = text.rlike(r"[^\x{0}-\x{B4}\x{B6}-\x{148}\x{14A}-\x{17E}\x{400}-\x{52F}\x{2000}-\x{2116}]")
+    full = F.translate(low, old, new)
     for c, folded in several:
         full = F.replace(full, F.lit(c), F.lit(folded))
-    # İ becomes i and a combining dot in either way of folding
-    full = F.lower(F.replace(full, F.lit("İ"), F.lit("i̇")))
-    return F.when(rare, F.replace(full, F.lit("ς"), F.lit("σ"))).otherwise(common)
+    return F.when(rare, full).otherwise(F.replace(low, F.lit("ß"), F.lit("ss")))
 
 
 def fold_signs(text: Column) -> Column:
