@@ -193,14 +193,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, block_rows: int =
 
     Rows are compared when their labels are equal and not null and their vectors
     are as long.  A vector that is null, empty, zero, or has null or non-finite
-    components links with nothing.  kept: the row is the least of its component.
+    components links with nothing, nor does one without a vec_id.  kept: the row is the least of its component.
     Equal vectors link with each other and are compared once; an empty table
     gives an empty result.
     """
     spark = vectors.sparkSession
     small_batches(spark, rows=4000)
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
-    sound = F.col("label").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf")))) & F.exists("v", lambda c: c != 0)
+    sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf")))) & F.exists("v", lambda c: c != 0)
     rows = rows.withColumn("ok", F.coalesce(sound, F.lit(False)))
     # -0.0 and 0.0 are one component; the text of the numbers is the key of equal vectors
     usable = rows.where("ok").select("vec_id", "label", F.transform("v", lambda c: c + F.lit(0.0)).alias("v")).withColumn("key", F.sha2(F.to_json(F.struct("label", "v")), 256))
@@ -212,10 +212,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, block_rows: int =
     pivots = ranked.groupBy("label", "dim", "salt").agg(F.min_by("v", F.struct("h", "rep")).alias("p")).groupBy("label", "dim").agg(F.collect_list("p").alias("pivots"))
 
     @F.pandas_udf("region int, apart double")
-    def nearest(v: pd.Series, pivots: pd.Series) -> pd.DataFrame:
+    def nearest(label: pd.Series, v: pd.Series, pivots: pd.Series) -> pd.DataFrame:
         region, apart, known = np.zeros(len(v), np.int32), np.zeros(len(v)), {}
-        for i, (a, p) in enumerate(zip(v, pivots, strict=True)):
-            key = (len(p), np.asarray(p[0]).tobytes())
+        for i, (name, a, p) in enumerate(zip(label, v, pivots, strict=True)):
+            key = (name, len(a))
             if key not in known:
                 known[key] = _unit(list(p))
             dots = known[key] @ _unit([a])[0]
@@ -223,7 +223,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, block_rows: int =
             apart[i] = np.sqrt(max(0.0, 2 - 2 * dots[region[i]]))
         return pd.DataFrame({"region": region, "apart": apart})
 
-    placed = group.join(pivots, ["label", "dim"]).withColumn("at", nearest("v", "pivots"))
+    placed = group.join(pivots, ["label", "dim"]).withColumn("at", nearest("label", "v", "pivots"))
     placed = materialize(placed.select("label", "dim", "rep", "copies", "v", F.col("at.region").alias("region"), F.col("at.apart").alias("apart"), F.get(F.col("pivots"), F.col("at.region")).alias("pivot")), "placed")
     sizes = placed.groupBy("label", "dim", "region").agg(F.count(F.lit(1)).alias("n"), F.max("apart").alias("radius"), F.first("pivot").alias("pivot"))
     sizes = materialize(sizes.withColumn("parts", F.ceil(F.col("n") / block_rows).cast("int")), "regions")
@@ -231,16 +231,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, block_rows: int =
 
     chord = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
 
-    @F.pandas_udf("boolean")
-    def meets(p: pd.Series, r: pd.Series, q: pd.Series, s: pd.Series) -> pd.Series:
-        if not len(p):
-            return pd.Series([], dtype=bool)
-        d = np.sqrt(((_unit(list(p)) - _unit(list(q))) ** 2).sum(axis=1))
-        return pd.Series(d - r.to_numpy() - s.to_numpy() <= chord + 1e-6)
-
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda i, j: i * j), F.lit(0.0), lambda t, i: t + i)
+    p, q = F.col("a.pivot"), F.col("b.pivot")
+    between = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot(p, q) / F.sqrt(dot(p, p)) / F.sqrt(dot(q, q))))
+    # components too large to be squared give no bound, and such blocks meet
+    meets = F.isnan(between) | (between - F.col("a.radius") - F.col("b.radius") <= chord + 1e-6)
     a, b = blocks.alias("a"), blocks.alias("b")
     near = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.dim") == F.col("b.dim")) & (F.col("a.block") <= F.col("b.block")))
-    near = near.where(meets("a.pivot", "a.radius", "b.pivot", "b.radius")).select(F.col("a.block").alias("left"), F.col("b.block").alias("right"))
+    near = near.where(meets).select(F.col("a.block").alias("left"), F.col("b.block").alias("right"))
     tasks = materialize(near.withColumn("task", F.concat_ws("|", "left", "right")), "tasks")
     ends = tasks.select("task", F.col("left").alias("block"), F.lit(0).alias("side")).union(tasks.where("left <> right").select("task", F.col("right").alias("block"), F.lit(1).alias("side")))
     parts = sizes.select("label", "dim", "region", "parts")

@@ -115,7 +115,7 @@ def choose(docs: DataFrame, levels: list[str], weights: Mapping[str, Mapping[str
     placed = named.join(leaf, path)
     bucket = F.substring(draw(F.col("doc_id"), seed, F.col("__epochs")), 1, BUCKET_DIGITS)
     placed = placed.withColumn("__bucket", bucket)
-    match = [placed[c] == edge[c] for c in path] + [F.coalesce(placed["doc_id"], F.lit(-1)) == F.coalesce(edge["__won"], F.lit(-1)), placed["__bucket"] == placed["__end"]]
+    match = [placed[c] == edge[c] for c in path] + [placed["doc_id"].eqNullSafe(edge["__won"]), placed["__bucket"] == placed["__end"]]
     on = match[0]
     for m in match[1:]:
         on &= m

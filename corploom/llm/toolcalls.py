@@ -46,7 +46,8 @@ def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(calls, results) of a plain conversation: every system and user turn is a call, every assistant turn the result of the turn before.
 
     A user turn's call depends on turn 0's, the conversation's opening, so that the
-    opening comes first whatever order the rows have.
+    opening comes first whatever order the rows have.  Rows without a conv_id, a
+    turn or a known role make neither.
     """
     name = F.when(F.col("role") == "system", "instruct").otherwise("reply")
     asked = turns.where(F.col("role").isin("system", "user") & F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
@@ -110,15 +111,17 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     ``duplicate`` (a later call of a used identifier); ``cycle`` (no order exists);
     ``orphan`` (a result of no call).  The first of these that applies counts, in the order
     duplicate, cycle, invalid, unanswered.  Of several results of one call the
-    earliest counts.  What a call needs and no call provides is an error.
+    earliest counts.  A call without an identifier is invalid; calls that are equal
+    in identifier, turn and position are told as often as they occur.  What a call needs and no call provides is an error.
     line is canonical JSON: keys sorted at every depth, no spaces, values as
     parsed; an argument text that isn't JSON appears as a string.  rank and turn
     order a conversation's lines.
     """
     key = ["conv_id", "call_id"]
+    named = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
     # the first call of an identifier, by aggregation: no window over a conversation
     first = calls.groupBy(*key).agg(F.min(F.struct("turn", "pos")).alias("at"))
-    calls = calls.join(first, key, "left").withColumn("duplicate", ~F.coalesce((F.col("turn") == F.col("at.turn")) & (F.col("pos") == F.col("at.pos")), F.lit(False))).drop("at")
+    calls = calls.join(first, key, "left").withColumn("duplicate", ~F.coalesce((F.col("turn") == F.col("at.turn")) & (F.col("pos") == F.col("at.pos")), F.lit(False)) & named).drop("at")
     answer = results.groupBy(*key).agg(F.min_by(F.struct("content", F.col("turn").alias("t")), F.struct("turn", "content")).alias("answer"))
     needs = materialize(calls.where("not duplicate").select(*key, F.explode(F.array_distinct("depends_on")).alias("needs")), "needs")
     there = first.select("conv_id", F.col("call_id").alias("needs"))
@@ -128,7 +131,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     waits = known.select(*key).distinct().withColumn("waits", F.lit(True))
     joined = calls.join(answer, key, "left").join(ranks, key, "left").join(waits, key, "left").join(lost, key, "left")
     rank = F.coalesce("rank", F.when(F.col("waits").isNull(), 0)).cast("long")
-    errors = F.concat(argument_errors(F.col("name"), F.col("arguments"), schemas), F.coalesce("lost", F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    errors = F.concat(argument_errors(F.col("name"), F.col("arguments"), schemas), F.coalesce("lost", none), F.when(named, none).otherwise(F.array(F.lit("id: missing"))))
     status = F.when(F.col("duplicate"), "duplicate").when(rank.isNull(), "cycle").when(F.size(errors) > 0, "invalid").when(F.col("answer").isNull(), "unanswered").otherwise("linked")
     parsed = F.coalesce(F.try_parse_json("arguments"), F.try_variant_get(F.try_parse_json(F.to_json(F.array("arguments"))), "$[0]", "variant"))
     line = F.to_json(F.struct(parsed.alias("arguments"), F.col("call_id").alias("id"), F.col("name").alias("name"), F.col("answer.content").alias("result")))
