@@ -10,9 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from corploom.shipping import ship
+
 
 def size(n: Column) -> Column:
     """Bytes of a non-negative integer: one for every seven bits."""
@@ -64,6 +66,9 @@ def decode_postings(block: bytes) -> np.ndarray:
 def decode_block(block: Column) -> Column:
     """array<bigint> of the docnums of a packed block."""
 
+    if (spark := SparkSession.getActiveSession()) is not None:
+        ship(spark)
+
     @F.pandas_udf("array<bigint>")
     def unpack(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
