@@ -14,6 +14,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corploom.shipping import ship
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -33,6 +35,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_root(spark)}/work-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _made.append((spark, path))
+    # the plan that wrote the table is garbage now; collecting it lets Spark delete its shuffle files before the next step fills the disks
+    spark.sparkContext._jvm.System.gc()  # noqa: SLF001
     out = spark.read.schema(df.schema).parquet(path)
     out._work_path = path  # noqa: SLF001
     return out
@@ -62,7 +66,8 @@ atexit.register(_sweep)
 
 
 def small_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
-    """Bound the Arrow batches that Python workers get, in rows and in bytes (long texts)."""
+    """Ready Python workers: they can import this package, and their Arrow batches are bounded in rows and in bytes (long texts)."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
