@@ -12,7 +12,9 @@ join runs over one representative of each.
   position and a summary of the rest: its shingle counts in 8 hash classes.
 * Pairs from a shared prefix shingle pass the length filter, the positional filter
   (what can still overlap behind the shared position) and the suffix filter (the
-  summaries' distance bounds the sets' symmetric difference from below).
+  summaries' distance bounds the sets' symmetric difference from below): first on
+  the entries' 8 classes, then, once a pair, on fine summaries of a class for about
+  16 shingles, which long documents need.
 * Each surviving pair is verified once on the whole sets.
 
 A result by component doesn't need every pair of a dense group.  So a first round
@@ -34,15 +36,17 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .textkernel import buffers, chunks, mix, shingles, words
-from .work import materialize, small_batches
+from .work import materialize, release, small_batches
 
 SKETCH_BITS = 17  # counters of the frequency sketch: 2 ** 17, whatever the corpus
-CLASSES = 8  # hash classes of the suffix filter's summaries
+BROADCAST_IDS = 1_000_000  # ids (8 bytes each) that may be broadcast; beyond it they are shuffled
+CLASSES = 8  # hash classes of the coarse summary that entries carry
+FINE_CLASSES = (8, 4096)  # fewest and most classes of a document's fine summary: about one for 16 shingles
 
 
-def document_sets(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
+def document_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(distinct shingle hashes, bounds): those of each text ascending, one text after another."""
-    data, bounds = buffers(batch.column("text"))
+    data, bounds = buffers(column)
     w = words(data, bounds, lower=True)
     h, doc = shingles(w, w.hashes(), k)
     # ascending within each text: sort by hash, then stably by text
@@ -52,7 +56,7 @@ def document_sets(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray
     fresh = np.ones(len(h), dtype=bool)
     fresh[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     h, doc = h[fresh], doc[fresh]
-    return h, np.searchsorted(doc, np.arange(batch.num_rows + 1))
+    return h, np.searchsorted(doc, np.arange(len(column) + 1))
 
 
 def frequency_sketch(docs: DataFrame, k: int, bits: int = SKETCH_BITS) -> np.ndarray:
@@ -63,7 +67,7 @@ def frequency_sketch(docs: DataFrame, k: int, bits: int = SKETCH_BITS) -> np.nda
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, dtype=np.int64)
         for batch in chunks(batches):
-            h, _ = document_sets(batch, k)
+            h, _ = document_sets(batch.column("text"), k)
             total += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
         run_size = len(total) // parts
         for p in range(parts):
@@ -91,15 +95,21 @@ def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
 
 
+def fine_classes(n: np.ndarray) -> np.ndarray:
+    """Classes of a fine summary of n shingles: the power of two nearest n / 16, within FINE_CLASSES."""
+    power = np.round(np.log2(np.maximum(n, 1) / 16)).astype(np.int64)
+    return np.clip(1 << np.maximum(power, 0), *FINE_CLASSES)
+
+
 def signatures(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """(doc_id, n, set_key, prefix, summary) of every document: prefix in rare-first order."""
+    """(doc_id, n, set_key, prefix, summary, fine) of every document: prefix in rare-first order."""
     bits = int(len(sketch)).bit_length() - 1
     level = np.floor(np.log2(np.maximum(sketch, 1) / max(1.0, float(np.median(sketch))) + 1e-9) * 8).astype(np.int64)
     level = (np.maximum(level, 0)).astype(np.uint64)  # counters near the median are equally rare
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            h, bounds = document_sets(batch, k)
+            h, bounds = document_sets(batch.column("text"), k)
             n = np.diff(bounds)
             doc = np.repeat(np.arange(len(n)), n)
             keys = np.zeros((len(n), 2), dtype=np.uint64)
@@ -116,28 +126,22 @@ def signatures(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> Dat
             chosen = h[order][take]
             own = np.bincount(doc * CLASSES + (h & np.uint64(CLASSES - 1)).astype(np.int64), minlength=len(n) * CLASSES).reshape(-1, CLASSES)
             p_bounds = np.concatenate([[0], np.cumsum(prefix_size(n, percent))])
+            width = fine_classes(n)
+            f_bounds = np.concatenate([[0], np.cumsum(width)])
+            # a class is the hash's low bits, so half as many classes are the sums of pairs; counts stop at 127, halves too, so equal sets always have equal counts
+            fine = np.bincount(f_bounds[:-1][doc] + (h & (width[doc] - 1).astype(np.uint64)).astype(np.int64), minlength=f_bounds[-1])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), pa.array(n.astype(np.int64)),
                     pa.array([r.tobytes() if m else None for r, m in zip(keys, n, strict=True)], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(p_bounds.astype(np.int32)), pa.array(chosen.view(np.int64))),
                     pa.ListArray.from_arrays(pa.array((np.arange(len(n) + 1) * CLASSES).astype(np.int32)), pa.array(own.reshape(-1).astype(np.int32))),
+                    pa.ListArray.from_arrays(pa.array(f_bounds.astype(np.int32)), pa.array(np.minimum(fine, 127).astype(np.int8))),
                 ],
-                ["doc_id", "n", "set_key", "prefix", "summary"],
+                ["doc_id", "n", "set_key", "prefix", "summary", "fine"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, set_key binary, prefix array<long>, summary array<int>")
-
-
-def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, shingles): the whole set of each document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            h, bounds = document_sets(batch, k)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(h.view(np.int64)))], ["doc_id", "shingles"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, set_key binary, prefix array<long>, summary array<int>, fine array<tinyint>")
 
 
 def _may_link(percent: int) -> Column:
@@ -154,13 +158,54 @@ def _may_link(percent: int) -> Column:
     return length & positional & suffix
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+def _pass_suffix(pairs: DataFrame, fines: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose fine summaries allow a link; fines (rep, n, fine)."""
+    side = lambda x: fines.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    half = lambda x: F.zip_with(F.slice(x, 1, (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2).cast("int") + 1, F.size(x)), lambda i, j: F.least(i.cast("int") + j.cast("int"), F.lit(127)))
+    full = lambda x: F.transform(x, lambda i: i.cast("int"))
+    fa, fb = F.col("fa"), F.col("fb")
+    # sizes that pass the length filter differ by one halving at most
+    x = F.when(F.size(fa) > F.size(fb), half(fa)).otherwise(full(fa))
+    y = F.when(F.size(fb) > F.size(fa), half(fb)).otherwise(full(fb))
+    apart = F.aggregate(F.zip_with(x, y, lambda i, j: F.abs(i - j)), F.lit(0), lambda t, i: t + i)
+    need = F.ceil((percent * (F.col("na") + F.col("nb"))) / F.lit(100 + percent) - F.lit(1e-9))
+    return both.where(apart <= F.col("na") + F.col("nb") - 2 * need).select("a", "b")
+
+
+def linked(one: pa.Array, other: pa.Array, k: int, percent: int) -> np.ndarray:
+    """Which texts of one link with the text beside them in other, on whole sets."""
+    (h, at), (g, to) = document_sets(one, k), document_sets(other, k)
+    n, m = np.diff(at), np.diff(to)
+    tag = mix(np.arange(1, len(n) + 1, dtype=np.uint64))
+    x, y = mix(h ^ np.repeat(tag, n)), mix(g ^ np.repeat(tag, m))
+    _, where, _ = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    shared = np.bincount(np.repeat(np.arange(len(n)), n)[where], minlength=len(n))
+    return (n > 0) & (100 * shared >= percent * (n + m - shared))
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b), a written table, that link.  Texts travel rather than sets: compressed, they are half the size."""
+    ids = materialize(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "ids")
+    texts = materialize(_only(docs, ids), "texts")
+    both = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "ta"):
+            ok = pa.array(linked(batch.column("ta"), batch.column("tb"), k, percent))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs with an id of ids (rep), which is a written table and so is counted at no cost.
+
+    Up to BROADCAST_IDS ids go to every executor and no text is shuffled; more are
+    joined by shuffle.
+    """
+    ids = ids.select(F.col("rep").alias("doc_id"))
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
@@ -178,34 +223,37 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     small_batches(spark)
     docs = docs.select("doc_id", "text")
     marked = materialize(signatures(docs, k, percent, frequency_sketch(docs, k)), "signatures")
-    classes = marked.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    reps = materialize(classes, "classes")
-    owners = marked.join(reps.select(F.col("rep").alias("doc_id"), F.col("set_key").alias("own_key")), "doc_id").where(F.col("set_key") == F.col("own_key")).dropDuplicates(["doc_id"])
-    entries = owners.select(F.col("doc_id").alias("rep"), "n", "summary", F.posexplode("prefix").alias("pos", "shingle"))
-    slim = entries.select("shingle", "rep", "n", "pos")
-    # shingles of two representatives or more, with their leader
-    spread = slim.groupBy("shingle").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct(F.xxhash64("rep", "shingle").alias("h"), "rep")).alias("lead"))
-    leaders = materialize(spread.where("held > 1").select("shingle", F.col("lead.rep").alias("lead")), "leaders")
-    shared = materialize(slim.join(leaders, "shingle"), "shared")
-    info = materialize(owners.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "summary"), "summaries")
-    full = materialize(shared.join(info, "rep"), "entries")
-    sets = materialize(shingle_sets(docs.join(info.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), k), "sets")
-
-    heads = full.where(F.col("rep") == F.col("lead")).drop("lead")
-    star = full.drop("lead").alias("a").join(heads.alias("b"), F.col("a.shingle") == F.col("b.shingle")).where(F.col("a.rep") != F.col("b.rep")).where(_may_link(percent))
+    owners = marked.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n", "prefix", "summary", "fine"), "doc_id").alias("s"))
+    owners = materialize(owners.select("set_key", "rep", "s.*"), "representatives")
+    keys, classes = materialize(marked.select("doc_id", "n", "set_key"), "keys"), materialize(owners.select("set_key", "rep"), "classes")
+    fines = materialize(owners.select("rep", "n", "fine"), "fines")
+    release(marked)
+    entries = owners.select("rep", "n", F.posexplode("prefix").alias("pos", "shingle"))
+    place = F.xxhash64("rep", "shingle")
+    # shingles of two representatives or more; the leader is the one of the least hash
+    spread = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("held"), F.min(place).alias("lead"))
+    leaders = materialize(spread.where("held > 1").select("shingle", "lead"), "leaders")
+    shared = materialize(entries.select("shingle", "rep", "n", "pos").join(leaders, "shingle").withColumn("leads", place == F.col("lead")).drop("lead"), "shared")
+    release(leaders)
+    full = materialize(shared.join(owners.select("rep", "summary"), "rep"), "entries")
+    release(shared)
+    release(owners)
+    heads = full.where("leads")
+    star = full.alias("a").join(heads.alias("b"), (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.rep") != F.col("b.rep")) & _may_link(percent))
     star = star.select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")).distinct()
-    tried = materialize(star, "star")
-    links = materialize(_verify(tried, sets, percent), "links")
-    found = materialize(connected_components(links), "components")
+    tried = materialize(_pass_suffix(star, fines, percent), "star")
+    found = materialize(connected_components(_verify(tried, docs, k, percent)), "components")
 
-    placed = full.drop("lead").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = full.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = materialize(placed, "placed")
     split = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
     rest = materialize(placed.join(split, "shingle", "left_semi"), "rest")
-    pairs = rest.alias("a").join(rest.alias("b"), (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.component") != F.col("b.component"))).where(_may_link(percent))
+    apart = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.component") != F.col("b.component"))
+    pairs = rest.alias("a").join(rest.alias("b"), apart & _may_link(percent))
     pairs = pairs.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = _verify(materialize(pairs, "pairs"), sets, percent)
+    more = _verify(materialize(_pass_suffix(pairs, fines, percent), "pairs"), docs, k, percent)
     final = materialize(connected_components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "components")
 
-    by_key = reps.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    out = marked.select("doc_id", F.col("n").alias("n_shingles"), "set_key").join(by_key, "set_key", "left")
+    by_key = classes.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
+    out = keys.select("doc_id", F.col("n").alias("n_shingles"), "set_key").join(by_key, "set_key", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
