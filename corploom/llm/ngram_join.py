@@ -38,7 +38,7 @@ from .components import connected_components
 from .textkernel import buffers, chunks, mix, shingles, words
 from .work import materialize, release, small_batches
 
-SKETCH_BITS = 17  # counters of the frequency sketch: 2 ** 17, whatever the corpus
+SKETCH_BITS = 20  # counters of the frequency sketch: 2 ** 20, whatever the corpus
 BROADCAST_IDS = 1_000_000  # ids (8 bytes each) that may be broadcast; beyond it they are shuffled
 CLASSES = 8  # hash classes of the coarse summary that entries carry
 FINE_CLASSES = (8, 4096)  # fewest and most classes of a document's fine summary: about one for 16 shingles
@@ -73,7 +73,7 @@ def frequency_sketch(docs: DataFrame, k: int, bits: int = SKETCH_BITS) -> np.nda
         for p in range(parts):
             own = total[p * run_size : (p + 1) * run_size]
             if own.any():
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([own.tolist()], pa.list_(pa.int64()))], ["part", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([own.tolist()], pa.list_(pa.int32()))], ["part", "n"])
 
     size = (1 << bits) // parts
 
@@ -83,7 +83,7 @@ def frequency_sketch(docs: DataFrame, k: int, bits: int = SKETCH_BITS) -> np.nda
             total += b.column("n").flatten().to_numpy().reshape(-1, size).sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tolist()], pa.list_(pa.int64()))], ["part", "n"])
 
-    local = docs.select("text").mapInArrow(run, "part int, n array<long>")
+    local = docs.select("text").mapInArrow(run, "part int, n array<int>")
     out = np.zeros(1 << bits, dtype=np.int64)
     for r in local.groupBy("part").applyInArrow(fold, "part int, n array<long>").collect():
         out[r["part"] * size : (r["part"] + 1) * size] = r["n"]
@@ -242,7 +242,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     star = full.alias("a").join(heads.alias("b"), (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.rep") != F.col("b.rep")) & _may_link(percent))
     star = star.select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")).distinct()
     tried = materialize(_pass_suffix(star, fines, percent), "star")
-    found = materialize(connected_components(_verify(tried, docs, k, percent)), "components")
+    found = materialize(connected_components(materialize(_verify(tried, docs, k, percent), "links")), "components")
 
     placed = full.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     placed = materialize(placed, "placed")
@@ -251,7 +251,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     apart = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.component") != F.col("b.component"))
     pairs = rest.alias("a").join(rest.alias("b"), apart & _may_link(percent))
     pairs = pairs.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = _verify(materialize(_pass_suffix(pairs, fines, percent), "pairs"), docs, k, percent)
+    more = materialize(_verify(materialize(_pass_suffix(pairs, fines, percent), "pairs"), docs, k, percent), "links")
     final = materialize(connected_components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "components")
 
     by_key = classes.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
