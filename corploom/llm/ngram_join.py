@@ -9,12 +9,16 @@ join runs over one representative of each.
   frequent passages out of prefixes.
 * A set of n shingles needs only its first ``n - ceil(t n) + 1`` as a prefix: two
   similar sets share a shingle of their prefixes.  Prefix entries carry size,
-  position and a summary of the rest: its shingle counts in 8 hash classes.
+  position and a summary of the whole set: the parities of its shingle counts in
+  512 hash classes, as bits.
 * Pairs from a shared prefix shingle pass the length filter, the positional filter
-  (what can still overlap behind the shared position) and the suffix filter (the
+  (what can still overlap from the shared position on) and the suffix filter (the
   summaries' distance bounds the sets' symmetric difference from below): first on
-  the entries' 8 classes, then, once a pair, on fine summaries of a class for about
+  the entries' bits, then, once a pair, on fine summaries of a class for about
   16 shingles, which long documents need.
+* The positional filter takes the shared shingle for the first that the sets share.
+  A pair that links shares its first shingle within both prefixes and passes there;
+  at its later shingles it may fail, which only saves repeated rows.
 * Each surviving pair is verified once on the whole sets.
 
 A result by component doesn't need every pair of a dense group.  So a first round
@@ -28,6 +32,7 @@ costs thousands of pairs, not millions.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +45,8 @@ from .work import materialize, release, small_batches
 
 SKETCH_BITS = 20  # counters of the frequency sketch: 2 ** 20, whatever the corpus
 BROADCAST_IDS = 1_000_000  # ids (8 bytes each) that may be broadcast; beyond it they are shuffled
-CLASSES = 8  # hash classes of the coarse summary that entries carry
+SUMMARY_LONGS = 8  # of 64 parity bits each: the coarse summary that entries carry
+SUMMARY = [f"s{i}" for i in range(SUMMARY_LONGS)]
 FINE_CLASSES = (8, 4096)  # fewest and most classes of a document's fine summary: about one for 16 shingles
 
 
@@ -102,7 +108,7 @@ def fine_classes(n: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """(doc_id, n, set_key, prefix, summary, fine) of every document: prefix in rare-first order."""
+    """(doc_id, n, set_key, prefix, fine, s0, s1 ...) of every document: prefix in rare-first order."""
     bits = int(len(sketch)).bit_length() - 1
     level = np.floor(np.log2(np.maximum(sketch, 1) / max(1.0, float(np.median(sketch))) + 1e-9) * 8).astype(np.int64)
     level = (np.maximum(level, 0)).astype(np.uint64)  # counters near the median are equally rare
@@ -124,7 +130,8 @@ def signatures(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> Dat
             position = np.arange(len(h)) - np.repeat(bounds[:-1], n)
             take = position < np.repeat(prefix_size(n, percent), n)
             chosen = h[order][take]
-            own = np.bincount(doc * CLASSES + (h & np.uint64(CLASSES - 1)).astype(np.int64), minlength=len(n) * CLASSES).reshape(-1, CLASSES)
+            odd = np.bincount(doc * 64 * SUMMARY_LONGS + (by_hash & np.uint64(64 * SUMMARY_LONGS - 1)).astype(np.int64), minlength=len(n) * 64 * SUMMARY_LONGS) & 1
+            own = np.packbits(odd.astype(bool)).view(np.int64).reshape(-1, SUMMARY_LONGS)
             p_bounds = np.concatenate([[0], np.cumsum(prefix_size(n, percent))])
             width = fine_classes(n)
             f_bounds = np.concatenate([[0], np.cumsum(width)])
@@ -135,13 +142,13 @@ def signatures(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> Dat
                     batch.column("doc_id"), pa.array(n.astype(np.int64)),
                     pa.array([r.tobytes() if m else None for r, m in zip(keys, n, strict=True)], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(p_bounds.astype(np.int32)), pa.array(chosen.view(np.int64))),
-                    pa.ListArray.from_arrays(pa.array((np.arange(len(n) + 1) * CLASSES).astype(np.int32)), pa.array(own.reshape(-1).astype(np.int32))),
                     pa.ListArray.from_arrays(pa.array(f_bounds.astype(np.int32)), pa.array(np.minimum(fine, 127).astype(np.int8))),
+                    *(pa.array(own[:, i]) for i in range(SUMMARY_LONGS)),
                 ],
-                ["doc_id", "n", "set_key", "prefix", "summary", "fine"],
+                ["doc_id", "n", "set_key", "prefix", "fine", *SUMMARY],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, set_key binary, prefix array<long>, summary array<int>, fine array<tinyint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, set_key binary, prefix array<long>, fine array<tinyint>, " + ", ".join(f"{s} long" for s in SUMMARY))
 
 
 def _may_link(percent: int) -> Column:
@@ -150,10 +157,8 @@ def _may_link(percent: int) -> Column:
     length = (100 * F.least(a, b)) >= percent * F.greatest(a, b)
     # 100 |x & y| >= percent |x | y|  <=>  (100 + percent) |x & y| >= percent (|x| + |y|)
     need = F.ceil((percent * (a + b)) / F.lit(100 + percent) - F.lit(1e-9))
-    first = F.least(F.col("a.pos"), F.col("b.pos"))
-    # shingles before the shared one may be shared too: min(pos) of them at most
-    positional = (first + F.least(a - F.col("a.pos"), b - F.col("b.pos"))) >= need
-    apart = F.aggregate(F.zip_with(F.col("a.summary"), F.col("b.summary"), lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    positional = F.least(a - F.col("a.pos"), b - F.col("b.pos")) >= need
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}"))) for s in SUMMARY])
     suffix = apart <= a + b - 2 * need
     return length & positional & suffix
 
@@ -223,7 +228,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     small_batches(spark)
     docs = docs.select("doc_id", "text")
     marked = materialize(signatures(docs, k, percent, frequency_sketch(docs, k)), "signatures")
-    owners = marked.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n", "prefix", "summary", "fine"), "doc_id").alias("s"))
+    owners = marked.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n", "prefix", "fine", *SUMMARY), "doc_id").alias("s"))
     owners = materialize(owners.select("set_key", "rep", "s.*"), "representatives")
     keys, classes = materialize(marked.select("doc_id", "n", "set_key"), "keys"), materialize(owners.select("set_key", "rep"), "classes")
     fines = materialize(owners.select("rep", "n", "fine"), "fines")
@@ -235,7 +240,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     leaders = materialize(spread.where("held > 1").select("shingle", "lead"), "leaders")
     shared = materialize(entries.select("shingle", "rep", "n", "pos").join(leaders, "shingle").withColumn("leads", place == F.col("lead")).drop("lead"), "shared")
     release(leaders)
-    full = materialize(shared.join(owners.select("rep", "summary"), "rep"), "entries")
+    full = materialize(shared.join(owners.select("rep", *SUMMARY), "rep"), "entries")
     release(shared)
     release(owners)
     heads = full.where("leads")
