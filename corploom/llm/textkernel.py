@@ -6,6 +6,7 @@ A word is a run of bytes other than white space ``[\\x20\\x09-\\x0D]``.  Words g
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,9 +15,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19  # of text at a time: working arrays take about 30 bytes for each
 LONG_WORD = 512  # bytes from which a word is hashed by BLAKE2, where a polynomial hash is weak
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_malloc_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 
 
@@ -107,6 +109,13 @@ def words(data: np.ndarray, bounds: np.ndarray, lower: bool = False) -> Words:
     return Words(data, bounds, start, end, np.repeat(np.arange(n), np.diff(first)), first)
 
 
+def trim() -> None:
+    """Give freed memory back: reused workers would keep the most that any operator before took."""
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim is not None:
+        _malloc_trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each has at most limit bytes of text, or one row."""
     for batch in batches:
@@ -118,6 +127,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+        trim()
 
 
 def shingles(w: Words, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -65,7 +65,7 @@ def _sweep() -> None:
 atexit.register(_sweep)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
+def small_batches(spark: SparkSession, rows: int = 2000, size: str = "4m") -> None:
     """Ready Python workers: they can import this package, and their Arrow batches are bounded in rows and in bytes (long texts)."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
