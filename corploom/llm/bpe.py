@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .textkernel import chunks
+from .textkernel import chunks, trim
 from .work import small_batches
 
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies, with white space spelt out as Unicode has it
@@ -35,7 +35,7 @@ from .work import small_batches
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^W\p{L}\p{N}]+|[W]+(?![^W])|[W]+".replace("W", "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000")
 #: The same over ASCII texts, where the standard library's engine can do it in less time.
 ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
-CACHE_WORDS = 500_000  # distinct pre-tokens that a worker remembers at once
+CACHE_WORDS = 200_000  # distinct pre-tokens that a worker remembers at once
 NO_PAIR = np.int64(1) << 62
 
 
@@ -215,7 +215,9 @@ def decode_ids(vocab: Vocabulary, ids: np.ndarray, count: np.ndarray) -> list[st
 
 @lru_cache(maxsize=4)
 def _vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    vocab = Vocabulary(path)
+    trim()  # the parsed file
+    return vocab
 
 
 @lru_cache(maxsize=4)
@@ -265,3 +267,19 @@ def decode(df: DataFrame, vocab_path: str, ids: str = "ids", text: str = "decode
             yield _replace(batch, text, pa.array(decode_ids(vocab, flat, count), pa.string()))
 
     return df.mapInArrow(run, _with(df, text, T.StringType()))
+
+
+def encode_decode(df: DataFrame, vocab_path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """decode(encode(df)) in one pass: a task keeps one Python worker and one vocabulary instead of two."""
+    small_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, vocab = _encoder(vocab_path), _vocabulary(vocab_path)
+        for batch in chunks(batches, text):
+            flat, count = encoder.encode([t or "" for t in batch.column(text).to_pylist()])
+            bounds = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
+            coded = _replace(batch, ids, pa.ListArray.from_arrays(bounds, pa.array(flat)))
+            yield _replace(coded, decoded, pa.array(decode_ids(vocab, flat, count), pa.string()))
+
+    coded = [f for f in _with(df, ids, T.ArrayType(T.IntegerType())).fields if f.name != decoded]
+    return df.mapInArrow(run, T.StructType([*coded, T.StructField(decoded, T.StringType())]))

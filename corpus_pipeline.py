@@ -45,7 +45,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, with the digest of the text that they decode to."""
     path = queries.vocabulary_path()
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path).select("doc_id", "lang", "source", "ids"), path)
+    coded = bpe.encode_decode(docs.select("doc_id", "lang", "source", "text"), path)
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

@@ -176,6 +176,7 @@ def test_bpe(docs):
         assert r["ids"] == want.ids
         assert r["decoded"] == library.decode(want.ids, skip_special_tokens=False) == (r["text"] or "")
     assert bpe.decode(bpe.encode(docs.limit(0), path), path).count() == 0
+    assert sorted(bpe.encode_decode(clash, path).collect(), key=str) == sorted(rows, key=str)
     assert bpe.decode_ids(bpe.Vocabulary(path), np.array([94]), np.array([1])) == [library.decode([94])]
 
 
