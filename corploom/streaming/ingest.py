@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,26 +10,40 @@ from pyspark.sql.streaming import StreamingQuery
 from corploom.functions import text as X
 from corploom.sources.files import RAW
 
+ARRIVED = "arrived"  # where a row of raw_stream comes from, in the order in which files are taken
+
 
 def raw_stream(spark: SparkSession, folder: str, max_files: int = 100) -> DataFrame:
-    return spark.readStream.schema(RAW).option("maxFilesPerTrigger", max_files).json(folder)
+    """Rows of RAW and ARRIVED from files of any age, the oldest files first."""
+    # by default the source passes over files a week older than the newest it has seen
+    rows = spark.readStream.schema(RAW).option("maxFilesPerTrigger", max_files).option("maxFileAge", "36500d").json(folder)
+    return rows.select("*", F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start").alias(ARRIVED))
 
 
-def ingest(stream: DataFrame, target: str, checkpoint: str, delay: str = "1 day") -> StreamingQuery:
+def ingest(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Append the terms of new documents to target/terms and their rows to target/documents.
 
-    A repeated id within delay is dropped; the watermark bounds what the stream
-    remembers.  A segment is written under its batch number, so a batch that runs
-    again replaces its own output.
+    Of rows with one id the first to arrive is kept, however old the others are:
+    a batch drops what other batches have written to target/documents, and its
+    own repeats.  Rows without an id are dropped.  A segment is written under its
+    batch number, so a batch that runs again replaces its own output.
     """
-    docs = stream.withColumn("at", F.coalesce(F.try_to_timestamp("retrieved_at"), F.current_timestamp())).withWatermark("at", delay)
-    docs = docs.where("id <> ''").dropDuplicatesWithinWatermark(["id"])
+    arrived = [ARRIVED] if ARRIVED in stream.columns else []
 
     def segment(batch: DataFrame, number: int) -> None:
-        rows = batch.select(F.col("id").alias("docid"), X.clean(F.col("title")).alias("title"), X.clean(F.col("text")).alias("text"))
+        spark = batch.sparkSession
+        placed = batch.where("id <> ''").withColumn("place", F.struct(*arrived, F.monotonically_increasing_id()))
+        first = placed.groupBy("id").agg(F.min_by(F.struct("title", "text"), "place").alias("row"))
+        try:
+            written = spark.read.schema("docid string, batch long").parquet(f"{target}/documents").where(F.col("batch") != number)
+            first = first.join(written, first["id"] == written["docid"], "left_anti")
+        except AnalysisException as missing:  # nothing is written yet
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+        rows = first.select(F.col("id").alias("docid"), X.clean(F.col("row.title")).alias("title"), X.clean(F.col("row.text")).alias("text"))
         rows.write.mode("overwrite").parquet(f"{target}/documents/batch={number}")
-        own = batch.sparkSession.read.parquet(f"{target}/documents/batch={number}")
+        own = spark.read.parquet(f"{target}/documents/batch={number}")
         terms = own.select("docid", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
         terms.write.mode("overwrite").parquet(f"{target}/terms/batch={number}")
 
-    return docs.writeStream.foreachBatch(segment).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(segment).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,6 +1,7 @@
 """Sources, corpus preparation, index, statistics, verification, crawl, streaming, command line and pages."""
 
 import json
+import os
 
 import numpy as np
 import pytest
@@ -185,6 +186,35 @@ def test_stream(spark, tmp_path):
     assert {r["term"] for r in spark.read.parquet(str(tmp_path / "out/terms")).where("docid = 'a'").collect()} == {"кино", "один"}
 
 
+def test_stream_keeps_old_documents(spark, tmp_path):
+    from corploom.streaming import ingest
+
+    src, out, cp = tmp_path / "src", tmp_path / "out", tmp_path / "cp"
+    src.mkdir()
+
+    def put(n, *rows):  # files arrive in order of n
+        (src / f"{n}.json").write_text("".join(json.dumps({"id": i, "title": "t", "text": t, "retrieved_at": at}) + "\n" for i, t, at in rows))
+        os.utime(src / f"{n}.json", (1_700_000_000 + n, 1_700_000_000 + n))
+
+    def run(max_files):
+        ingest.ingest(ingest.raw_stream(spark, str(src), max_files), str(out), str(cp)).awaitTermination()
+        return sorted((r["docid"], r["text"]) for r in spark.read.parquet(str(out / "documents")).collect())
+
+    put(1, ("new", "new", "2024-06-01T00:00:00Z"), ("bad", "bad", "no date"), ("none", "none", None))
+    put(2, ("old", "old", "2020-01-01T00:00:00Z"), ("old", "repeat", "2020-01-01T00:00:00Z"))
+    put(3, ("old", "later", "2019-01-01T00:00:00Z"), ("older", "older", "2010-01-01T00:00:00Z"))
+    first = [("bad", "bad"), ("new", "new"), ("none", "none"), ("old", "old"), ("older", "older")]
+    assert run(1) == first  # a backlog of several batches
+    put(4, ("oldest", "oldest", "2001-01-01T00:00:00Z"), ("bad", "late", "2001-01-01T00:00:00Z"))
+    put(-1_000_000, ("aged", "aged", "2001-01-01T00:00:00Z"))  # a file from before last week
+    want = sorted([*first, ("oldest", "oldest"), ("aged", "aged")])
+    assert run(100) == want  # a second run on the checkpoint
+    last = max(int(f.name) for f in (cp / "commits").iterdir() if f.name.isdigit())
+    for f in (cp / "commits").glob(f"*{last}*"):
+        f.unlink()
+    assert run(100) == want  # a batch that runs again
+
+
 def test_pages(built, spark):
     rows, ix, *_ = built
     assert "<form" in web.home()
