@@ -161,6 +161,17 @@ def test_grammar():
             assert (f, p) == (fa * fb, pa + pb)
 
 
+def test_grammar_negated_threat():
+    g = toxicity.Grammar({})
+    score = lambda c: float(g.score(np.array([[g.clause(c), np.log1p(g.clause(c)), np.log1p(1)]]))[0])
+    for plain, negated in (("i will kill you", "i will not kill you"), ("he will hurt and beat them", "he will never hurt or beat them")):
+        assert 0 < g.clause(negated) == 0.5 * g.clause(plain)
+        assert score(negated) < 0.3 < score(plain)
+    assert g.clause("kill not hurt you") == g.clause("do not hurt but go and kill all of you") == g.clause("kill you") == 3.0
+    assert g.clause("kill you not") == 3.0  # only a negation before the verb counts
+    assert g.clause("he said i will not kill you") == pytest.approx(0.6 * 1.5)
+
+
 # BPE
 
 
