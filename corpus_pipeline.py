@@ -31,9 +31,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles are alike to 0.8 stays: the least doc_id."""
-    first = ngram_join.jaccard_components(docs, k=5, percent=80).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(first, "doc_id", "left_semi").select(*COLUMNS)
+    """One row of each group whose five-word shingles are alike to 0.8 stays: that of the least doc_id.
+
+    Rows are told apart by a key of their own, so contents alone decide: rows
+    without a doc_id stay where no like row has one, and rows that share a doc_id
+    form a group only if they are alike.  Of like rows with one doc_id the one of
+    the least hash stays.  Texts without a word are like no other.
+    """
+    rows = materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")
+    groups = ngram_join.jaccard_components(rows.select(F.col("row").alias("doc_id"), "text"), k=5, percent=80).select(F.col("doc_id").alias("row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text", "lang", "source", "n_chars"), "row")
+    ranked = rows.select("row", order.alias("at")).join(groups, "row")
+    first = ranked.groupBy("component_id").agg(F.min("at").alias("at")).select("at.row")
+    return rows.join(first, "row", "left_semi").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,6 +69,21 @@ def test_near_duplicates(steps):
     assert {r["doc_id"] for r in after.collect()} == {i for i in ids if find(i) == i}
 
 
+def test_near_duplicates_without_unique_ids(spark):
+    text = lambda w: " ".join(f"{w}{i}" for i in range(60))
+    near = lambda w: text(w) + " end"
+    rows = [
+        (None, text("a")), (None, text("b")), (None, text("b")), (None, near("b")), (9, text("c")), (None, near("c")),
+        (1, text("d")), (1, text("d")), (1, text("e")), (2, near("e")), (3, text("f")), (3, near("d")), (None, ""), (None, None),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for n in (1, 5):
+        after = P.drop_near_duplicates(spark, docs.repartition(n), SF)
+        assert after.columns == P.COLUMNS
+        got = sorted(((r["doc_id"], (r["text"] or "-")[0]) for r in after.collect()), key=repr)
+        assert got == sorted([(None, "a"), (None, "b"), (9, "c"), (1, "d"), (1, "e"), (3, "f"), (None, "-"), (None, "-")], key=repr)
+
+
 def test_mix(steps):
     before, after = steps[3]
     n = lambda df: sum(len(WORD.findall(r["text"])) for r in df.collect())
