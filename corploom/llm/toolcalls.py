@@ -24,6 +24,7 @@ TYPES = {
     "object": r"^OBJECT.*",
     "array": r"^ARRAY.*",
 }
+RANK_TABLES = 16  # tables of ranks at most before they become one
 Schemas = Mapping[str, Mapping[str, tuple[str, bool]]]  # tool -> parameter -> (type, required)
 
 
@@ -80,17 +81,17 @@ def argument_errors(name: Column, arguments: Column, schemas: Schemas) -> Column
     return out
 
 
-def topological_ranks(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def topological_ranks(edges: DataFrame) -> DataFrame:
     """(conv_id, call_id, rank) of calls with edges (conv_id, call_id, needs); calls without are rank 0 and not listed.
 
     Level by level: a call is ranked once all it needs are.  Each round is a
-    written table and ranks at least one call, or the loop ends; calls on a cycle
-    or behind one get no rank.
+    written table and ranks at least one call, or the loop ends, however deep the
+    calls are; calls on a cycle or behind one get no rank.
     """
     open_ = materialize(edges.distinct(), "needs")
     done = materialize(open_.select("conv_id", F.col("needs").alias("call_id")).join(open_, ["conv_id", "call_id"], "left_anti").distinct().withColumn("rank", F.lit(0)), "ranks")
-    ranked = done.limit(0)
-    for _ in range(max_rounds):
+    parts = [done]
+    while True:
         known = done.select("conv_id", F.col("call_id").alias("needs"), F.col("rank").alias("r"))
         step = open_.join(known, ["conv_id", "needs"], "left").groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("n"), F.count("r").alias("k"), F.max("r").alias("r"))
         fresh = materialize(step.where("n = k").select("conv_id", "call_id", (F.col("r") + 1).alias("rank")), "ranks")
@@ -98,10 +99,16 @@ def topological_ranks(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
             break
         rest = materialize(open_.join(fresh, ["conv_id", "call_id"], "left_anti"), "needs")
         release(open_)
-        ranked, open_, done = ranked.union(fresh), rest, done.union(fresh)
+        parts.append(fresh)
+        open_, done = rest, done.union(fresh)
         if rest.isEmpty():
             break
-    return ranked
+        if len(parts) == RANK_TABLES:  # a union of a table a round would outgrow the planner
+            done = materialize(done, "ranks")
+            for p in parts:
+                release(p)
+            parts = [done]
+    return done.where("rank > 0")
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:

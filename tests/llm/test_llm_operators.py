@@ -400,6 +400,13 @@ def test_deep_chain(spark):
     assert {r["call_id"]: r["rank"] for r in toolcalls.topological_ranks(edges).collect()} == {f"n{i}": i for i in range(1, 7)}
 
 
+def test_chain_deeper_than_any_number_of_rounds(spark, monkeypatch):
+    monkeypatch.setattr(toolcalls, "range", lambda n: range(min(n, 2)), raising=False)  # a bound of two rounds, if there is one
+    monkeypatch.setattr(toolcalls, "RANK_TABLES", 3, raising=False)
+    edges = spark.createDataFrame([(1, f"n{i}", f"n{i - 1}") for i in range(1, 9)] + [(1, "x", "y"), (1, "y", "x")], "conv_id long, call_id string, needs string")
+    assert {r["call_id"]: r["rank"] for r in toolcalls.topological_ranks(edges).collect()} == {f"n{i}": i for i in range(1, 9)}
+
+
 def test_text_kernel_is_independent_of_batches():
     import pyarrow as pa
 
