@@ -167,12 +167,12 @@ def _pass_suffix(pairs: DataFrame, fines: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose fine summaries allow a link; fines (rep, n, fine)."""
     side = lambda x: fines.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    half = lambda x: F.zip_with(F.slice(x, 1, (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2).cast("int") + 1, F.size(x)), lambda i, j: F.least(i.cast("int") + j.cast("int"), F.lit(127)))
     full = lambda x: F.transform(x, lambda i: i.cast("int"))
+    # to m classes, in runs of m: the longer summary is folded until the lengths agree
+    fold = lambda x, m: F.aggregate(F.sequence(m, F.size(x) - m, m), full(F.slice(x, F.lit(1), m)), lambda t, at: F.zip_with(t, F.slice(x, at + 1, m), lambda i, j: F.least(i + j.cast("int"), F.lit(127))))
     fa, fb = F.col("fa"), F.col("fb")
-    # sizes that pass the length filter differ by one halving at most
-    x = F.when(F.size(fa) > F.size(fb), half(fa)).otherwise(full(fa))
-    y = F.when(F.size(fb) > F.size(fa), half(fb)).otherwise(full(fb))
+    x = F.when(F.size(fa) > F.size(fb), fold(fa, F.size(fb))).otherwise(full(fa))
+    y = F.when(F.size(fb) > F.size(fa), fold(fb, F.size(fa))).otherwise(full(fb))
     apart = F.aggregate(F.zip_with(x, y, lambda i, j: F.abs(i - j)), F.lit(0), lambda t, i: t + i)
     need = F.ceil((percent * (F.col("na") + F.col("nb"))) / F.lit(100 + percent) - F.lit(1e-9))
     return both.where(apart <= F.col("na") + F.col("nb") - 2 * need).select("a", "b")

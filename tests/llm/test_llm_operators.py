@@ -256,6 +256,14 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_jaccard_below_half(spark):
+    word = lambda n: " ".join(f"w{i}" for i in range(n))
+    rows = [(1, word(302)), (2, word(902)), (3, " ".join(f"x{i}" for i in range(302)))]  # summaries of 16 and 64 classes
+    got = found(ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 30))
+    assert {i: (r[0]["n_shingles"], r[0]["component_id"]) for i, r in got.items()} == brute_components(rows, 3, 30)
+    assert got[2][0]["component_id"] == 1
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(40, 8))
