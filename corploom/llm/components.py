@@ -36,18 +36,19 @@ def local_forests(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, "a long, b long")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in edges (a, b): component is the least id reachable.
 
     Alternating large-star and small-star rounds: each node hooks its larger
     neighbours, then its smaller ones, onto the least id around it.  Every round
     ends in a written table; the edge count never grows, and the number of rounds
-    is logarithmic in a component's size.
+    is logarithmic in a component's size.  The rounds end when one leaves the edges
+    as they were.
     """
     e = edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     e = materialize(local_forests(e).distinct(), "edges")
     seen = None
-    for _ in range(max_rounds):
+    while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a != b").distinct()

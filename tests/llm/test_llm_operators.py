@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corploom.llm import anomaly, boosting, bpe, covertree, docstats, langid, linededup, mixing, ngram_join, queries, toolcalls, toxicity
+from corploom.llm import anomaly, boosting, bpe, components, covertree, docstats, langid, linededup, mixing, ngram_join, queries, toolcalls, toxicity
 from corploom.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -264,6 +264,13 @@ def test_jaccard_below_half(spark):
     assert got[2][0]["component_id"] == 1
 
 
+def test_components_beyond_any_number_of_rounds(spark, monkeypatch):
+    monkeypatch.setattr(components, "range", lambda n: range(min(n, 1)), raising=False)  # a bound of one round, if there is one
+    monkeypatch.setattr(components, "local_forests", lambda edges: edges)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {r["component"] for r in connected_components(edges).collect()} == {0}
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(40, 8))
