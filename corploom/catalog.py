@@ -140,6 +140,10 @@ query("postings_list", f"WITH {_DOCS}, {_POST} SELECT term, string_agg(CAST(docn
     lambda spark, sf: _postings(spark, sf).groupBy("term").agg(F.array_join(F.sort_array(F.collect_list("docnum")), ",").alias("docs"))
 )
 query("varint_roundtrip", f"WITH {_DOCS}, {_POST} SELECT term, docnum FROM p")(lambda spark, sf: I.packed(_postings(spark, sf)).select("term", F.explode(varint.decode_block(F.col("block"))).alias("docnum")))
+_STEPS = (1, 130, 20_000, 3_000_000, 5_000_000_000, 2**49, 2**56)  # gaps of one byte to nine
+query("varint_direct", "SELECT doc_id, unnest([" + ", ".join(f"doc_id + CAST({n} AS BIGINT)" for n in _STEPS) + "]) AS docnum FROM documents")(
+    lambda spark, sf: _documents(spark, sf).select("doc_id", F.explode(varint.decode_block(varint.encode_block(F.array(*[F.col("doc_id") + n for n in _STEPS])))).alias("docnum"))
+)
 
 _RUSSIAN = ["машины", "машиной", "машинам", "играющий", "играют", "играл", "кино", "режиссёра", "ами", "красивая", "строительство", "новости", "ах", "советского", "фильмами"]
 _VALUES = ", ".join(f"('{w}')" for w in _RUSSIAN)

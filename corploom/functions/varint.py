@@ -26,20 +26,24 @@ def size(n: Column) -> Column:
 
 def encode(n: Column) -> Column:
     """Low seven bits first, the high bit set on all bytes but the last."""
-    groups = F.transform(F.sequence(F.lit(0), (size(n) - 1).cast("int")), lambda g: _byte(n, g))
-    return F.unhex(F.array_join(groups, ""))
+    return F.unhex(_hex(n))
 
 
-def _byte(n: Column, g: Column) -> Column:
-    low = F.call_function("shiftright", n, g * 7).bitwiseAND(F.lit(127).cast("long"))
-    return F.lpad(F.hex(F.when(g < size(n) - 1, low.bitwiseOR(F.lit(128).cast("long"))).otherwise(low)), 2, "0")
+def _hex(n: Column) -> Column:
+    """The bytes of encode as hex digits, spelt out byte by byte: a lambda in here would be nested within encode_block's, and a UDF over nested lambdas isn't evaluated."""
+    out = []
+    for k in range(9):
+        low = F.shiftright(n, 7 * k).bitwiseAND(F.lit(127).cast("long"))
+        byte = low if k == 8 else F.when(n >= 1 << (7 * (k + 1)), low.bitwiseOR(F.lit(128).cast("long"))).otherwise(low)
+        digits = F.lpad(F.hex(byte), 2, "0")
+        out.append(F.when(n >= 1 << (7 * k), digits).otherwise("") if k else digits)
+    return F.concat(*out)
 
 
 def encode_block(docnums: Column) -> Column:
     """Count, then the gaps of ascending docnums; the first gap is the first docnum."""
     gaps = F.transform(docnums, lambda d, i: d - F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(docnums, i - 1)))
-    parts = F.transform(F.concat(F.array(F.size(docnums).cast("long")), gaps), encode)
-    return F.unhex(F.array_join(F.transform(parts, lambda b: F.hex(b)), ""))
+    return F.unhex(F.array_join(F.transform(F.concat(F.array(F.size(docnums).cast("long")), gaps), _hex), ""))
 
 
 def decode_array(block: bytes) -> np.ndarray:
@@ -64,8 +68,7 @@ def decode_postings(block: bytes) -> np.ndarray:
 
 
 def decode_block(block: Column) -> Column:
-    """array<bigint> of the docnums of a packed block."""
-
+    """array<bigint> of the docnums of a packed block.  As with any UDF, block may not hold a lambda within a lambda; encode_block's don't."""
     if (spark := SparkSession.getActiveSession()) is not None:
         ship(spark)
 
