@@ -1,8 +1,9 @@
 """The engine's registered queries and the SQL that each must agree with.
 
 The corpus is the documents table: docid is doc_id, docnum its dense number in
-order of doc_id, title ``source/lang``.  Texts of these tables are composed
-already, so the tokenizer's NFC step is off here and on in the library.
+order of doc_id, title ``source/lang``.  Queries about searching, ranks and
+verification read one stored index, as a user of an index does; it is built by the
+first of them and again when the table's files change.
 """
 
 from __future__ import annotations
@@ -19,13 +20,14 @@ from corploom.operators import index as I
 from corploom.operators import search as S
 from corploom.operators import statistics as T
 from corploom.operators import verify as V
+from corploom.operators.shared import materialize, new_folder
 from corploom.sources import crawl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 _TOKEN = "([\\p{L}\\p{Nd}]+(?:[-''’][\\p{L}\\p{Nd}]+)*)"
-_TOK = f"regexp_extract_all(replace(lower(text), 'ß', 'ss'), '{_TOKEN}', 1)"
+_TOK = f"regexp_extract_all(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '{_TOKEN}', 1)"
 _DOCS = "d AS (SELECT row_number() OVER (ORDER BY doc_id) AS docnum, doc_id, CAST(doc_id AS VARCHAR) AS docid, concat(source, '/', lang) AS title, text FROM documents)"
 _POST = f"p AS (SELECT docnum, unnest(list_distinct({_TOK})) AS term FROM d)"
 _FLAGS = f"w AS (SELECT docnum, docid, title, {_TOK} AS t FROM d)"
@@ -45,20 +47,37 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def _title(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"docid": F.col("doc_id").cast("string"), "title": F.concat("source", F.lit("/"), "lang")})
+
+
 def _numbered(spark: SparkSession, sf: str) -> DataFrame:
-    """docnum, docid, title, text: the numbers are made from ids alone and joined to the texts."""
-    docs = _documents(spark, sf)
-    numbers = C.number_rows(docs.select("doc_id"), "doc_id")
-    return docs.join(numbers, "doc_id").select("docnum", "doc_id", F.col("doc_id").cast("string").alias("docid"), F.concat("source", F.lit("/"), "lang").alias("title"), "text")
+    """docnum, doc_id, docid, title, text."""
+    docs = _title(C.number_rows(_documents(spark, sf).select("doc_id", "source", "lang", "text"), "doc_id"))
+    return docs.select("docnum", "doc_id", "docid", "title", "text")
 
 
 def _forward(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _documents(spark, sf).select("doc_id", "source", "lang")
-    return C.number_rows(docs, "doc_id").select("docnum", F.col("doc_id").cast("string").alias("docid"), F.concat("source", F.lit("/"), "lang").alias("title"))
+    return _title(C.number_rows(_documents(spark, sf).select("doc_id", "source", "lang"), "doc_id")).select("docnum", "docid", "title")
+
+
+_stored: dict[tuple, I.Index] = {}
+
+
+def _index(spark: SparkSession, sf: str) -> I.Index:
+    """The stored index of the documents table as its files are now; built where there is none in this application."""
+    docs = _documents(spark, sf)
+    status = lambda p: p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p)  # noqa: E731, SLF001
+    files = [(f, status(spark._jvm.org.apache.hadoop.fs.Path(f))) for f in sorted(docs.inputFiles())]  # noqa: SLF001
+    key = (spark.sparkContext.applicationId, *((f, s.getLen(), s.getModificationTime()) for f, s in files))
+    if key not in _stored:
+        corpus = _title(docs.select("doc_id", "source", "lang", "text"))
+        _stored[key] = I.build(corpus, order=("doc_id",)).save(new_folder(spark, "index"))
+    return _stored[key]
 
 
 def _postings(spark: SparkSession, sf: str) -> DataFrame:
-    return I.document_terms(_numbered(spark, sf), compose=False)
+    return I.document_terms(_numbered(spark, sf))
 
 
 # corpus
@@ -93,41 +112,42 @@ def corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
 query("corpus_parts", f"WITH {_DOCS} SELECT CAST((docnum - 1) // 1000 + 1 AS BIGINT) AS part, CAST(count(*) AS BIGINT) AS n_docs FROM d GROUP BY 1")(lambda spark, sf: C.parts(_forward(spark, sf)))
 query("doc_sha1", "SELECT doc_id, sha1(text) AS sha1 FROM documents")(lambda spark, sf: _documents(spark, sf).select("doc_id", F.sha1(F.col("text").cast("binary")).alias("sha1")))
 
-_CLEAN = "regexp_replace(text, '([A-Za-zА-Яа-яЁё0-9])[\\s]*-[\\s]*[\\r\\n]+[\\s]*([A-Za-zА-Яа-яЁё0-9])', '\\1\\2', 'g')"
+_CLEAN = "regexp_replace(nfc_normalize(text), '([A-Za-zА-Яа-яЁё0-9])[\\s]*-[\\s]*[\\r\\n]+[\\s]*([A-Za-zА-Яа-яЁё0-9])', '\\1\\2', 'g')"
 query("clean_text", f"SELECT doc_id, sha1(trim(regexp_replace({_CLEAN}, '[\\s]+', ' ', 'g'))) AS sha1 FROM documents")(
-    lambda spark, sf: _documents(spark, sf).select("doc_id", F.sha1(X.clean(F.col("text"), glue=False, compose=False).cast("binary")).alias("sha1"))
+    lambda spark, sf: _documents(spark, sf).select("doc_id", F.sha1(X.clean(F.col("text"), glue=False).cast("binary")).alias("sha1"))
 )
 query("clean_text_glue")(lambda spark, sf: _documents(spark, sf).select("doc_id", F.sha1(X.clean(F.col("text")).cast("binary")).alias("sha1")))
 
 # tokens
 
-query("tokenize_unicode", f"SELECT doc_id, array_to_string({_TOK}, ' ') AS tokens FROM documents")(lambda spark, sf: _documents(spark, sf).select("doc_id", F.array_join(X.tokens(F.col("text"), compose=False), " ").alias("tokens")))
-query("tokenize_nfc", f"SELECT doc_id, array_to_string({_TOK.replace('lower(text)', 'lower(nfc_normalize(text))')}, ' ') AS tokens FROM documents")(
-    lambda spark, sf: _documents(spark, sf).select("doc_id", F.array_join(X.tokens(F.col("text")), " ").alias("tokens"))
+query("tokenize_unicode", f"SELECT doc_id, array_to_string({_TOK}, ' ') AS tokens FROM documents")(lambda spark, sf: _documents(spark, sf).select("doc_id", F.array_join(X.tokens(F.col("text")), " ").alias("tokens")))
+_SPLIT = "CASE WHEN doc_id % 2 = 0 THEN replace(replace(replace(text, 'é', 'e\u0301'), 'ü', 'u\u0308'), 'n', 'n\u0303') ELSE text END"  # half of the texts decomposed
+query("tokenize_nfc", f"SELECT doc_id, array_to_string({_TOK}, ' ') AS tokens FROM (SELECT doc_id, {_SPLIT} AS text FROM documents)")(
+    lambda spark, sf: _documents(spark, sf).select("doc_id", F.expr(_SPLIT).alias("text")).select("doc_id", F.array_join(X.tokens(F.col("text")), " ").alias("tokens"))
 )
 query("tokenize_whitespace", "SELECT doc_id, array_to_string(list_filter(string_split_regex(text, '[\\s]+'), lambda t: t <> ''), ' ') AS tokens FROM documents")(
     lambda spark, sf: _documents(spark, sf).select("doc_id", F.array_join(X.tokens(F.col("text"), "whitespace"), " ").alias("tokens"))
 )
-query("doc_lengths", f"WITH {_DOCS} SELECT docnum, CAST(len({_TOK}) AS BIGINT) AS n_tokens FROM d")(lambda spark, sf: _numbered(spark, sf).select("docnum", F.size(X.tokens(F.col("text"), compose=False)).cast("long").alias("n_tokens")))
+query("doc_lengths", f"WITH {_DOCS} SELECT docnum, CAST(len({_TOK}) AS BIGINT) AS n_tokens FROM d")(lambda spark, sf: _numbered(spark, sf).select("docnum", F.size(X.tokens(F.col("text"))).cast("long").alias("n_tokens")))
 query("token_stats", f"WITH t AS (SELECT unnest({_TOK}) AS term FROM documents) SELECT (SELECT CAST(count(*) AS BIGINT) FROM documents) AS docs_processed, CAST(count(*) AS BIGINT) AS total_tokens, CAST(count(DISTINCT term) AS BIGINT) AS unique_terms FROM t")(
-    lambda spark, sf: T.token_stats(_documents(spark, sf).select(F.col("doc_id").alias("docnum"), "text"), compose=False)
+    lambda spark, sf: T.token_stats(_documents(spark, sf).select(F.col("doc_id").alias("docnum"), "text"))
 )
 _COUNTS = f"o AS (SELECT docnum, unnest({_TOK}) AS term, generate_subscripts({_TOK}, 1) - 1 AS pos FROM d), c AS (SELECT term, CAST(count(*) AS BIGINT) AS cf, min(docnum * 10000000 + pos) AS at FROM o GROUP BY term)".replace(" AS at ", " AS spot ")
 query("term_cf", f"SELECT term, CAST(count(*) AS BIGINT) AS cf FROM (SELECT unnest({_TOK}) AS term FROM documents) GROUP BY term")(
-    lambda spark, sf: _documents(spark, sf).select(F.explode(X.tokens(F.col("text"), compose=False)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("cf"))
+    lambda spark, sf: T.term_frequencies(_documents(spark, sf))
 )
 query("top_terms_100", f"WITH {_DOCS}, {_COUNTS} SELECT term, cf FROM c ORDER BY cf DESC, spot LIMIT 100")(
-    lambda spark, sf: T.top_terms(T.term_counts(_documents(spark, sf).select(F.col("doc_id").alias("docnum"), "text"), compose=False)).select("term", "cf")
+    lambda spark, sf: T.top_terms(T.term_counts(_documents(spark, sf).select(F.col("doc_id").alias("docnum"), "text"))).select("term", "cf")
 )
 query("length_stats", f"WITH c AS (SELECT term, count(*) AS cf FROM (SELECT unnest({_TOK}) AS term FROM documents) GROUP BY term) SELECT round(sum(length(term) * cf)::DOUBLE / sum(cf), 6) AS avg_token_length, round(avg(length(term)), 6) AS avg_term_length FROM c")(
-    lambda spark, sf: T.length_stats(T.term_counts(_documents(spark, sf).select(F.col("doc_id").alias("docnum"), "text"), compose=False)).select(F.round("avg_token_length", 6).alias("avg_token_length"), F.round("avg_term_length", 6).alias("avg_term_length"))
+    lambda spark, sf: T.length_stats(T.term_frequencies(_documents(spark, sf))).select(F.round("avg_token_length", 6).alias("avg_token_length"), F.round("avg_term_length", 6).alias("avg_term_length"))
 )
 
 # the index
 
 query("vocab_df", f"WITH {_DOCS}, {_POST} SELECT term, CAST(count(*) AS BIGINT) AS df FROM p GROUP BY term")(
     # df needs no numbering: distinct tokens of a document are one posting each
-    lambda spark, sf: _documents(spark, sf).select(F.explode(F.array_distinct(X.tokens(F.col("text"), compose=False))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    lambda spark, sf: _documents(spark, sf).select(F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 )
 _SIZE = lambda x: "CASE " + " ".join(f"WHEN {x} < {1 << 7 * k} THEN {k}" for k in range(1, 9)) + " ELSE 9 END"
 _GAPS = "g AS (SELECT term, docnum, docnum - lag(docnum, 1, 0) OVER (PARTITION BY term ORDER BY docnum) AS gap FROM p)"
@@ -149,22 +169,35 @@ _RUSSIAN = ["машины", "машиной", "машинам", "играющи
 _VALUES = ", ".join(f"('{w}')" for w in _RUSSIAN)
 _STEM = "regexp_replace(lower({}), '^(.{{3,}}?)(?:" + "|".join(X.SUFFIXES) + ")$', '\\1')"
 query("stem_terms", f"SELECT DISTINCT term, {_STEM.format('term')} AS stem FROM (SELECT unnest({_TOK}) AS term FROM documents UNION ALL SELECT * FROM (VALUES {_VALUES}) v(term))")(
-    lambda spark, sf: _documents(spark, sf).select(F.explode(F.array_distinct(X.tokens(F.col("text"), compose=False))).alias("term")).union(spark.createDataFrame([(w,) for w in _RUSSIAN], "term string")).distinct().withColumn("stem", X.stem(F.col("term")))
+    lambda spark, sf: _documents(spark, sf).select(F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term")).union(spark.createDataFrame([(w,) for w in _RUSSIAN], "term string")).distinct().withColumn("stem", X.stem(F.col("term")))
 )
 _RU_DOCS = f"d AS (SELECT doc_id, list_concat(list_distinct({_TOK}), [" + ", ".join(f"'{w}'" for w in _RUSSIAN) + f"]) AS t FROM documents), s AS (SELECT doc_id, {_STEM.format('term')} AS term FROM (SELECT doc_id, unnest(t) AS term FROM d))"
 
 
-def _stemmed(spark: SparkSession, sf: str) -> DataFrame:
-    words = F.concat(F.array_distinct(X.tokens(F.col("text"), compose=False)), F.array(*map(F.lit, _RUSSIAN)))
-    return _documents(spark, sf).select(F.col("doc_id").alias("docnum"), F.explode(words).alias("term")).withColumn("term", X.stem(F.col("term")))
+def _words(spark: SparkSession, sf: str) -> DataFrame:
+    words = F.concat(F.array_distinct(X.tokens(F.col("text"))), F.array(*map(F.lit, _RUSSIAN)))
+    return _documents(spark, sf).select(F.col("doc_id").alias("docnum"), F.explode(words).alias("term"))
 
 
-query("stemmed_df_compat", f"WITH {_RU_DOCS} SELECT term, CAST(count(*) AS BIGINT) AS df_postings FROM s GROUP BY term")(lambda spark, sf: _stemmed(spark, sf).groupBy("term").agg(F.count(F.lit(1)).alias("df_postings")))
-query("stemmed_df", f"WITH {_RU_DOCS} SELECT term, CAST(count(DISTINCT doc_id) AS BIGINT) AS df FROM s GROUP BY term")(lambda spark, sf: I.vocabulary(_stemmed(spark, sf)).select("term", "df"))
-query("index_meta", f"WITH {_DOCS}, {_POST} SELECT (SELECT CAST(count(*) AS BIGINT) FROM d) AS docs_count, (SELECT CAST(sum(len({_TOK})) AS BIGINT) FROM d) AS total_tokens, CAST(count(DISTINCT term) AS BIGINT) AS unique_terms FROM p")(
-    lambda spark, sf: I.build(_documents(spark, sf).select("doc_id", F.col("doc_id").cast("string").alias("docid"), F.concat("source", F.lit("/"), "lang").alias("title"), "text"), compose=False, order=("doc_id",)).meta.select("docs_count", "total_tokens", "unique_terms")
+# stems are taken of distinct words, whose counts they add up
+query("stemmed_df_compat", f"WITH {_RU_DOCS} SELECT term, CAST(count(*) AS BIGINT) AS df_postings FROM s GROUP BY term")(
+    lambda spark, sf: _words(spark, sf).groupBy("term").agg(F.count(F.lit(1)).alias("n")).withColumn("term", X.stem(F.col("term"))).groupBy("term").agg(F.sum("n").alias("df_postings"))
+)
+query("stemmed_df", f"WITH {_RU_DOCS} SELECT term, CAST(count(DISTINCT doc_id) AS BIGINT) AS df FROM s GROUP BY term")(
+    lambda spark, sf: I.vocabulary(_words(spark, sf).withColumn("term", X.stem(F.col("term")))).select("term", "df")
+)
+query("stemmed_df_once", f"WITH {_RU_DOCS} SELECT term, CAST(count(DISTINCT doc_id) AS BIGINT) AS df FROM s GROUP BY term")(
+    lambda spark, sf: I.vocabulary(I.stem_once(materialize(_words(spark, sf), "words"), X.stem)).select("term", "df")
 )
 
+
+@query("index_meta", f"WITH {_DOCS}, {_POST} SELECT (SELECT CAST(count(*) AS BIGINT) FROM d) AS docs_count, (SELECT CAST(sum(len({_TOK})) AS BIGINT) FROM d) AS total_tokens, CAST(count(DISTINCT term) AS BIGINT) AS unique_terms FROM p")
+def index_meta(spark: SparkSession, sf: str) -> DataFrame:
+    """Builds and stores a whole index, whether one is stored already or not."""
+    corpus = _title(_documents(spark, sf).select("doc_id", "source", "lang", "text"))
+    return I.build(corpus, order=("doc_id",)).save(new_folder(spark, "index")).meta.select("docs_count", "total_tokens", "unique_terms")
+
+
 # Boolean search
 
 
@@ -173,13 +206,8 @@ def _boolean(name: str, text: str, where: str, adjacency: str = "last") -> None:
 
 
 def _match(spark: SparkSession, sf: str, text: str, adjacency: str = "last") -> DataFrame:
-    """Over raw texts a query needs no postings table: a document's flags come from its own tokens in one scan."""
-    rows = _numbered(spark, sf).withColumn("words", X.tokens(F.col("text"), compose=False))
-    words = sorted(S.compile_query(text, adjacency).terms)
-    plain = [w for w in words if w == w.lower()]
-    # a word with capitals falls back to its lower case where it is in no document; folded tokens never have capitals
-    compiled = S.compile_query(text, adjacency, lambda w: F.array_contains("words", w if w in plain else w.lower()))
-    return rows.where(compiled.condition).select("docnum", "docid", "title")
+    ix = _index(spark, sf)
+    return S.matches(text, ix.postings, ix.forward, adjacency, ix.vocab)
 
 
 _has = lambda w: f"list_contains(t, '{w}')"
@@ -201,37 +229,47 @@ _boolean("bool_case_fallback", "THE && And", f"{_has('the')} AND {_has('and')}")
 _boolean("bool_single_ampersand", "the & der", _has("der"))
 _boolean("bool_unknown", "zzzz || !zzzz", "true")
 
-query("bool_setops", f"WITH {_DOCS}, {_FLAGS} SELECT docnum FROM w WHERE {_has('the')} INTERSECT SELECT docnum FROM w WHERE {_has('of')} UNION (SELECT docnum FROM w EXCEPT SELECT docnum FROM w WHERE {_has('der')})")(
-    lambda spark, sf: S.by_set_operations("the && of || !der", _postings(spark, sf), _forward(spark, sf))
-)
-query("bool_postings", f"WITH {_DOCS}, {_FLAGS} SELECT docnum, docid, title FROM w WHERE {_has('the')} AND NOT {_has('ach')} OR {_has('der')}")(lambda spark, sf: S.matches("the && !ach || der", _postings(spark, sf), _forward(spark, sf)))
+
+
+@query("bool_setops", f"WITH {_DOCS}, {_FLAGS} SELECT docnum FROM w WHERE {_has('the')} INTERSECT SELECT docnum FROM w WHERE {_has('of')} UNION (SELECT docnum FROM w EXCEPT SELECT docnum FROM w WHERE {_has('der')})")
+def bool_setops(spark: SparkSession, sf: str) -> DataFrame:
+    ix = _index(spark, sf)
+    return S.by_set_operations("the && of || !der", ix.postings, ix.forward, vocab=ix.vocab)
+
+
+@query("bool_postings", f"WITH {_DOCS}, {_FLAGS} SELECT docnum, docid, title FROM w WHERE {_has('the')} AND NOT {_has('ach')} OR {_has('der')}")
+def bool_postings(spark: SparkSession, sf: str) -> DataFrame:
+    """Postings made on the fly, without a stored index."""
+    rows = materialize(_numbered(spark, sf), "rows")
+    return S.matches("the && !ach || der", I.document_terms(rows), rows)
+
 
 _BATCH = [(1, "the && of", f"{_has('the')} AND {_has('of')}"), (2, "!the", f"NOT {_has('the')}"), (3, "der || que", f"{_has('der')} OR {_has('que')}"), (4, "the der", _has("der"))]
 query("query_batch", f"WITH {_DOCS}, {_FLAGS}, h AS (" + " UNION ALL ".join(f"SELECT {n} AS query_id, docnum, docid, title FROM w WHERE {c}" for n, _, c in _BATCH) + ") SELECT CAST(query_id AS INTEGER) AS query_id, row_number() OVER (PARTITION BY query_id ORDER BY docnum) AS nth, docnum, docid, title FROM h QUALIFY nth <= 50")(
-    lambda spark, sf: S.search_many([(n, q) for n, q, _ in _BATCH], _postings(spark, sf), _forward(spark, sf))
+    lambda spark, sf: (lambda ix: S.search_many([(n, q) for n, q, _ in _BATCH], ix.postings, ix.forward, vocab=ix.vocab))(_index(spark, sf))
 )
 query("search_top50", f"WITH {_DOCS}, {_FLAGS} SELECT docnum, docid, title FROM w WHERE {_has('the')} ORDER BY docnum LIMIT 50")(lambda spark, sf: _match(spark, sf, "the").orderBy("docnum").limit(50))
 query("search_page2", f"WITH {_DOCS}, {_FLAGS} SELECT docnum, docid, title FROM w WHERE {_has('the')} ORDER BY docnum LIMIT 50 OFFSET 50")(lambda spark, sf: _match(spark, sf, "the").orderBy("docnum").offset(50).limit(50))
 query("result_page_count", f"WITH {_DOCS}, {_FLAGS} SELECT CAST(count(*) AS BIGINT) AS total, CAST(greatest(1, ceil(count(*) / 50.0)) AS BIGINT) AS pages FROM w WHERE {_has('the')}")(lambda spark, sf: S.page_count(_match(spark, sf, "the")))
-query("doc_view", f"WITH {_DOCS} SELECT docnum, docid, title, substr(text, 1, 1000) AS snippet, text FROM d WHERE docnum = 7")(lambda spark, sf: S.document(7, _forward(spark, sf), _documents(spark, sf).select(F.col("doc_id").cast("string").alias("docid"), "text")))
+query("doc_view", f"WITH {_DOCS} SELECT docnum, docid, title, substr(text, 1, 1000) AS snippet, text FROM d WHERE docnum = 7")(lambda spark, sf: S.document(7, _index(spark, sf).forward, _documents(spark, sf).select(F.col("doc_id").cast("string").alias("docid"), "text")))
 query("doc_snippets", "SELECT doc_id, substr(text, 1, 1000) AS snippet FROM documents")(lambda spark, sf: _documents(spark, sf).select("doc_id", X.snippet(F.col("text")).alias("snippet")))
-query("phrase_search", f"WITH {_DOCS} SELECT docnum FROM d WHERE contains(' ' || array_to_string({_TOK}, ' ') || ' ', ' of the ')")(lambda spark, sf: S.phrase(["of", "the"], T.occurrences(_numbered(spark, sf), compose=False)))
+query("phrase_search", f"WITH {_DOCS} SELECT docnum FROM d WHERE contains(' ' || array_to_string({_TOK}, ' ') || ' ', ' of the ')")(lambda spark, sf: S.phrase(["of", "the"], T.occurrences(_numbered(spark, sf))))
 query("tf_idf_top", f"WITH {_DOCS}, o AS (SELECT docnum, unnest({_TOK}) AS term FROM d), tf AS (SELECT term, docnum, count(*) AS tf FROM o WHERE term IN ('with', 'from') GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term) SELECT docnum, round(sum(tf * ln((SELECT count(*) FROM d)::DOUBLE / df)), 6) AS score FROM tf JOIN df USING (term) GROUP BY docnum")(
-    lambda spark, sf: T.tf_idf(["with", "from"], _numbered(spark, sf), compose=False).select("docnum", F.round("score", 6).alias("score"))
+    lambda spark, sf: T.tf_idf(["with", "from"], _numbered(spark, sf)).select("docnum", F.round("score", 6).alias("score"))
 )
 
 # statistics, verification, crawl
 
 _RANKS = f"v AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({_TOK})) AS term FROM documents) GROUP BY term), r AS (SELECT row_number() OVER (ORDER BY df DESC, term) AS rank, df FROM v)"
-_vocab = lambda spark, sf: QUERIES["vocab_df"](spark, sf)
+_vocab = lambda spark, sf: _index(spark, sf).vocab
 query("zipf_rank", f"WITH {_RANKS} SELECT rank, CAST(df AS BIGINT) AS df FROM r WHERE rank <= 100000")(lambda spark, sf: T.rank_frequency(_vocab(spark, sf)))
 query("zipf_fit", f"WITH {_RANKS} SELECT (SELECT CAST(count(*) AS BIGINT) FROM v) AS total_terms, (SELECT CAST(sum(df) AS BIGINT) FROM v) AS total_tokens, CAST(count(*) AS BIGINT) AS n, round(regr_slope(ln(df), ln(rank)), 6) AS slope, round(regr_intercept(ln(df), ln(rank)), 6) AS intercept, round(regr_r2(ln(df), ln(rank)), 6) AS r2 FROM r WHERE rank <= 100000")(
     lambda spark, sf: T.zipf_report(_vocab(spark, sf)).select("total_terms", "total_tokens", "n", *[F.round(c, 6).alias(c) for c in ("slope", "intercept", "r2")])
 )
 query("verify_topk", f"WITH {_DOCS}, {_POST}, v AS (SELECT term, count(*) AS df FROM p GROUP BY term ORDER BY df DESC, term LIMIT 10) SELECT term, CAST(df AS BIGINT) AS df, CAST(df AS BIGINT) AS n_postings, CAST(least(df, 100) AS BIGINT) AS checked, CAST(0 AS BIGINT) AS mismatches FROM v")(
-    lambda spark, sf: V.verify(_vocab(spark, sf), _postings(spark, sf), _numbered(spark, sf), compose=False)
+    lambda spark, sf: V.verify(_vocab(spark, sf), _index(spark, sf).postings, _numbered(spark, sf))
 )
-query("verify_both_ways", "SELECT CAST(0 AS BIGINT) AS unsupported, CAST(0 AS BIGINT) AS missing")(lambda spark, sf: V.verify_all(_postings(spark, sf), T.occurrences(_numbered(spark, sf), compose=False).select("term", "docnum")))
+query("verify_both_ways", "SELECT CAST(0 AS BIGINT) AS unsupported, CAST(0 AS BIGINT) AS missing")(lambda spark, sf: V.verify_all(_index(spark, sf).postings, T.occurrences(_numbered(spark, sf)).select("term", "docnum")))
 query("resume_anti", "SELECT url AS title FROM pages p WHERE NOT EXISTS (SELECT 1 FROM pages q WHERE q.url = p.url AND q.page_id % 3 = 0)")(
     lambda spark, sf: crawl.not_yet(spark.read.parquet(f"{sf}/pages.parquet").select(F.col("url").alias("title")), spark.read.parquet(f"{sf}/pages.parquet").where("page_id % 3 = 0").select(F.col("url").alias("title")))
 )

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import sys
 import unicodedata
-from collections.abc import Iterator
-from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,9 +14,11 @@ SPACES = "  "
 VANISHING = "﻿­​‌‍"
 #: White space as Unicode-aware split() of strings sees it.
 WHITE = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
-#: Texts within these ranges are already in normal form C.
-NOT_SURELY_NFC = r"[^\x{0}-\x{2FF}\x{400}-\x{482}\x{2010}-\x{2027}]"
-TOKEN = r"([\p{L}\p{Nd}]+(?:[-'’][\p{L}\p{Nd}]+)*)"
+WHITE_NOT_SPACE = WHITE.replace("-\\x20", "-\\x1f")
+#: Characters that normal form C leaves as they are beside any others, and whose folding is their lower case (sharp s apart).
+PLAIN = r"\x{0}-\x{B4}\x{B6}-\x{148}\x{14A}-\x{17E}\x{180}-\x{1EF}\x{1F1}-\x{2FF}\x{400}-\x{482}\x{2010}-\x{2027}\x{2030}-\x{20CF}\x{3041}-\x{3096}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}"
+TOKEN = r"[\p{L}\p{Nd}]+(?:[-'’][\p{L}\p{Nd}]+)*"
+ASCII_TOKEN = r"[a-z0-9]+(?:[-'][a-z0-9]+)*"  # the same in lower-case ASCII texts
 WORD = r"[\p{L}\p{N}_]"
 #: The suffixes of the stemmer, longest first.
 SUFFIXES = (
@@ -28,37 +27,36 @@ SUFFIXES = (
 ).split()
 
 
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
+
+
+def is_plain(text: Column) -> Column:
+    """No character outside PLAIN.  Anchored and possessive: one pass, where a search for a character outside would start anew at each one."""
+    return is_ascii(text) | text.rlike(rf"\A[{PLAIN}]*+\z")
+
+
 def nfc(text: Column) -> Column:
-    """Normal form C.  Only texts with a character that may need it reach Python; the rest never leave the JVM's side of the plan but as nulls."""
+    """Normal form C.  Only texts that may need it reach Python, as Arrow arrays; the others are nulls there."""
 
-    @F.pandas_udf("string")
-    def compose(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+    @F.arrow_udf("string")
+    def compose(a: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else unicodedata.normalize("NFC", x) for x in a.to_pylist()], pa.string())
 
-    unsure = text.rlike(NOT_SURELY_NFC)
-    return F.coalesce(compose(F.when(unsure, text)), text)
+    plain = is_plain(text)
+    return F.when(plain, text).otherwise(compose(F.when(~plain, text)))
 
 
-@lru_cache(maxsize=1)
-def _fold_tables() -> tuple[str, str, list[tuple[str, str]]]:
-    """What case folding still changes in lower-case text: single characters, and those that become several."""
-    single, several = [], []
-    for c in map(chr, range(sys.maxunicode + 1)):
-        if c.lower() == c and c.casefold() != c:
-            (single if len(c.casefold()) == 1 else several).append((c, c.casefold()))
-    return "".join(a for a, _ in single), "".join(b for _, b in single), several
+def casefold(text: Column, compose: bool = False) -> Column:
+    """Full Unicode case folding, of composed text first where compose is set: lower case and sharp s for plain texts, Python for the others."""
 
+    @F.arrow_udf("string")
+    def fold(a: pa.Array) -> pa.Array:
+        composed = (None if x is None else unicodedata.normalize("NFC", x) if compose else x for x in a.to_pylist())
+        return pa.array([None if x is None else x.casefold() for x in composed], pa.string())
 
-def casefold(text: Column) -> Column:
-    """Full Unicode case folding: lower case and sharp s on the common path, the complete tables where a text has a rarer character."""
-    low = F.lower(text)
-    old, new, several = _fold_tables()
-    rare = text.rlike(r"[^\x{0}-\x{B4}\x{B6}-\x{148}\x{14A}-\x{17E}\x{400}-\x{52F}\x{2000}-\x{2116}]")
-    full = F.translate(low, old, new)
-    for c, folded in several:
-        full = F.replace(full, F.lit(c), F.lit(folded))
-    return F.when(rare, full).otherwise(F.replace(low, F.lit("ß"), F.lit("ss")))
+    plain = is_plain(text)
+    return F.when(is_ascii(text), F.lower(text)).when(plain, F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))).otherwise(fold(F.when(~plain, text)))
 
 
 def fold_signs(text: Column) -> Column:
@@ -67,12 +65,13 @@ def fold_signs(text: Column) -> Column:
 
 
 def collapse_space(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, WHITE + "+", " "))
+    # what is one space already isn't matched
+    return F.trim(F.regexp_replace(text, f" {WHITE}+|{WHITE_NOT_SPACE}{WHITE}*", " "))
 
 
 def normalize(text: Column, compose: bool = True) -> Column:
     """What the tokenizer sees.  compose=False skips NFC for texts known to be composed."""
-    return collapse_space(fold_signs(casefold(nfc(text) if compose else text)))
+    return collapse_space(fold_signs(casefold(text, compose)))
 
 
 def tokens(text: Column, mode: str = "unicode", compose: bool = True) -> Column:
@@ -87,12 +86,19 @@ def tokens(text: Column, mode: str = "unicode", compose: bool = True) -> Column:
     if mode != "unicode":
         raise ValueError(f"unknown tokenizer {mode!r}")
     # signs are folded before the pattern; collapsing white space can't change what it finds
-    return F.regexp_extract_all(fold_signs(casefold(nfc(text) if compose else text)), F.lit(TOKEN), 1)
+    ascii_ = is_ascii(text)
+    folded = F.when(ascii_, F.lower(text)).otherwise(fold_signs(casefold(text, compose)))
+    return F.regexp_extract_all(folded, F.when(ascii_, F.lit(ASCII_TOKEN)).otherwise(F.lit(TOKEN)), 0)
 
 
 def stem(word: Column) -> Column:
     """Lower case without the longest listed suffix that leaves three characters or more; one pass."""
-    return F.regexp_replace(F.lower(word), "^(.{3,}?)(?:" + "|".join(SUFFIXES) + ")$", "$1")
+    low = F.lower(word)
+    size, out = F.char_length(low), F.when(is_ascii(low), low)  # no suffix is ASCII
+    for n in sorted({len(s) for s in SUFFIXES}, reverse=True):
+        fits = (size >= n + 3) & F.right(low, F.lit(n)).isin(*[s for s in SUFFIXES if len(s) == n])
+        out = out.when(fits, F.left(low, size - n))
+    return out.otherwise(low)
 
 
 def has_alnum(word: Column) -> Column:
@@ -105,10 +111,10 @@ def clean(text: Column, glue: bool = True, compose: bool = True) -> Column:
     glue also joins a word of exactly four characters to a following one of exactly three.
     """
     text = F.coalesce(text, F.lit(""))
-    x = fold_signs(nfc(text) if compose else text)
-    x = F.regexp_replace(x, r"[\p{Cc}&&[^\n\r]]", "")
+    x = F.when(is_ascii(text), text).otherwise(fold_signs(nfc(text) if compose else text))
+    x = F.when(x.rlike(r"\A[\n\r\x20-\x7E\x{A0}-\x{10FFFF}]*+\z"), x).otherwise(F.regexp_replace(x, r"[\p{Cc}&&[^\n\r]]", ""))
     side = "([A-Za-zА-Яа-яЁё0-9])"
-    x = F.regexp_replace(x, f"{side}{WHITE}*-{WHITE}*[\\r\\n]+{WHITE}*{side}", "$1$2")
+    x = F.when(x.rlike(f"-{WHITE}*[\\r\\n]"), F.regexp_replace(x, f"{side}{WHITE}*-{WHITE}*[\\r\\n]+{WHITE}*{side}", "$1$2")).otherwise(x)
     x = collapse_space(x)
     return F.regexp_replace(x, f"(?<=(?<!{WORD}){WORD}{{4}}) +(?={WORD}{{3}}(?!{WORD}))", "") if glue else x
 

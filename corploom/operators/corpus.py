@@ -7,25 +7,27 @@ from pyspark.sql import functions as F
 
 from corploom.functions import text as X
 
-from .shared import pin
+from .shared import materialize
 
 
 def number_rows(df: DataFrame, *order: Column | str, name: str = "docnum") -> DataFrame:
-    """df with a dense 1-based number in the given order, without a single-partition window.
+    """df with a dense 1-based number in the given order, without a single-partition window and without a join of df.
 
-    Rows are range-partitioned and sorted; a row's place in its partition comes
-    from its generated id, and each partition's base from the counts of those
-    before it - one row a partition, so the broadcast is bounded by their number.
-    The order must be total.
+    Rows are range-partitioned, sorted and written once with their partition and
+    their place in it; each partition's base comes from the counts of those before
+    it - one row a partition, so the broadcast is bounded by their number.  Rows
+    that tie in order get numbers of their own, nulls come first.
     """
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = pin(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("__id", F.monotonically_increasing_id()))
-    placed = placed.withColumn("__part", F.shiftright("__id", 33)).withColumn("__at", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
+    tied = df.withColumn("__row", F.monotonically_increasing_id())  # so that equal keys don't have to share a partition
+    spot = F.monotonically_increasing_id()
+    placed = tied.repartitionByRange(n, *keys, "__row").sortWithinPartitions(*keys, "__row").drop("__row")
+    placed = materialize(placed.withColumn("__id", spot).withColumns({"__part": F.shiftright("__id", 33), "__at": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("__id"), "numbered")
     counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    return placed.join(F.broadcast(base), "__part").withColumn(name, (F.col("__base") + F.col("__at") + 1).cast("long")).drop("__id", "__part", "__at", "__base")
+    return placed.join(F.broadcast(base), "__part").withColumn(name, (F.col("__base") + F.col("__at") + 1).cast("long")).drop("__part", "__at", "__base")
 
 
 def first_wins(df: DataFrame, key: Column | str, order: Column | str) -> DataFrame:

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import subprocess
 from collections.abc import Callable
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corploom.functions import text as X
 from corploom.functions import varint
+from corploom.sources.files import file_sha1
 
 from .corpus import number_rows
-from .shared import pin
+from .shared import materialize
 
 
 @dataclass
@@ -42,17 +45,29 @@ def number(corpus: DataFrame, *order: str) -> DataFrame:
     """corpus with docnum, by the given order (default: part file and line, else docid)."""
     if not order:
         order = ("part_file", "block", "line_no") if "part_file" in corpus.columns else ("docid",)
-    keys = number_rows(corpus.select(*order), *order)
-    return corpus.join(keys, list(order))
+    return number_rows(corpus, *order)
+
+
+def stem_once(terms: DataFrame, stemmer: Callable[[Column], Column]) -> DataFrame:
+    """terms with stems for terms, every distinct term stemmed once and joined back: for stemmers dearer than a shuffle of the postings."""
+    stems = terms.select("term").distinct().withColumn("__stem", stemmer(F.col("term")))
+    return terms.join(stems, "term").withColumn("term", F.col("__stem")).drop("__stem")
+
+
+def _posted(terms: DataFrame, mode: str, stemmer: Callable[[Column], Column] | None) -> DataFrame:
+    """Surface terms as they are indexed: the built-in stemmer is a few substrings and stays in line, any other is asked once a term."""
+    if stemmer is X.stem:
+        terms = terms.withColumn("term", X.stem(F.col("term")))
+    elif stemmer is not None:
+        terms = stem_once(terms, stemmer)
+    # a token of the unicode tokenizer begins with a letter or a digit, and the built-in stemmer keeps beginnings
+    return terms if mode == "unicode" and stemmer in (None, X.stem) else terms.where(X.has_alnum(F.col("term")))
 
 
 def document_terms(numbered: DataFrame, mode: str = "unicode", stemmer: Callable[[Column], Column] | None = None, compose: bool = True) -> DataFrame:
     """(docnum, term) once for each distinct surface token, stemmed afterwards: forms that share a stem repeat it."""
     surface = F.explode(F.array_distinct(X.tokens(F.col("text"), mode, compose)))
-    terms = numbered.select("docnum", surface.alias("term"))
-    if stemmer is not None:
-        terms = terms.withColumn("term", stemmer(F.col("term")))
-    return terms.where(X.has_alnum(F.col("term")))
+    return _posted(numbered.select("docnum", surface.alias("term")), mode, stemmer)
 
 
 def vocabulary(terms: DataFrame) -> DataFrame:
@@ -80,7 +95,7 @@ def with_offsets(blocks: DataFrame) -> DataFrame:
     those before it, one row a partition.
     """
     n = max(1, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = pin(blocks.repartitionByRange(n, "term").withColumn("__part", F.spark_partition_id()))
+    placed = materialize(blocks.repartitionByRange(n, "term").withColumn("__part", F.spark_partition_id()), "blocks")
     totals = placed.groupBy("__part").agg(F.sum("length").alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
@@ -93,19 +108,39 @@ def packed(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(varint.encode_block(F.array_sort(F.collect_list("docnum"))).alias("block"))
 
 
+def _commit() -> str | None:
+    """The commit that this package was built from, where it lies in a repository."""
+    try:
+        told = subprocess.run(["git", "rev-parse", "HEAD"], cwd=Path(__file__).parent, capture_output=True, text=True, timeout=10, check=True)
+    except (OSError, subprocess.SubprocessError):
+        return None
+    return told.stdout.strip()
+
+
 def build(corpus: DataFrame, mode: str = "unicode", stemmer: Callable[[Column], Column] | None = None, sample: int = 0, compose: bool = True, order: tuple[str, ...] = ()) -> Index:
-    """Index of a corpus (docid, title, text, order columns); sample N keeps the first N documents, 0 all."""
+    """Index of a corpus (docid, title, text, order columns); sample N keeps the first N documents, 0 all.
+
+    Every text is tokenized once, into a work table that the other tables come from.
+    meta tells the stemmer's name and the digests of the files that define index and tokens.
+    """
     numbered = number(corpus, *order)
     if sample:
         numbered = numbered.where(F.col("docnum") <= sample)
-    forward = numbered.select("docnum", "docid", "title", F.size(X.tokens(F.col("text"), mode, compose)).cast("long").alias("n_tokens"))
-    terms = document_terms(numbered, mode, stemmer, compose)
-    postings = terms.groupBy("term", "docnum").agg(F.count(F.lit(1)).alias("n"))
+    toks = X.tokens(F.col("text"), mode, compose)
+    cut = materialize(numbered.select("docnum", "docid", "title", F.size(toks).cast("long").alias("n_tokens"), F.array_distinct(toks).alias("terms")), "tokens")
+    forward = cut.select("docnum", "docid", "title", "n_tokens")
+    terms = _posted(cut.select("docnum", F.explode("terms").alias("term")), mode, stemmer)
+    # without a stemmer a document has a term once already
+    postings = terms.withColumn("n", F.lit(1).cast("long")) if stemmer is None else materialize(terms.groupBy("term", "docnum").agg(F.count(F.lit(1)).alias("n")), "postings")
     sizes = with_offsets(block_sizes(postings.select("term", "docnum")))
-    counts = postings.groupBy("term").agg(F.sum("n").alias("df_postings"))
-    vocab = sizes.join(counts, "term").select("term", "df", "df_postings", "offset", "length")
+    if stemmer is None:
+        vocab = sizes.select("term", "df", F.col("df").alias("df_postings"), "offset", "length")
+    else:
+        vocab = sizes.join(postings.groupBy("term").agg(F.sum("n").alias("df_postings")), "term").select("term", "df", "df_postings", "offset", "length")
     stats = forward.agg(F.count(F.lit(1)).alias("docs_count"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("total_tokens"))
-    meta = stats.crossJoin(counts.agg(F.count(F.lit(1)).alias("unique_terms"))).withColumns({
+    text = lambda x: F.lit(x).cast("string")
+    meta = stats.crossJoin(sizes.agg(F.count(F.lit(1)).alias("unique_terms"))).withColumns({
         "created_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"), "sample": F.lit(sample or None).cast("long"), "stemmed": F.lit(stemmer is not None), "tokenizer": F.lit(mode),
+        "stemmer": text(getattr(stemmer, "__name__", None)), "build_sha1": text(file_sha1(__file__)), "tokenizer_sha1": text(file_sha1(X.__file__)), "commit": text(_commit()),
     })
     return Index(forward, postings.select("term", "docnum"), vocab, meta)

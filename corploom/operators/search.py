@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corploom.plans.boolean import compile_query, lex, postfix
@@ -17,15 +17,25 @@ def lookup(words: list[str], vocab: DataFrame | None, postings: DataFrame) -> Da
     """(word, docnum): postings of each word, of its lower case where the word itself is in no document.
 
     The words are the query's own, so the filter on term is an IN list that
-    reaches the scan.
+    reaches the scan.  Only words that have a lower case of their own ask the
+    vocabulary (without one, the postings) whether they exist.
     """
     spark = postings.sparkSession
-    asked = sorted(set(words) | {w.lower() for w in words})
-    known = (vocab if vocab is not None else postings).where(F.col("term").isin(*asked)).select("term").distinct()
-    wanted = spark.createDataFrame([(w, w.lower()) for w in sorted(set(words))], "word string, low string")
-    exact = known.select(F.col("term").alias("word"), F.lit(True).alias("hit"))
-    term = wanted.join(F.broadcast(exact), "word", "left").select("word", F.when(F.col("hit"), F.col("word")).otherwise(F.col("low")).alias("term"))
-    return postings.where(F.col("term").isin(*asked)).join(F.broadcast(term), "term").select("word", "docnum")
+    plain, capital = [w for w in sorted(set(words)) if w == w.lower()], [w for w in sorted(set(words)) if w != w.lower()]
+    held = postings.where(F.col("term").isin(*plain)).select(F.col("term").alias("word"), "docnum")
+    if not capital:
+        return held
+    known = (vocab if vocab is not None else postings).where(F.col("term").isin(*capital)).select("term").distinct()
+    wanted = spark.createDataFrame([(w, w.lower()) for w in capital], "word string, low string")
+    term = wanted.join(F.broadcast(known), F.col("word") == F.col("term"), "left").select("word", F.coalesce("term", "low").alias("term"))
+    asked = sorted({*capital, *(w.lower() for w in capital)})
+    return held.union(postings.where(F.col("term").isin(*asked)).join(F.broadcast(term), "term").select("word", "docnum"))
+
+
+def _flags(names: dict[str, str], vocab: DataFrame | None, postings: DataFrame) -> DataFrame:
+    """(docnum, a flag for each word) of the documents that have any: names maps words to the flags' names."""
+    found = lookup(list(names), vocab, postings)
+    return found.groupBy("docnum").agg(*[F.max(F.col("word") == w).alias(name) for w, name in names.items()])
 
 
 def matches(query: str, postings: DataFrame, forward: DataFrame, adjacency: str = "last", vocab: DataFrame | None = None) -> DataFrame:
@@ -39,9 +49,7 @@ def matches(query: str, postings: DataFrame, forward: DataFrame, adjacency: str
     rows = forward.select("docnum", "docid", "title")
     if not compiled.terms:
         return rows.where(compiled.condition)
-    found = lookup(list(compiled.terms), vocab, postings)
-    flags = found.groupBy("docnum").agg(*[F.max(F.col("word") == w).alias(name) for w, name in compiled.terms.items()])
-    return rows.join(flags, "docnum", "left").where(compiled.condition).select("docnum", "docid", "title")
+    return rows.join(_flags(compiled.terms, vocab, postings), "docnum", "left").where(compiled.condition).select("docnum", "docid", "title")
 
 
 def search(query: str, postings: DataFrame, forward: DataFrame, adjacency: str = "last", limit: int = PAGE, vocab: DataFrame | None = None) -> DataFrame:
@@ -65,9 +73,9 @@ def page_count(found: DataFrame) -> DataFrame:
     return found.agg(total.alias("total"), F.greatest(F.lit(1), F.ceil(total / PAGE)).cast("long").alias("pages"))
 
 
-def search_page(query: str, page: int, postings: DataFrame, forward: DataFrame, adjacency: str = "last") -> Page:
+def search_page(query: str, page: int, postings: DataFrame, forward: DataFrame, adjacency: str = "last", vocab: DataFrame | None = None) -> Page:
     """A page of matches; page numbers outside are moved to the nearest page."""
-    found = matches(query, postings, forward, adjacency)
+    found = matches(query, postings, forward, adjacency, vocab)
     count = page_count(found).first()
     page = min(max(1, page), count["pages"])
     start = (page - 1) * PAGE
@@ -81,11 +89,7 @@ def document(docnum: int, forward: DataFrame, corpus: DataFrame, snippet: int =
     return one.join(corpus.select("docid", "text"), "docid", "left").select("docnum", "docid", "title", F.substring("text", 1, snippet).alias("snippet"), "text")
 
 
-def _stack(query: str, adjacency: str, words: Column) -> Column:
-    return compile_query(query, adjacency, lambda w: F.array_contains(words, w)).condition
-
-
-def search_many(queries: list[tuple[int, str]], postings: DataFrame, forward: DataFrame, adjacency: str = "last", limit: int = PAGE) -> DataFrame:
+def search_many(queries: list[tuple[int, str]], postings: DataFrame, forward: DataFrame, adjacency: str = "last", limit: int = PAGE, vocab: DataFrame | None = None) -> DataFrame:
     """(query_id, nth, docnum, docid, title): the first limit matches of every query, in one job.
 
     The postings of all words are read once and turned into one row of flags a
@@ -93,17 +97,18 @@ def search_many(queries: list[tuple[int, str]], postings: DataFrame, forward: Da
     caller's, on the driver already.
     """
     words = sorted({w for _, q in queries for w in compile_query(q, adjacency).terms})
+    names = {w: f"w{i}" for i, w in enumerate(words)}
     rows = forward.select("docnum", "docid", "title")
-    found = lookup(words, None, postings).groupBy("docnum").agg(F.collect_set("word").alias("words")) if words else None
-    rows = rows.join(found, "docnum", "left") if found is not None else rows.withColumn("words", F.lit(None).cast("array<string>"))
-    rows = rows.withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
-    hits = F.filter(F.array(*[F.when(F.coalesce(_stack(q, adjacency, F.col("words")), F.lit(False)), F.lit(n)) for n, q in queries]), lambda x: x.isNotNull())
-    hit = rows.withColumn("query_id", F.explode(hits)).drop("words")
+    if words:
+        rows = rows.join(_flags(names, vocab, postings), "docnum", "left")
+    says = lambda q: compile_query(q, adjacency, lambda w: F.coalesce(F.col(names[w]), F.lit(False))).condition
+    hits = F.filter(F.array(*[F.when(says(q), F.lit(n)) for n, q in queries]), lambda x: x.isNotNull())
+    hit = rows.select("docnum", "docid", "title", F.explode(hits).alias("query_id"))
     order = Window.partitionBy("query_id").orderBy("docnum")
     return hit.withColumn("nth", F.row_number().over(order).cast("long")).where(F.col("nth") <= limit).select("query_id", "nth", "docnum", "docid", "title")
 
 
-def by_set_operations(query: str, postings: DataFrame, forward: DataFrame, adjacency: str = "last") -> DataFrame:
+def by_set_operations(query: str, postings: DataFrame, forward: DataFrame, adjacency: str = "last", vocab: DataFrame | None = None) -> DataFrame:
     """(docnum) by INTERSECT, UNION and EXCEPT: the query's set algebra spelt out."""
     universe, empty = forward.select("docnum"), forward.select("docnum").where(F.lit(False))
     stack: list[DataFrame] = []
@@ -115,15 +120,17 @@ def by_set_operations(query: str, postings: DataFrame, forward: DataFrame, adjac
             b, a = take(), take()
             stack.append(a.intersect(b) if x == "&&" else a.union(b).distinct())
         else:
-            stack.append(lookup([x], None, postings).select("docnum"))
+            stack.append(lookup([x], vocab, postings).select("docnum"))
     return stack[-1] if stack else empty
 
 
 def phrase(words: list[str], positions: DataFrame, window: int | None = None) -> DataFrame:
     """(docnum) where the words stand in a row, or, with window, all within so many places: positions (docnum, term, pos)."""
-    parts = [positions.where(F.col("term") == w).select("docnum", (F.col("pos") - i).alias("start")) for i, w in enumerate(words)]
     if window is None:
-        return reduce(lambda a, b: a.join(b, ["docnum", "start"]), parts).select("docnum").distinct()
+        # one scan: a word at place i of the phrase votes for the start i before it, and a start with all votes is a hit
+        starts = F.filter(F.array(*[F.when(F.col("term") == w, F.col("pos") - i) for i, w in enumerate(words)]), lambda x: x.isNotNull())
+        votes = positions.where(F.col("term").isin(*words)).select("docnum", F.explode(starts).alias("start")).groupBy("docnum", "start").agg(F.count(F.lit(1)).alias("n"))
+        return votes.where(F.col("n") == len(words)).select("docnum").distinct()
     each = [positions.where(F.col("term") == w).select("docnum", F.col("pos").alias(f"p{i}")) for i, w in enumerate(words)]
     joined = reduce(lambda a, b: a.join(b, "docnum"), each)
     names = [f"p{i}" for i in range(len(words))]

@@ -1,20 +1,72 @@
-"""Pinning a DataFrame whose partitioning must be the same wherever it is read."""
+"""Work tables of long jobs, in the folder that driver and executors share."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_made: list[tuple[SparkSession, str]] = []
 
-def pin(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the folder of spark.checkpoint.dir; a folder of our own only where none is set.
 
-    Range boundaries are sampled anew each time a plan runs, so partition numbers
-    may only be compared between readers of one checkpoint.
+def work_folder(spark: SparkSession) -> str:
+    """This application's folder for work tables: under spark.checkpoint.dir, else under the context's checkpoint folder.
+
+    Only where neither is set (tests, a laptop) a folder of our own becomes the
+    checkpoint folder.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and not sc._jsc.sc().getCheckpointDir().isDefined():  # noqa: SLF001
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="corploom-"))
-    return df.checkpoint(eager=True)
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not sc._jsc.sc().getCheckpointDir().isDefined():  # noqa: SLF001
+            sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="corploom-"))
+        root = sc._jsc.sc().getCheckpointDir().get()  # noqa: SLF001
+    return f"{root.rstrip('/')}/corploom-{sc.applicationId}"
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder that no one else writes; what is put there goes when the driver ends."""
+    path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write df as a work table and return a scan of it.  The table goes with release(), at the latest when the driver ends.
+
+    What depends on how a plan ran - generated ids, partition numbers, sampled
+    ranges - is fixed from here on, and a lost executor costs a re-read.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._work_path = path  # noqa: SLF001
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete work tables that nothing will read any more."""
+    for df in tables:
+        path = getattr(df, "_work_path", None)
+        if path:
+            _delete(df.sparkSession, path)
+            _made[:] = [m for m in _made if m[1] != path]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)  # noqa: SLF001
+
+
+def _sweep() -> None:
+    for spark, path in _made:
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001  the session may be gone, and the folder with it
+            return
+
+
+atexit.register(_sweep)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from corploom.functions import text as X
 
+from .shared import materialize
+
 
 def top_by_df(vocab: DataFrame, k: int = 10) -> DataFrame:
     return vocab.orderBy(F.desc("df"), "term").limit(k)
@@ -23,10 +25,12 @@ def verify(vocab: DataFrame, postings: DataFrame, numbered: DataFrame, top: int
     """
     few = top_by_df(vocab, top).select("term", "df")
     held = postings.join(F.broadcast(few), "term")
-    first = held.withColumn("nth", F.row_number().over(Window.partitionBy("term").orderBy("docnum"))).where(F.col("nth") <= per_term)
+    first = materialize(held.withColumn("nth", F.row_number().over(Window.partitionBy("term").orderBy("docnum"))).where(F.col("nth") <= per_term), "checked")
     toks = X.tokens(F.col("text"), mode, compose)
     forms = F.transform(toks, stemmer if stemmer is not None else F.lower)
-    texts = numbered.select("docnum", F.array_distinct(forms).alias("forms"))
+    # at most top * per_term documents are asked for, so they are broadcast and only their texts are cut
+    asked = numbered.join(F.broadcast(first.select("docnum").distinct()), "docnum", "left_semi")
+    texts = asked.select("docnum", F.array_distinct(forms).alias("forms"))
     seen = first.select("term", "df", "docnum").join(texts, "docnum", "left")
     good = F.coalesce(F.array_contains("forms", F.col("term")) | F.array_contains("forms", F.lower("term")), F.lit(False))
     checked = seen.groupBy("term", "df").agg(F.count(F.lit(1)).alias("checked"), F.count_if(~good).alias("mismatches"))

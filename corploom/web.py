@@ -22,7 +22,7 @@ def results(ix: Index, q: str, page: str = "1") -> str:
     """The result page; a page that isn't a number raises ValueError, a blank query gets a message."""
     if not q.strip():
         return FORM.format(q="") + "<p>Empty query.</p>"
-    p = search.search_page(q.strip(), int(page), ix.postings, ix.forward)
+    p = search.search_page(q.strip(), int(page), ix.postings, ix.forward, vocab=ix.vocab)
     items = "".join(f'<li><a href="/doc/{r["docnum"]}">{escape(r["title"] or "")}</a> <small>{escape(r["docid"] or "")}</small></li>' for r in p.rows)
     link = lambda n, text: f'<a href="/search?q={quote_plus(q)}&page={n}">{text}</a> '
     nav = (link(p.page - 1, "previous") if p.page > 1 else "") + (link(p.page + 1, "next") if p.page < p.pages else "")
