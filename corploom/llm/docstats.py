@@ -130,13 +130,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
     """(doc_id, text, label) of at most bound labelled documents, the same ones at every run.
 
     The sample is of labels, taken by the least hash of doc_id, so its size is
-    bounded whatever the tables' sizes, and it is what is broadcast.  Labels that
-    are null or that disagree for one doc_id aren't used.
+    bounded whatever the tables' sizes, and it is what is broadcast.  Of rows that
+    repeat a doc_id the one of the least text is taken.  Labels that are null or
+    that disagree for one doc_id aren't used.
     """
     one = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("__most"))
     one = one.where(F.col("label") == F.col("__most")).select("doc_id", F.col("label").cast("int").alias("label"))
     picked = one.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(bound)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    held = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return held.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -131,7 +131,8 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS, per_doc: int = 2, seed: int
     """
     able = docs.where(F.col("lang").isNotNull() & ~held_out() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     picked = able.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(rows).distinct()
-    sample = able.select("doc_id", "text", "lang").join(F.broadcast(picked), "doc_id")
+    # of rows that repeat a doc_id one is taken, so the bound holds for rows too
+    sample = able.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("row")).select("doc_id", "row.text", "row.lang")
     small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -172,6 +172,96 @@ def test_grammar_negated_threat():
     assert g.clause("he said i will not kill you") == pytest.approx(0.6 * 1.5)
 
 
+def test_grammar_reads_sentences():
+    g = toxicity.Grammar({})
+    weight = {c: g.clause(c) for c in (
+        "that idiot", "you idiot", "you are not an idiot", "no, you idiot", "he said: you are an idiot", "he said, you are an idiot", "you are an idiot. he said so", "idiot, you", "the book \"the idiot\" is long",
+        "she quoted: \"i will kill you\"", "they kill. you", "kill the process", "you are kind; an idiot",
+    )}
+    assert weight["that idiot"] == toxicity.BARE * 2 == weight["you are kind; an idiot"]
+    assert weight["you idiot"] == weight["no, you idiot"] == weight["you are an idiot. he said so"] == 2.0
+    assert weight["you are not an idiot"] == 1.0
+    assert weight["he said: you are an idiot"] == weight["he said, you are an idiot"] == pytest.approx(1.2)
+    assert weight["idiot, you"] == pytest.approx(2.4)
+    assert weight["the book \"the idiot\" is long"] == pytest.approx(0.24)
+    assert weight["she quoted: \"i will kill you\""] == pytest.approx(3 * 0.36)
+    assert weight["they kill. you"] == weight["kill the process"] == 0
+
+
+def slow_sentences(g, text):
+    """What the grammar's rules say of each sentence, by distances between words and without any states."""
+    word = re.compile(r"[^\W\d_]+|[\"“”«»]|[,:\n]|[.!?;]+")
+    out, sentence, open_for = [], [], 0
+    for w in [*word.findall(text), None]:
+        if w is not None and w[0] not in ".!?;":
+            symbol, weight = g.symbol(w)
+            if symbol == toxicity.QUOTE:
+                open_for = 0 if open_for else 3
+            sentence.append((symbol, weight, open_for > 0))
+            continue
+        total, at = 0.0, lambda kind, i, reach: [j for j in range(max(0, i - reach), i) if sentence[j][0] == kind]  # noqa: B023
+        negated = lambda i: any(all(sentence[k][0] != toxicity.BREAK for k in range(j, i)) for j in at(toxicity.NEGATION, i, 3))  # noqa: B023
+        for i, (symbol, weight, quoted) in enumerate(sentence):
+            scale = (0.6 if at(toxicity.REPORT, i, i) else 1) * (0.6 if quoted else 1)
+            if symbol == toxicity.INSULT:
+                total += weight * scale * (0.5 if negated(i) else 1) * (1 if at(toxicity.TARGET, i, 4) else toxicity.BARE)
+            if symbol == toxicity.TARGET:
+                verbs, insults = at(toxicity.THREAT, i, 3), at(toxicity.INSULT, i, 2)
+                if verbs:
+                    total += scale * (1.5 if all(negated(j) for j in verbs) else 3.0)
+                if insults and not at(toxicity.TARGET, insults[-1], 4) and not at(toxicity.TARGET, i, i - insults[-1]):
+                    total += scale * 2.0
+        out.append(total)
+        sentence, open_for = [], max(0, open_for - 1)
+    return out
+
+
+def test_features_against_a_slow_version():
+    import pyarrow as pa
+
+    rng, g = np.random.default_rng(8), toxicity.Grammar({"grob": 3.5, "vile": 1.25})
+    vocabulary = "you idiot grobian vilest kill not said , : \" . ! the sky er « \n ein moron hurt them never wrote ; x7 é".split(" ")
+    texts = [" ".join(rng.choice(vocabulary, int(n))) for n in rng.integers(0, 60, 400)] + ["", "(idiot)you", "IDIOT YOU", "l’idiot", "\nidiot\nyou\n"]
+    x, worst = g.features(pa.array([*texts, None]))
+    for i, text in enumerate([*texts, ""]):
+        want = slow_sentences(g, text.lower())
+        assert np.allclose(x[i], [max(want), np.log1p(sum(want)), np.log1p(sum(w > 1e-12 for w in want))]), text
+        assert (worst[i][0] is None) == (max(want) == 0)
+        if worst[i][0] is not None:
+            assert worst[i][0] in text.lower()
+
+
+def test_matched_clauses_decide_not_words(monkeypatch):
+    """Documents that differ by the clause around a word, not by the word: only the machine tells them apart."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    filler = lambda: " ".join(rng.choice(["sky", "blue", "river", "stone", "walk", "green"], 12))
+    aimed = ["you are a {}", "they are {} people", "{}, you", "today you {} must go"]
+    other = ["the {} is a word", "you are not a {}", "he said: you are a {}", "the title “you {}” is old", "she wrote that they are {}"]
+    make = lambda toxic: f"{filler()}. {rng.choice(aimed if toxic else other).format(rng.choice(['idiot', 'moron', 'scum', 'clown']))}. {filler()}"
+    y = rng.integers(0, 2, 600)
+    texts = pa.array([make(t) for t in y])
+
+    def accuracy():
+        g = toxicity.Grammar({})
+        x, _ = g.features(texts)
+        g.curve = toxicity.fit_curve(x[:400], y[:400].astype(float))
+        return ((g.score(x[400:]) >= 0.5) == y[400:]).mean()
+
+    assert accuracy() > 0.95
+    cells = 9
+    monkeypatch.setattr(toxicity, "_tables", lambda: ([0] * cells, [1.0] * cells, [0.0] * cells))  # the machine does nothing
+    assert accuracy() < 0.7
+
+
+def test_learned_stems_are_not_capped(spark):
+    rows = [(i, " ".join(f"{chr(97 + n % 26)}{chr(97 + n // 26)}qx word" for n in range(60 if i % 2 else 0)) + " plain", i % 2) for i in range(60)]
+    stems = toxicity.learn_stems(spark.createDataFrame(rows, "doc_id long, text string, label int"))
+    assert len(stems) == 61  # sixty words, and the one that stands between them
+    assert all(len(s) == 4 for s in stems)
+
+
 # BPE
 
 
