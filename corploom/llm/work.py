@@ -1,68 +1,18 @@
 """Work tables in the cluster's shared folder, and the shape of Python batches.
 
-Long jobs cut their lineage by writing Parquet under ``spark.checkpoint.dir``:
-every executor and the driver can read it, so a lost executor costs a re-read
-and not a recomputation.  The setting is read from the session; only where it
-is unset (tests, a laptop) a folder is made for this session.
+Long jobs cut their lineage by writing Parquet into the application's folder (see
+``corploom.operators.shared``): every executor and the driver can read it, so a lost
+executor costs a re-read and not a recomputation.
 """
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
+from corploom.operators.shared import materialize, release
 from corploom.shipping import ship
 
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder for work tables: spark.checkpoint.dir, or one of our own where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="corploom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a work table and return a scan of it; the table goes when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/work-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _made.append((spark, path))
-    # the plan that wrote the table is garbage now; collecting it lets Spark delete its shuffle files before the next step fills the disks
-    spark.sparkContext._jvm.System.gc()  # noqa: SLF001
-    out = spark.read.schema(df.schema).parquet(path)
-    out._work_path = path  # noqa: SLF001
-    return out
-
-
-def release(df: DataFrame) -> None:
-    """Delete a work table that nothing will read any more."""
-    path = getattr(df, "_work_path", None)
-    if path:
-        _delete(df.sparkSession, path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)  # noqa: SLF001
-
-
-def _sweep() -> None:
-    for spark, path in _made:
-        try:
-            _delete(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone, and the folder with it
-            return
-
-
-atexit.register(_sweep)
+__all__ = ["materialize", "parallelism", "release", "small_batches"]
 
 
 def small_batches(spark: SparkSession, rows: int = 2000, size: str = "4m") -> None:

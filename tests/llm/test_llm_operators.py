@@ -383,6 +383,81 @@ def test_embeddings(spark):
     assert covertree.near_duplicates(df.limit(0)).count() == 0
 
 
+def brute_links(rows, cosine=0.93):
+    """{vec_id: (n_links, component_id)} of (vec_id, vector, label), ids unique and vectors sound."""
+    x, labels, ids = np.array([v for _, v, _ in rows], float), np.array([lab for *_, lab in rows]), np.array([i for i, *_ in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    linked = (x @ x.T >= cosine) & (labels[:, None] == labels)
+    np.fill_diagonal(linked, False)
+    root = ids.copy()
+    while True:
+        new = np.array([min(root[i], root[linked[i]].min(initial=root[i])) for i in range(len(ids))])
+        if (new == root).all():
+            return {int(i): (int(n), int(r)) for i, n, r in zip(ids, linked.sum(axis=1), root, strict=True)}
+        root = new
+
+
+def test_embeddings_in_blocks(spark):
+    """A group of near copies beyond any block, a group that codes can't decide, and noise: every kind of pair occurs and all agree with brute force."""
+    rng = np.random.default_rng(11)
+    noise, hot, edge = rng.normal(size=(300, 12)), rng.normal(size=12), np.eye(12)[0]
+    side = np.linalg.qr(np.column_stack([edge, rng.normal(size=(12, 11))]))[0][:, 1:].T
+    angle = np.arccos(0.93)
+    tilted = [np.cos(angle + e) * edge + np.sin(angle + e) * side[n % 11] for n, e in enumerate(rng.choice([-1e-6, 1e-6, -1e-3, 1e-3], 60))]
+    vectors = [*noise, *(hot + 1e-3 * rng.normal(size=(150, 12))), edge, *tilted]
+    rows = [(i, [float(c) for c in v], int(i >= 100)) for i, v in enumerate(vectors)]
+    df, report = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), {}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in covertree.near_duplicates(df, 0.93, block_rows=16, report=report).collect()}
+    assert got == brute_links(rows)
+    verdicts = collections.Counter()
+    for level in report["region_pairs"]:
+        verdicts.update(level)
+    assert verdicts["whole"] > 0
+    assert verdicts["far"] > 0
+    assert report["block_pairs_compared"] > 0
+    assert 0 < report["vectors_fetched"] < 5 * len(tilted)
+
+
+def test_embeddings_send_codes_not_vectors(spark):
+    """On vectors without any structure no vector is fetched, however many there are, and codes go to so many blocks as hold a label."""
+    rng = np.random.default_rng(12)
+    for n in (500, 2500):
+        df = spark.createDataFrame([(i, [float(c) for c in v], 0) for i, v in enumerate(rng.normal(size=(n, 32)))], "vec_id long, embedding array<double>, label int")
+        report = {}
+        assert covertree.near_duplicates(df, 0.93, report=report).where("n_links > 0").count() == 0
+        assert report["vectors_fetched"] == 0
+        assert report["codes_sent"] == n * report["blocks"]
+        assert report["node_pairs_pruned"] >= 0.95 * n * (n - 1) / 2
+
+
+def test_repeated_vector_ids(spark):
+    one, near, far = [1.0, 0.0], [1.0, 0.1], [0.0, 1.0]
+    rows = [(1, one, 0), (1, one, 0), (2, near, 0), (3, one, 0), (4, far, 0), (4, far, 1), (4, None, 0), (5, far, 2), (5, [0.0, 0.0], 2)]
+    got = found(covertree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")), "vec_id")
+    assert {i: {(r["n_links"], r["component_id"], r["kept"]) for r in rs} for i, rs in got.items()} == {1: {(2, 1, True)}, 2: {(2, 1, False)}, 3: {(2, 1, False)}, 4: {(0, 4, True)}, 5: {(0, 5, True)}}
+    assert [len(got[i]) for i in range(1, 6)] == [2, 1, 1, 3, 2]
+
+
+def test_codes_against_all_pairs():
+    rng = np.random.default_rng(13)
+    x = np.concatenate([rng.normal(size=(200, 6)), np.tile(rng.normal(size=(3, 6)), (50, 1)) + 0.3 * rng.normal(size=(150, 6))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    w = rng.integers(1, 4, len(x))
+    code, err = covertree.encode(x)
+    points = (code / np.float32(covertree.CODE)).astype(np.float32)
+    tree = lambda at: covertree.CoverTree.build(points[at], err[at])
+    for cosine in (0.5, 0.93, 0.999):
+        linked = x @ x.T >= cosine
+        np.fill_diagonal(linked, False)
+        whole = tree(slice(None))
+        r = covertree.coded_links(whole, whole, w, w, cosine)
+        assert (r.count_x == (linked & ~(r.open_x[:, None] & r.open_x)) @ w).all()
+        r = covertree.coded_links(tree(slice(0, 150)), tree(slice(150, None)), w[:150], w[150:], cosine)
+        across = linked[:150, 150:] & ~(r.open_x[:, None] & r.open_y)
+        assert (r.count_x == across @ w[150:]).all()
+        assert (r.count_y == w[:150] @ across).all()
+
+
 def test_dual_traversal_against_all_pairs():
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(size=(300, 6)), np.tile(rng.normal(size=(3, 6)), (60, 1)) + 0.02 * rng.normal(size=(180, 6))])
