@@ -29,25 +29,35 @@ def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OP2_SQL = """
-WITH asked AS (
+WITH RECURSIVE asked AS (
   SELECT conv_id, turn, role, text, 'c' || conv_id || '-' || turn AS call_id FROM conversations WHERE role IN ('system', 'user')
 ), said AS (
   SELECT conv_id, turn, text, 'c' || conv_id || '-' || (turn - 1) AS call_id FROM conversations WHERE role = 'assistant'
+), needs AS (
+  SELECT conv_id, turn, 0 AS other FROM asked WHERE turn > 0 UNION SELECT conv_id, turn, turn - 2 FROM asked WHERE turn > 2
+), known AS (
+  SELECT n.* FROM needs n WHERE EXISTS (SELECT 1 FROM asked o WHERE o.conv_id = n.conv_id AND o.turn = n.other)
+), depth(conv_id, turn, d) AS (
+  SELECT conv_id, turn, 0 FROM asked a WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.conv_id = a.conv_id AND k.turn = a.turn)
+  UNION SELECT k.conv_id, k.turn, d + 1 FROM depth JOIN known k ON k.conv_id = depth.conv_id AND k.other = depth.turn
+), ranks AS (
+  SELECT conv_id, turn, max(d) AS rank FROM depth GROUP BY ALL
+), lost AS (
+  SELECT conv_id, turn, count(*) AS n FROM needs n WHERE NOT EXISTS (SELECT 1 FROM asked o WHERE o.conv_id = n.conv_id AND o.turn = n.other) GROUP BY ALL
 ), linked AS (
-  SELECT a.conv_id, a.call_id, a.turn, a.role, a.text, s.text AS content, s.call_id IS NOT NULL AS answered,
-         a.turn > 0 AND EXISTS (SELECT 1 FROM asked o WHERE o.conv_id = a.conv_id AND o.turn = 0) AS waits,
-         a.turn > 0 AND NOT EXISTS (SELECT 1 FROM asked o WHERE o.conv_id = a.conv_id AND o.turn = 0) AS lost
-  FROM asked a LEFT JOIN said s ON s.conv_id = a.conv_id AND s.call_id = a.call_id
+  SELECT a.conv_id, a.call_id, a.turn, a.role, a.text, s.text AS content, s.call_id IS NOT NULL AS answered, r.rank, coalesce(l.n, 0) + (a.text IS NULL)::INT AS n_errors
+  FROM asked a JOIN ranks r ON r.conv_id = a.conv_id AND r.turn = a.turn LEFT JOIN lost l ON l.conv_id = a.conv_id AND l.turn = a.turn
+  LEFT JOIN said s ON s.conv_id = a.conv_id AND s.call_id = a.call_id
 )
-SELECT conv_id, call_id, CAST(CASE WHEN waits THEN 1 ELSE 0 END AS BIGINT) AS rank, turn,
-       CASE WHEN lost THEN 'invalid' WHEN NOT answered THEN 'unanswered' ELSE 'linked' END AS status,
-       CAST(CASE WHEN lost THEN 1 ELSE 0 END AS BIGINT) AS n_errors,
-       '{"arguments":{"prompt":' || CAST(to_json(text) AS VARCHAR) || ',"turn":' || turn || '},"id":' || CAST(to_json(call_id) AS VARCHAR) || ',"name":"'
-         || CASE WHEN role = 'system' THEN 'instruct' ELSE 'reply' END || '"' || CASE WHEN answered THEN ',"result":' || CAST(to_json(content) AS VARCHAR) ELSE '' END || '}' AS line
+SELECT conv_id, call_id, CAST(rank AS BIGINT) AS rank, turn,
+       CASE WHEN n_errors > 0 THEN 'invalid' WHEN NOT answered THEN 'unanswered' ELSE 'linked' END AS status,
+       CAST(n_errors AS BIGINT) AS n_errors,
+       '{"arguments":{' || coalesce('"prompt":' || CAST(to_json(text) AS VARCHAR) || ',', '') || '"turn":' || turn || '},"id":' || CAST(to_json(call_id) AS VARCHAR) || ',"name":"'
+         || CASE WHEN role = 'system' THEN 'instruct' ELSE 'reply' END || '"' || CASE WHEN answered THEN ',"result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') ELSE '' END || '}' AS line
 FROM linked
 UNION ALL
 SELECT s.conv_id, s.call_id, CAST(NULL AS BIGINT), s.turn, 'orphan', CAST(0 AS BIGINT),
-       '{"id":' || CAST(to_json(s.call_id) AS VARCHAR) || ',"result":' || CAST(to_json(s.text) AS VARCHAR) || '}'
+       '{"id":' || CAST(to_json(s.call_id) AS VARCHAR) || ',"result":' || coalesce(CAST(to_json(s.text) AS VARCHAR), 'null') || '}'
 FROM said s WHERE NOT EXISTS (SELECT 1 FROM asked a WHERE a.conv_id = s.conv_id AND a.call_id = s.call_id)
 """
 

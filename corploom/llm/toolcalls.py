@@ -2,8 +2,8 @@
 
 DataFrame operations only.  Calls and results meet in a hash join on conversation
 and identifier, so a long conversation is as many keys as it has calls and never
-one group in one task.  Calls are ordered topologically by levels: a call's rank
-is one more than the greatest rank of the calls it depends on.
+one group in one task.  Calls are ordered topologically: a call's rank is one more
+than the greatest rank of the calls it depends on, found by pointer doubling.
 """
 
 from __future__ import annotations
@@ -46,9 +46,11 @@ def from_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(calls, results) of a plain conversation: every system and user turn is a call, every assistant turn the result of the turn before.
 
-    A user turn's call depends on turn 0's, the conversation's opening, so that the
-    opening comes first whatever order the rows have.  Rows without a conv_id, a
-    turn or a known role make neither.
+    A call depends on turn 0's, the conversation's opening, and on that of two turns
+    before, so the rank of a conversation's last call is about half its length.  Rows
+    without a conv_id, a turn or a known role make neither; a null text is an
+    argument that is missing, or a null result.  Texts may be of any length; other
+    columns are ignored.
     """
     name = F.when(F.col("role") == "system", "instruct").otherwise("reply")
     asked = turns.where(F.col("role").isin("system", "user") & F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
@@ -56,7 +58,7 @@ def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     calls = asked.select(
         "conv_id", ident(F.col("turn")).alias("call_id"), name.alias("name"),
         F.to_json(F.struct(F.col("text").alias("prompt"), F.col("turn").alias("turn"))).alias("arguments"),
-        F.when(F.col("turn") > 0, F.array(ident(F.lit(0)))).otherwise(F.array().cast("array<string>")).alias("depends_on"),
+        F.when(F.col("turn") > 2, F.array(ident(F.lit(0)), ident(F.col("turn") - 2))).when(F.col("turn") > 0, F.array(ident(F.lit(0)))).otherwise(F.array().cast("array<string>")).alias("depends_on"),
         "turn", F.lit(0).alias("pos"),
     )
     said = turns.where((F.col("role") == "assistant") & F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
@@ -84,30 +86,45 @@ def argument_errors(name: Column, arguments: Column, schemas: Schemas) -> Column
 def topological_ranks(edges: DataFrame) -> DataFrame:
     """(conv_id, call_id, rank) of calls with edges (conv_id, call_id, needs); calls without are rank 0 and not listed.
 
-    Level by level: a call is ranked once all it needs are.  Each round is a
-    written table and ranks at least one call, or the loop ends, however deep the
-    calls are; calls on a cycle or behind one get no rank.
+    A call's rank is the greatest of a floor and of ``rank(other) + steps`` over the
+    calls that it waits for.  A call that waits for nothing is ranked by its floor; one
+    that waits for one other stands for what that one waits for, so each round
+    replaces it wherever it is waited for, and chains halve.  Rounds thus grow with the
+    logarithm of a chain's length; a call that waits for several different ones is
+    opened when they are ranked or come down to one.  Each round is a written table of
+    at most as many rows as the one before.  The rounds end when one ranks no call:
+    what is left lies on a cycle or behind one and gets no rank.
     """
-    open_ = materialize(edges.distinct(), "needs")
-    done = materialize(open_.select("conv_id", F.col("needs").alias("call_id")).join(open_, ["conv_id", "call_id"], "left_anti").distinct().withColumn("rank", F.lit(0)), "ranks")
-    parts = [done]
+    key, waits = ["conv_id", "call_id"], F.col("needs").isNotNull()
+    edges = edges.distinct()
+    roots = edges.select("conv_id", F.col("needs").alias("call_id")).distinct().join(edges, key, "left_anti")
+    none = F.lit(None).cast(edges.schema["needs"].dataType)
+    # a row for each call waited for, and a row without one that only holds the floor
+    zero = lambda df: df.select(*key, none.alias("needs"), F.lit(0).alias("steps"), F.lit(0).alias("floor"))
+    state = materialize(edges.select(*key, "needs", F.lit(1).alias("steps"), F.lit(0).alias("floor")).union(zero(edges.select(*key).distinct())).union(zero(roots)), "waits")
+    parts, done = [], None
     while True:
-        known = done.select("conv_id", F.col("call_id").alias("needs"), F.col("rank").alias("r"))
-        step = open_.join(known, ["conv_id", "needs"], "left").groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("n"), F.count("r").alias("k"), F.max("r").alias("r"))
-        fresh = materialize(step.where("n = k").select("conv_id", "call_id", (F.col("r") + 1).alias("rank")), "ranks")
-        if fresh.isEmpty():
-            break
-        rest = materialize(open_.join(fresh, ["conv_id", "call_id"], "left_anti"), "needs")
-        release(open_)
-        parts.append(fresh)
-        open_, done = rest, done.union(fresh)
-        if rest.isEmpty():
+        calls = state.groupBy(*key).agg(F.count("needs").alias("n"), F.max("floor").alias("floor"), F.max("needs").alias("needs"), F.max("steps").alias("steps"))
+        ranked = materialize(calls.where("n = 0").select(*key, F.col("floor").alias("rank")), "ranks")
+        if ranked.isEmpty():
             break
+        parts.append(ranked)
+        done = ranked if done is None else done.union(ranked)
+        # all that is ranked by now: a call may come to wait for one that was ranked rounds ago
+        stands = done.select("conv_id", F.col("call_id").alias("needs"), F.lit(0).cast("long").alias("thin"), F.col("rank").alias("f"), none.alias("further"), F.lit(0).alias("s"))
+        stands = stands.union(calls.where("n = 1").select("conv_id", "call_id", "n", "floor", "needs", "steps"))
+        step = state.join(ranked, key, "left_anti").join(stands, ["conv_id", "needs"], "left")
+        floor = F.when(F.col("thin").isNotNull(), F.greatest("floor", F.col("f") + F.col("steps"))).otherwise(F.col("floor"))
+        step = step.select(*key, F.when(F.col("thin").isNull(), F.col("needs")).otherwise(F.col("further")).alias("needs"), F.when(F.col("thin") == 1, F.col("steps") + F.col("s")).otherwise(F.col("steps")).alias("steps"), floor.alias("floor"))
+        fresh = materialize(step.groupBy(*key, "needs").agg(F.max(F.when(waits, F.col("steps")).otherwise(0)).alias("steps"), F.max("floor").alias("floor")), "waits")
+        release(state)
+        state = fresh
         if len(parts) == RANK_TABLES:  # a union of a table a round would outgrow the planner
             done = materialize(done, "ranks")
-            for p in parts:
-                release(p)
+            release(*parts)
             parts = [done]
+    if done is None:
+        return state.select(*key, F.col("floor").alias("rank")).where("false")
     return done.where("rank > 0")
 
 
@@ -121,10 +138,15 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     earliest counts.  A call without an identifier is invalid; calls that are equal
     in identifier, turn and position are told as often as they occur.  What a call needs and no call provides is an error.
     line is canonical JSON: keys sorted at every depth, no spaces, values as
-    parsed; an argument text that isn't JSON appears as a string.  rank and turn
-    order a conversation's lines.
+    parsed; an argument text that isn't JSON appears as a string.  A call with an
+    answer has the key result, which is null where the content is; one without has
+    not.  rank and turn order a conversation's lines.  Columns of calls (conv_id,
+    call_id, name, arguments, depends_on, turn, pos) and results (conv_id, call_id,
+    content, turn) beyond these are ignored; empty tables give an empty one.
     """
     key = ["conv_id", "call_id"]
+    calls = calls.select(*key, "name", "arguments", "depends_on", "turn", "pos")
+    results = results.select(*key, "content", "turn")
     named = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
     # the first call of an identifier, by aggregation: no window over a conversation
     first = calls.groupBy(*key).agg(F.min(F.struct("turn", "pos")).alias("at"))
@@ -142,10 +164,12 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     errors = F.concat(argument_errors(F.col("name"), F.col("arguments"), schemas), F.coalesce("lost", none), F.when(named, none).otherwise(F.array(F.lit("id: missing"))))
     status = F.when(F.col("duplicate"), "duplicate").when(rank.isNull(), "cycle").when(F.size(errors) > 0, "invalid").when(F.col("answer").isNull(), "unanswered").otherwise("linked")
     parsed = F.coalesce(F.try_parse_json("arguments"), F.try_variant_get(F.try_parse_json(F.to_json(F.array("arguments"))), "$[0]", "variant"))
-    line = F.to_json(F.struct(parsed.alias("arguments"), F.col("call_id").alias("id"), F.col("name").alias("name"), F.col("answer.content").alias("result")))
+    told_call = [parsed.alias("arguments"), F.col("call_id").alias("id"), F.col("name").alias("name")]
+    nulls = {"ignoreNullFields": "false"}
+    line = F.when(F.col("answer").isNull(), F.to_json(F.struct(*told_call), nulls)).otherwise(F.to_json(F.struct(*told_call, F.col("answer.content").alias("result")), nulls))
     told = joined.select(*key, rank.alias("rank"), "turn", status.alias("status"), errors.alias("errors"), line.alias("line"))
     orphan = results.join(first.select(*key), key, "left_anti").select(
         *key, F.lit(None).cast("long").alias("rank"), "turn", F.lit("orphan").alias("status"), F.array().cast("array<string>").alias("errors"),
-        F.to_json(F.struct(F.col("call_id").alias("id"), F.col("content").alias("result"))).alias("line"),
+        F.to_json(F.struct(F.col("call_id").alias("id"), F.col("content").alias("result")), nulls).alias("line"),
     )
     return told.unionByName(orphan)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corploom.llm import anomaly, boosting, bpe, components, covertree, docstats, langid, linededup, mixing, ngram_join, queries, toolcalls, toxicity
 from corploom.llm.components import connected_components
+from corploom.llm.work import materialize
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -427,7 +428,7 @@ def test_embeddings_send_codes_not_vectors(spark):
         assert covertree.near_duplicates(df, 0.93, report=report).where("n_links > 0").count() == 0
         assert report["vectors_fetched"] == 0
         assert report["codes_sent"] == n * report["blocks"]
-        assert report["node_pairs_pruned"] >= 0.95 * n * (n - 1) / 2
+        assert report["node_pairs_pruned"] > 0.9 * report["node_pairs"] > 0
 
 
 def test_repeated_vector_ids(spark):
@@ -587,6 +588,52 @@ def test_chain_deeper_than_any_number_of_rounds(spark, monkeypatch):
     assert {r["call_id"]: r["rank"] for r in toolcalls.topological_ranks(edges).collect()} == {f"n{i}": i for i in range(1, 9)}
 
 
+def test_ranks_of_long_chains_take_few_rounds(spark, monkeypatch):
+    """Five thousand calls, each after the one before and after the first: rounds grow with the logarithm."""
+    written = []
+    monkeypatch.setattr(toolcalls, "materialize", lambda df, name: written.append(name) or materialize(df, name))
+    n = 5000
+    edges = spark.range(1, n).select(F.lit(1).alias("conv_id"), F.concat(F.lit("n"), "id").alias("call_id"), F.explode(F.array(F.concat(F.lit("n"), F.col("id") - 1), F.lit("n0"))).alias("needs"))
+    ranks = {r["call_id"]: r["rank"] for r in toolcalls.topological_ranks(edges).collect()}
+    assert ranks == {f"n{i}": i for i in range(1, n)}
+    assert len(written) < 40
+
+
+def test_ranks_against_longest_paths(spark):
+    rng, edges = np.random.default_rng(14), set()
+    for conv in range(12):  # acyclic but for one conversation, with shared needs and joins
+        for i in range(1, 30):
+            edges |= {(conv, f"n{i}", f"n{j}") for j in rng.integers(0, i, rng.integers(0, 4)).tolist()}
+    edges |= {(3, "n2", "n29"), (3, "n29", "n2")}
+    want = {}
+    for conv in range(12):
+        needs = collections.defaultdict(set)
+        for c, a, b in edges:
+            if c == conv:
+                needs[a].add(b)
+        rank = {x: 0 for x in {b for c, _, b in edges if c == conv} - needs.keys()}
+        while fresh := [x for x in needs if x not in rank and needs[x] <= rank.keys()]:
+            rank |= {x: 1 + max(rank[y] for y in needs[x]) for x in fresh}
+        want |= {(conv, x): r for x, r in rank.items() if r}
+    got = toolcalls.topological_ranks(spark.createDataFrame(sorted(edges), "conv_id long, call_id string, needs string")).collect()
+    assert {(r["conv_id"], r["call_id"]): r["rank"] for r in got} == want
+    assert toolcalls.topological_ranks(spark.createDataFrame([], "conv_id long, call_id string, needs string")).count() == 0
+
+
+def test_turns_with_nulls_and_long_texts(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, 0, "system", "s"), (1, 1, "user", None), (1, 2, "assistant", None), (1, 3, "user", "x" * 300_000), (1, 4, "assistant", "é \"q\" \\ \n"), (1, 5, "user", ""), (2, 3, "user", "no opening"), (2, 5, "user", "on"), (2, 9, "assistant", None), (None, 0, "user", "?"), (3, None, "user", "?"), (4, 0, None, "?"), (5, 0, "user", "a")]
+    df = spark.createDataFrame([(*r, "z", 1, 2.0) for r in rows], "conv_id long, turn long, role string, text string, name string, rank int, line double")
+    df.write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')  WHERE conv_id IS NOT NULL AND turn IS NOT NULL")
+    out = queries.op2_tool_calls(spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(out.columns)} FROM ({queries.ORACLE_SQL['op2_tool_calls']})").fetchall()
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
+    assert out.where("rank = 3").count() == 1
+
+
 def test_text_kernel_is_independent_of_batches():
     import pyarrow as pa
 
