@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +35,23 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Spark deletes the shuffle files of a finished job, instead of when the driver's garbage happens to be collected.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a work table and return a scan of it.  The table goes with release(), at the latest when the driver ends.
 
@@ -41,7 +60,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    with _setting(spark, _CLEANUP, "true"):  # the plan that writes the table runs once
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._work_path = path  # noqa: SLF001
     return out
