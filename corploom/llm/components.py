@@ -11,27 +11,41 @@ from pyspark.sql import functions as F
 from .work import materialize, release, small_batches
 
 
+FOREST_EDGES = 50_000  # edges of a partition that are joined at a time
+
+
 def local_forests(edges: DataFrame) -> DataFrame:
-    """Edges (a, b) that join what edges joins, at most one for each node that a partition holds: dense groups shrink before they are shuffled."""
-    small_batches(edges.sparkSession, rows=50_000)
+    """Edges (a, b) that join what edges joins, at most one for each node among FOREST_EDGES edges of a partition: dense groups shrink before they are shuffled."""
+    small_batches(edges.sparkSession)
+
+    def forest(a: list[int], b: list[int]) -> pa.RecordBatch:
+        up: dict[int, int] = {}
+
+        def find(i: int) -> int:
+            while up.setdefault(i, i) != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
+
+        for one, other in zip(a, b, strict=True):
+            x, y = find(one), find(other)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+        pairs = [(find(i), i) for i in list(up)]
+        pairs = [p for p in pairs if p[0] != p[1]]
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a: list[int] = []
+        b: list[int] = []
         for batch in batches:
-            up: dict[int, int] = {}
-
-            def find(i: int) -> int:
-                while up.setdefault(i, i) != i:  # noqa: B023
-                    up[i] = up[up[i]]  # noqa: B023
-                    i = up[i]  # noqa: B023
-                return i
-
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                x, y = find(a), find(b)
-                if x != y:
-                    up[max(x, y)] = min(x, y)
-            pairs = [(find(i), i) for i in list(up)]
-            pairs = [p for p in pairs if p[0] != p[1]]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+            a += batch.column("a").to_pylist()
+            b += batch.column("b").to_pylist()
+            if len(a) >= FOREST_EDGES:
+                yield forest(a, b)
+                a, b = [], []
+        if a:
+            yield forest(a, b)
 
     return edges.mapInArrow(run, "a long, b long")
 

@@ -163,7 +163,7 @@ def vocabulary_path() -> str:
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary_path()
-    coded = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids"), path)
+    coded = bpe.encode_decode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

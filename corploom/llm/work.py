@@ -15,11 +15,23 @@ from corploom.shipping import ship
 __all__ = ["materialize", "parallelism", "release", "small_batches"]
 
 
-def small_batches(spark: SparkSession, rows: int = 2000, size: str = "4m") -> None:
-    """Ready Python workers: they can import this package, and their Arrow batches are bounded in rows and in bytes (long texts)."""
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20  # of an Arrow batch that a Python worker gets
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Ready Python workers: they can import this package, and their Arrow batches are bounded in rows and in bytes (long texts).
+
+    Results are lazy, so the bounds must hold when the caller runs them: the session's
+    settings are lowered where they are wider, and never raised.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = int(spark.conf.get(rows))
+    if not 0 < held <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    bound = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size))  # noqa: SLF001
+    if not 0 < bound <= BATCH_BYTES:
+        spark.conf.set(size, str(BATCH_BYTES))
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -71,6 +71,81 @@ def test_rules(docs, labels):
     assert {r["kept"] == (not r["base_failed"]) for r in anomaly.apply_rules(docs, labels.limit(0)).collect()} == {True}
 
 
+def test_path_lengths_against_a_walk():
+    """The forest's scores are what walking every tree node by node gives, and the mean path is that of the random splits themselves."""
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(200, 3))
+    f = anomaly.IsolationForest.grow(x, trees=30, subsample=32)
+    euler = 0.5772156649015329
+    usual = lambda n: 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + euler) - 2 * (n - 1) / n
+    for row, got in zip(x[:40], f.score(x[:40]), strict=True):
+        total = 0.0
+        for t in range(30):
+            node, steps = 0, 0
+            while f.feature[t, node] >= 0:
+                node, steps = 2 * node + 1 + int(row[f.feature[t, node]] > f.split[t, node]), steps + 1
+            assert steps <= 5
+            assert f.length[t, node] >= steps
+            total += f.length[t, node]
+        assert got == pytest.approx(2.0 ** -(total / 30 / usual(32)))
+    assert [float(anomaly.mean_path(n)) for n in (1, 2, 3, 10)] == pytest.approx([usual(n) for n in (1, 2, 3, 10)])
+
+
+def brute_ratios(text):
+    """The sixteen ratios, from words, lines and characters."""
+    w, raw = WORD.findall(text), text.encode()
+    n, chars = max(1, len(w)), max(1, len(text))
+    size = [len(x) for x in w]
+    mean = sum(size) / n
+    _, _, symbols, dup_lines, repeats = brute_counts(text)
+    share = lambda keep: sum(map(keep, text)) / chars
+    return [
+        mean, np.sqrt(max(0, sum(s * s for s in size) / n - mean**2)), symbols / n, dup_lines / (text.count("\n") + 1), repeats / n, len(set(w)) / n, sum(a == b for a, b in zip(w, w[1:], strict=False)) / n,
+        sum(s <= 3 for s in size) / n, sum(s >= 12 for s in size) / n, share(lambda c: "A" <= c <= "Z"), share(lambda c: "0" <= c <= "9"), share(lambda c: c in ".,;:?\"'()-"),
+        text.count("|") / n, text.count("!") / n, sum(b < 128 for b in raw) / max(1, len(raw)), sum("A" <= x[0] <= "Z" for x in w) / n,
+    ]
+
+
+def test_ratios_against_a_slow_version():
+    import pyarrow as pa
+
+    texts = [t or "" for _, t in TEXTS]
+    _, ratios = docstats.statistics(pa.array(texts))
+    for text, got in zip(texts, ratios, strict=True):
+        assert np.allclose(got, brute_ratios(text)), text[:60]
+
+
+def test_convolution_against_loops():
+    """Pooled filter responses and probabilities, spelt out: one window, one filter, one offset at a time."""
+    rng = np.random.default_rng(16)
+    y = rng.integers(0, 2, 80)
+    x = rng.integers(97, 123, (80, langid.WINDOW)).astype(np.uint8)
+    x[y == 1, ::5] = 32
+    net = langid.ByteConvNet.fit(x, y, ["a", "b"], filters=3, epochs=60)
+    got = net.probabilities(x[:6])
+    for row, p in zip(x[:6], got, strict=True):
+        hidden = []
+        for table in net.tables:
+            for f in range(table.shape[2]):
+                responses = [sum(float(table[k][row[at + k], f]) for k in range(len(table))) for at in range(langid.WINDOW - len(table) + 1)]
+                hidden.append(max(0.0, max(responses) + float(net.bias[len(hidden)])))
+        z = np.array(hidden) @ net.dense + net.dense_bias
+        e = np.exp(z - z.max())
+        assert np.allclose(p, e / e.sum(), atol=1e-4)
+    assert (net.probabilities(x).argmax(axis=1) == y).mean() > 0.95
+
+
+def test_rules_on_labels_not_seen(spark):
+    """Threshold and forest come from half of the labels, the figures from the other half."""
+    d, lab = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    seen = F.xxhash64("doc_id", F.lit(3)) % 2 == 0
+    out = anomaly.apply_rules(d.join(lab.select("doc_id"), "doc_id", "left_semi"), lab.where(seen)).join(lab.where(~seen), "doc_id").where("not base_failed")
+    kept = {r["quality"]: r["k"] for r in out.groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("k")).collect()}
+    print("held-out share kept", kept)
+    assert kept[1] > 0.97
+    assert kept[0] < 0.5
+
+
 def test_isolation_forest():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(size=(500, 4)), rng.normal(6, 1, size=(10, 4))])
