@@ -6,7 +6,10 @@ join runs over one representative of each.
 * Shingles are ordered rare-first.  Their frequencies come from a counting sketch
   of fixed size over all documents, so the order is the same everywhere and the
   table that carries it has a bound.  Any order is correct; this one keeps
-  frequent passages out of prefixes.
+  frequent passages out of prefixes.  In a corpus so large that every counter is
+  full the sketch tells little, but what it misses shows: shingles that stand in the
+  prefixes of HEAVY sets or more are counted exactly, put last in everybody's order,
+  and the prefixes that held them are cut anew - the others don't change.
 * A set of n shingles needs only its first ``n - ceil(t n) + 1`` as a prefix: two
   similar sets share a shingle of their prefixes.  Prefix entries carry size,
   position and a summary of the whole set: the parities of its shingle counts in
@@ -26,7 +29,8 @@ joins each entry only with the leader of its shingle (a different one for each
 shingle, chosen by hash), verifies those pairs and forms components; the second
 round takes every remaining pair whose ends lie in different components.  No link
 between different components is left out, and a group of thousands of near copies
-costs thousands of pairs, not millions.
+costs thousands of pairs, not millions.  There entries meet by shingle and by a band
+of sizes, of which the length filter allows only neighbours.
 """
 
 from __future__ import annotations
@@ -45,6 +49,9 @@ from .work import materialize, release, small_batches
 
 SKETCH_BITS = 20  # counters of the frequency sketch: 2 ** 20, whatever the corpus
 BROADCAST_IDS = 1_000_000  # ids (8 bytes each) that may be broadcast; beyond it they are shuffled
+HEAVY = 10_000  # sets whose prefixes may share a shingle before it is put last
+HEAVY_LIST = 250_000  # such shingles (8 bytes each) at one time at most: the bound on sets rises with the number of entries, so no more can exist
+HEAVY_ROUNDS = 4  # times that prefixes are cut anew; any order is correct, so more would only save time
 SUMMARY_LONGS = 8  # of 64 parity bits each: the coarse summary that entries carry
 SUMMARY = [f"s{i}" for i in range(SUMMARY_LONGS)]
 FINE_CLASSES = (8, 4096)  # fewest and most classes of a document's fine summary: about one for 16 shingles
@@ -107,11 +114,11 @@ def fine_classes(n: np.ndarray) -> np.ndarray:
     return np.clip(1 << np.maximum(power, 0), *FINE_CLASSES)
 
 
-def signatures(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """(doc_id, n, set_key, prefix, fine, s0, s1 ...) of every document: prefix in rare-first order."""
+def signatures(docs: DataFrame, k: int, percent: int, sketch: np.ndarray, last: np.ndarray | None = None) -> DataFrame:
+    """(doc_id, n, set_key, prefix, fine, s0, s1 ...) of every document: prefix in rare-first order, the shingles of last (ascending) behind all others."""
     bits = int(len(sketch)).bit_length() - 1
     level = np.floor(np.log2(np.maximum(sketch, 1) / max(1.0, float(np.median(sketch))) + 1e-9) * 8).astype(np.int64)
-    level = (np.maximum(level, 0)).astype(np.uint64)  # counters near the median are equally rare
+    level = np.clip(level, 0, 254).astype(np.uint8)  # counters near the median are equally rare
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -125,6 +132,8 @@ def signatures(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> Dat
             for j in range(2):
                 keys[:, j] = sums[j, bounds[1:]] - sums[j, bounds[:-1]]
             rarity = level[(h >> np.uint64(64 - bits)).astype(np.int64)]
+            if last is not None and len(last):
+                rarity[last[np.minimum(np.searchsorted(last, h), len(last) - 1)] == h] = 255
             by_hash = mix(h)
             order = np.lexsort((by_hash, rarity, doc))
             position = np.arange(len(h)) - np.repeat(bounds[:-1], n)
@@ -151,6 +160,37 @@ def signatures(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> Dat
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, set_key binary, prefix array<long>, fine array<tinyint>, " + ", ".join(f"{s} long" for s in SUMMARY))
 
 
+def _without_heavy(owners: DataFrame, docs: DataFrame, k: int, percent: int, sketch: np.ndarray, heavy: int) -> DataFrame:
+    """owners (set_key, rep, prefix ...) with prefixes cut anew where they held shingles that the sketch took for rare."""
+    last = np.zeros(0, np.uint64)
+    for _ in range(HEAVY_ROUNDS):
+        entries = owners.select("set_key", "rep", F.explode("prefix").alias("shingle"))
+        total = owners.agg(F.sum(F.size("prefix"))).first()[0] or 0
+        counted = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > max(heavy, total // HEAVY_LIST))
+        found = np.array([r["shingle"] for r in counted.select("shingle").collect()], dtype=np.int64).view(np.uint64)
+        fresh = np.setdiff1d(found, last)
+        if not len(fresh):
+            return owners
+        last = np.union1d(last, fresh)
+        spark = owners.sparkSession
+        listed = spark.createDataFrame(pa.table({"shingle": pa.array(fresh.view(np.int64))}))
+        touched = materialize(entries.join(F.broadcast(listed), "shingle", "left_semi").select("set_key", "rep").distinct(), "touched")
+        anew = signatures(_only(docs, touched.select("rep").distinct()), k, percent, sketch, last).select("doc_id", "set_key", F.col("prefix").alias("cut"))
+        anew = anew.join(touched.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi").dropDuplicates(["set_key"]).select("set_key", "cut")
+        changed = owners.join(anew, "set_key", "left").withColumn("prefix", F.coalesce("cut", "prefix")).drop("cut")
+        before, owners = owners, materialize(changed, "representatives")
+        release(before, touched)
+    return owners
+
+
+def _bands(n: Column, percent: int) -> Column:
+    """Number of a set's band of sizes: sets that can link lie in one band or in neighbouring ones."""
+    if percent >= 100:
+        return n * 2  # only equal sizes can link, and no two are neighbours
+    # a band is a little wider than the length filter, so rounding can't put two such sets two bands apart
+    return F.floor(F.ln(n.cast("double")) / float(-np.log(percent / 100) * (1 + 1e-9) + 1e-9))
+
+
 def _may_link(percent: int) -> Column:
     """Length, positional and suffix filters of an entry a and an entry b of one shingle."""
     a, b = F.col("a.n"), F.col("b.n")
@@ -213,7 +253,7 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
 
-def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, heavy: int = HEAVY) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document.
 
     Texts are lower-cased in A-Z and cut into words ``[^\\x20\\x09-\\x0D]+``; a
@@ -227,12 +267,14 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text")
-    marked = materialize(signatures(docs, k, percent, frequency_sketch(docs, k)), "signatures")
+    sketch = frequency_sketch(docs, k)
+    marked = materialize(signatures(docs, k, percent, sketch), "signatures")
     owners = marked.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n", "prefix", "fine", *SUMMARY), "doc_id").alias("s"))
     owners = materialize(owners.select("set_key", "rep", "s.*"), "representatives")
     keys, classes = materialize(marked.select("doc_id", "n", "set_key"), "keys"), materialize(owners.select("set_key", "rep"), "classes")
     fines = materialize(owners.select("rep", "n", "fine"), "fines")
     release(marked)
+    owners = _without_heavy(owners, docs, k, percent, sketch, heavy)
     entries = owners.select("rep", "n", F.posexplode("prefix").alias("pos", "shingle"))
     place = F.xxhash64("rep", "shingle")
     # shingles of two representatives or more; the leader is the one of the least hash
@@ -254,7 +296,9 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     split = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
     rest = materialize(placed.join(split, "shingle", "left_semi"), "rest")
     apart = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.component") != F.col("b.component"))
-    pairs = rest.alias("a").join(rest.alias("b"), apart & _may_link(percent))
+    band = _bands(F.col("n"), percent)
+    one, other = rest.withColumn("band", F.explode(F.array(band - 1, band, band + 1))), rest.withColumn("band", band)
+    pairs = one.alias("a").join(other.alias("b"), (F.col("a.band") == F.col("b.band")) & apart & _may_link(percent))
     pairs = pairs.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = materialize(_verify(materialize(_pass_suffix(pairs, fines, percent), "pairs"), docs, k, percent), "links")
     final = materialize(connected_components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "components")

@@ -410,6 +410,35 @@ def test_jaccard_on_edited_copies(spark):
     assert {i: (r[0]["n_shingles"], r[0]["component_id"]) for i, r in got.items()} == brute_components(rows, 3, 90)
 
 
+def test_jaccard_with_passages_that_the_sketch_takes_for_rare(spark, monkeypatch):
+    """A passage that most documents share, and a sketch that knows nothing: the order changes, the result doesn't."""
+    rng, passage, rows = np.random.default_rng(17), [f"p{i}" for i in range(25)], []
+    for n in range(60):
+        own = [f"o{n % 20}w{x}" for x in range(40 + 10 * (n % 3))]
+        if n >= 20:
+            own[int(rng.integers(0, 40))] = f"e{n}"
+        rows.append((n, " ".join(passage + own if n % 5 else own)))
+    rows += [(60, " ".join(passage)), (61, " ".join([*passage, "end"]))]
+    df, want = spark.createDataFrame(rows, "doc_id long, text string"), brute_components(rows, 3, 90)
+    cut = []
+    real = ngram_join.signatures
+    monkeypatch.setattr(ngram_join, "signatures", lambda *a: cut.append(len(a)) or real(*a))
+    monkeypatch.setattr(ngram_join, "frequency_sketch", lambda docs, k: np.ones(1 << 4, np.int64))
+    for heavy, rounds in ((5, True), (10_000, False)):
+        cut.clear()
+        got = found(ngram_join.jaccard_components(df, 3, 90, heavy=heavy))
+        assert {i: (r[0]["n_shingles"], r[0]["component_id"]) for i, r in got.items()} == want
+        assert (len(cut) > 1) == rounds
+    assert len({c for _, c in want.values()}) < len(rows)
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90, 99])
+def test_bands_of_sizes(spark, percent):
+    rows = spark.range(1, 3000).select(F.col("id").alias("n")).withColumn("band", ngram_join._bands(F.col("n"), percent)).collect()  # noqa: SLF001
+    band = {r["n"]: r["band"] for r in rows}
+    assert all(band[min(2999, 100 * n // percent)] - band[n] in (0, 1) for n in band)
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(i, i + 1) for i in range(40)] + [(100 + int(a), 100 + int(b)) for a, b in rng.integers(0, 50, (40, 2))]
