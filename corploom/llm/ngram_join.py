@@ -29,8 +29,9 @@ joins each entry only with the leader of its shingle (a different one for each
 shingle, chosen by hash), verifies those pairs and forms components; the second
 round takes every remaining pair whose ends lie in different components.  No link
 between different components is left out, and a group of thousands of near copies
-costs thousands of pairs, not millions.  There entries meet by shingle and by a band
-of sizes, of which the length filter allows only neighbours.
+costs thousands of pairs, not millions.  There the entries of a shingle that MANY
+sets hold meet by shingle and by a band of sizes, of which the length filter allows
+only neighbours.
 """
 
 from __future__ import annotations
@@ -52,6 +53,7 @@ BROADCAST_IDS = 1_000_000  # ids (8 bytes each) that may be broadcast; beyond it
 HEAVY = 10_000  # sets whose prefixes may share a shingle before it is put last
 HEAVY_LIST = 250_000  # such shingles (8 bytes each) at one time at most: the bound on sets rises with the number of entries, so no more can exist
 HEAVY_ROUNDS = 4  # times that prefixes are cut anew; any order is correct, so more would only save time
+MANY = 1_000  # entries of a shingle from which the second round deals them by bands of sizes too
 SUMMARY_LONGS = 8  # of 64 parity bits each: the coarse summary that entries carry
 SUMMARY = [f"s{i}" for i in range(SUMMARY_LONGS)]
 FINE_CLASSES = (8, 4096)  # fewest and most classes of a document's fine summary: about one for 16 shingles
@@ -253,7 +255,7 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
 
-def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, heavy: int = HEAVY) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, heavy: int = HEAVY, many: int = MANY) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document.
 
     Texts are lower-cased in A-Z and cut into words ``[^\\x20\\x09-\\x0D]+``; a
@@ -293,13 +295,15 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, heavy: in
 
     placed = full.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     placed = materialize(placed, "placed")
-    split = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
-    rest = materialize(placed.join(split, "shingle", "left_semi"), "rest")
+    split = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("held")).where("lo < hi").select("shingle", "held")
+    rest = materialize(placed.join(split, "shingle"), "rest")
     apart = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.component") != F.col("b.component"))
-    band = _bands(F.col("n"), percent)
-    one, other = rest.withColumn("band", F.explode(F.array(band - 1, band, band + 1))), rest.withColumn("band", band)
-    pairs = one.alias("a").join(other.alias("b"), (F.col("a.band") == F.col("b.band")) & apart & _may_link(percent))
-    pairs = pairs.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    few, lots, band = rest.where(F.col("held") <= many), rest.where(F.col("held") > many), _bands(F.col("n"), percent)
+    ends = [F.col("a.rep").alias("a"), F.col("b.rep").alias("b")]
+    pairs = few.alias("a").join(few.alias("b"), apart & _may_link(percent)).select(*ends)
+    one, other = lots.withColumn("band", F.explode(F.array(band - 1, band, band + 1))), lots.withColumn("band", band)
+    pairs = pairs.union(one.alias("a").join(other.alias("b"), (F.col("a.band") == F.col("b.band")) & apart & _may_link(percent)).select(*ends))
+    pairs = pairs.distinct().join(tried, ["a", "b"], "left_anti")
     more = materialize(_verify(materialize(_pass_suffix(pairs, fines, percent), "pairs"), docs, k, percent), "links")
     final = materialize(connected_components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "components")
 

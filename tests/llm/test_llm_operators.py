@@ -424,9 +424,9 @@ def test_jaccard_with_passages_that_the_sketch_takes_for_rare(spark, monkeypatch
     real = ngram_join.signatures
     monkeypatch.setattr(ngram_join, "signatures", lambda *a: cut.append(len(a)) or real(*a))
     monkeypatch.setattr(ngram_join, "frequency_sketch", lambda docs, k: np.ones(1 << 4, np.int64))
-    for heavy, rounds in ((5, True), (10_000, False)):
+    for heavy, many, rounds in ((5, 1000, True), (10_000, 2, False)):
         cut.clear()
-        got = found(ngram_join.jaccard_components(df, 3, 90, heavy=heavy))
+        got = found(ngram_join.jaccard_components(df, 3, 90, heavy=heavy, many=many))
         assert {i: (r[0]["n_shingles"], r[0]["component_id"]) for i, r in got.items()} == want
         assert (len(cut) > 1) == rounds
     assert len({c for _, c in want.values()}) < len(rows)

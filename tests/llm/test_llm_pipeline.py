@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from corploom.llm import queries
@@ -84,6 +85,39 @@ def test_near_duplicates_without_unique_ids(spark):
         assert got == sorted([(None, "a"), (None, "b"), (9, "c"), (1, "d"), (1, "e"), (3, "f"), (None, "-"), (None, "-")], key=repr)
 
 
+def nasty(spark):
+    """Null and repeated ids, null and empty and long texts, ties, and columns that stages use for themselves."""
+    line = "a line that stands in several of the documents"
+    rows = [
+        (None, f"{line}\nno id"), (None, None), (1, None), (2, ""), (3, f"{line}\nthree"), (3, f"{line}\nthree"), (4, line), (5, f"you idiot moron scum {line}"), (6, "w " * 40_000), (7, "x" * 50_000), (8, "é 日本 \u0000 |"), (9, f"{line}\nnine words of its own make it unlike the others here"),
+    ]
+    docs = spark.createDataFrame([(i, t, None if i == 2 else "en", None if i == 4 else "src1", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return docs.withColumns({c: F.lit("mine") for c in ("score", "predicted", "row", "copies", "ids", "decoded", "domain", "component_id", "kept_text", "bitmap")}).repartition(3)
+
+
+def test_stages_on_nasty_rows(spark):
+    docs = nasty(spark)
+    want = collections.Counter(r["doc_id"] for r in docs.collect())
+    out = {name: stage(spark, docs, SF) for name, stage in P.STAGES}
+    ids = {name: collections.Counter(r["doc_id"] for r in df.collect()) for name, df in out.items()}
+    for name in list(out)[:-1]:
+        assert out[name].columns == P.COLUMNS, name
+    assert want - ids["toxicity"] == {5: 1}  # rows without an id or a text stay
+    assert ids["line dedup"] == want
+    texts = {(r["doc_id"], r["text"]) for r in out["line dedup"].collect()}
+    assert {(None, "a line that stands in several of the documents\nno id"), (3, "three"), (1, ""), (None, "")} <= texts
+    assert want - ids["n-gram Jaccard join"] == {3: 1}  # the repeated row; texts without words stay
+    assert not ids["mixing sources to target weights"] - want
+    assert ids["BPE encoding and decoding"] == want
+    assert {r["n_tokens"] for r in out["BPE encoding and decoding"].where("doc_id IN (1, 2)").collect()} == {0}
+
+
+def test_stages_on_empty_tables(spark):
+    docs = nasty(spark).limit(0)
+    for name, stage in P.STAGES:
+        assert stage(spark, docs, SF).count() == 0, name
+
+
 def test_mix(steps):
     before, after = steps[3]
     n = lambda df: sum(len(WORD.findall(r["text"])) for r in df.collect())
