@@ -1,7 +1,9 @@
 """The corpus pipeline: stages that each apply one operator to all that the stage before kept.
 
 Each stage takes (spark, docs, sf_dir), where docs has the columns of documents,
-and returns a DataFrame; all but the last return those columns again.
+and returns a DataFrame; all but the last return those columns again.  Other columns
+of docs are left out.  An empty table gives an empty one; null and empty texts, rows
+without a doc_id and rows that repeat one are told at each stage.
 """
 
 from __future__ import annotations
@@ -19,13 +21,17 @@ MIX_SHARE = 0.9  # part of the tokens that the mixture keeps
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity grammar rejects go."""
+    """Documents that the toxicity grammar rejects go; a null or empty text has nothing to reject, and rows are judged by their text alone, whatever their doc_id."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.score(docs.select(*COLUMNS), labels).where("predicted = 0").select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines stay in one document; texts and n_chars change."""
+    """Repeated lines stay in one document; texts and n_chars change.
+
+    No row goes.  Null texts become empty; rows without a doc_id keep all their lines
+    and count for no line; rows that share a doc_id are one document.
+    """
     kept = linededup.dedup_lines(docs.select(*COLUMNS))
     return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.char_length("kept_text").cast("long").alias("n_chars"))
 
@@ -47,13 +53,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in their target weights, no document more than once."""
+    """Sources in their target weights, no document more than once.
+
+    Null languages and sources are sources of their own; texts without words cost
+    nothing; rows that share a doc_id stand or fall together.
+    """
     chosen = mixing.choose(queries.with_domain(docs.select(*COLUMNS)), queries.MIX_LEVELS, queries.MIX_WEIGHTS, MIX_SHARE, 1, queries.MIX_SEED)
     return chosen.where("copies > 0").select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left, with the digest of the text that they decode to."""
+    """Token ids of what is left, one row a row, with the digest of the text that they decode to; null and empty texts have none."""
     path = queries.vocabulary_path()
     coded = bpe.encode_decode(docs.select("doc_id", "lang", "source", "text"), path)
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
