@@ -118,6 +118,26 @@ query("clean_text", f"SELECT doc_id, sha1(trim(regexp_replace({_CLEAN}, '[\\s]+'
 )
 query("clean_text_glue")(lambda spark, sf: _documents(spark, sf).select("doc_id", F.sha1(X.clean(F.col("text")).cast("binary")).alias("sha1")))
 
+# documents as raw rows: ids that repeat, ids that are null or empty
+_RAW = "r AS (SELECT doc_id AS input_no, CASE doc_id % 10 WHEN 3 THEN NULL WHEN 4 THEN '' ELSE CAST(doc_id - doc_id % 3 AS VARCHAR) END AS id, concat(source, ' -', chr(10), lang, '  ') AS title, text FROM documents)"
+_CLEANED = f"c AS (SELECT input_no, coalesce(id, '') AS docid, trim(regexp_replace({_CLEAN.replace('text', 'title')}, '[\s]+', ' ', 'g')) AS title, trim(regexp_replace({_CLEAN}, '[\s]+', ' ', 'g')) AS text, strlen(text) + 1 AS line_bytes FROM r), k AS (SELECT *, CASE WHEN docid = '' THEN 0 ELSE row_number() OVER (PARTITION BY docid ORDER BY input_no) END AS nth FROM c)"
+
+
+def _prepared(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    n = F.col("doc_id")
+    ident = F.when(n % 10 == 3, None).when(n % 10 == 4, "").otherwise((n - n % 3).cast("string"))
+    raw = _documents(spark, sf).select(n.alias("input_no"), ident.alias("id"), F.concat("source", F.lit(" -\n"), "lang", F.lit("  ")).alias("title"), "text", (F.octet_length("text") + 1).cast("long").alias("line_bytes"))
+    return C.prepare(raw, glue=False)
+
+
+query("corpus_prepare", f"WITH {_RAW}, {_CLEANED} SELECT input_no, docid, title, sha1(text) AS sha1 FROM k WHERE nth = 1")(
+    lambda spark, sf: _prepared(spark, sf)[0].select("input_no", "docid", "title", F.sha1(F.col("text").cast("binary")).alias("sha1"))
+)
+query("corpus_prepare_rejects", f"WITH {_RAW}, {_CLEANED} SELECT CASE WHEN nth = 0 THEN 'MISSING_ID' ELSE 'DUPLICATE' END AS kind, input_no, docid, title FROM k WHERE nth <> 1")(lambda spark, sf: _prepared(spark, sf)[1])
+query("corpus_prepare_stats", f"WITH {_RAW}, {_CLEANED} SELECT CAST(count(*) AS BIGINT) AS input_docs, CAST(count(*) FILTER (WHERE nth = 1) AS BIGINT) AS unique_docs, CAST(sum(line_bytes) AS BIGINT) AS raw_bytes, CAST(sum(strlen(text)) AS BIGINT) AS text_bytes, round(sum(strlen(text))::DOUBLE / count(*) FILTER (WHERE nth = 1), 6) AS avg_compat FROM k")(
+    lambda spark, sf: _prepared(spark, sf)[2].select("input_docs", "unique_docs", "raw_bytes", "text_bytes", F.round("avg_compat", 6).alias("avg_compat"))
+)
+
 # tokens
 
 query("tokenize_unicode", f"SELECT doc_id, array_to_string({_TOK}, ' ') AS tokens FROM documents")(lambda spark, sf: _documents(spark, sf).select("doc_id", F.array_join(X.tokens(F.col("text")), " ").alias("tokens")))
@@ -143,6 +163,15 @@ query("length_stats", f"WITH c AS (SELECT term, count(*) AS cf FROM (SELECT unne
     lambda spark, sf: T.length_stats(T.term_frequencies(_documents(spark, sf))).select(F.round("avg_token_length", 6).alias("avg_token_length"), F.round("avg_term_length", 6).alias("avg_term_length"))
 )
 
+query("tokenized_sample", f"WITH {_DOCS} SELECT docnum, docid, title, array_to_string({_TOK}, ' ') AS tokens FROM d WHERE docnum <= 200")(lambda spark, sf: T.tokenized(_numbered(spark, sf), 200))
+_PAIRS = f"t AS (SELECT {_TOK} AS t FROM documents), g AS (SELECT unnest(list_transform(range(1, len(t)), lambda i: {{'a': t[i], 'b': t[i + 1]}})) AS p FROM t), n AS (SELECT p.a AS a, p.b AS b, count(*) AS n FROM g GROUP BY ALL)"
+query("collocations", f"WITH {_PAIRS}, e AS (SELECT a, b, n, sum(n) OVER (PARTITION BY a)::DOUBLE * sum(n) OVER (PARTITION BY b) / sum(n) OVER () AS e FROM n) SELECT a, b, n, round(log2(n / e), 6) AS pmi, round((n - e) / sqrt(n), 6) AS t_score FROM e WHERE n >= 20")(
+    lambda spark, sf: T.collocations(_documents(spark, sf).select(F.col("doc_id").alias("docnum"), "text"), 20).select("a", "b", "n", F.round("pmi", 6).alias("pmi"), F.round("t_score", 6).alias("t_score"))
+)
+query("zone_scores", f"WITH {_DOCS}, z AS (SELECT docnum, {_TOK.replace('text', 'title')} AS a, {_TOK} AS b FROM d), s AS (SELECT docnum, 3.5 * len(list_filter(a, lambda x: x IN ('en', 'with'))) + 0.5 * len(list_filter(b, lambda x: x IN ('en', 'with'))) AS score FROM z) SELECT docnum, CAST(score AS DOUBLE) AS score FROM s WHERE score > 0")(
+    lambda spark, sf: T.zone_scores(["en", "with"], _numbered(spark, sf), {"title": 3.5, "text": 0.5})
+)
+
 # the index
 
 query("vocab_df", f"WITH {_DOCS}, {_POST} SELECT term, CAST(count(*) AS BIGINT) AS df FROM p GROUP BY term")(
@@ -266,6 +295,10 @@ query("zipf_rank", f"WITH {_RANKS} SELECT rank, CAST(df AS BIGINT) AS df FROM r
 query("zipf_fit", f"WITH {_RANKS} SELECT (SELECT CAST(count(*) AS BIGINT) FROM v) AS total_terms, (SELECT CAST(sum(df) AS BIGINT) FROM v) AS total_tokens, CAST(count(*) AS BIGINT) AS n, round(regr_slope(ln(df), ln(rank)), 6) AS slope, round(regr_intercept(ln(df), ln(rank)), 6) AS intercept, round(regr_r2(ln(df), ln(rank)), 6) AS r2 FROM r WHERE rank <= 100000")(
     lambda spark, sf: T.zipf_report(_vocab(spark, sf)).select("total_terms", "total_tokens", "n", *[F.round(c, 6).alias(c) for c in ("slope", "intercept", "r2")])
 )
+query("mandelbrot_fit", f"WITH {_RANKS}, s AS (SELECT unnest(range(41)) / 2.0 AS shift), f AS (SELECT CAST(shift AS DOUBLE) AS shift, regr_slope(ln(df), ln(rank + shift)) AS slope, regr_intercept(ln(df), ln(rank + shift)) AS intercept, regr_r2(ln(df), ln(rank + shift)) AS r2, count(*) AS n FROM r, s WHERE rank <= 100000 GROUP BY shift) SELECT shift, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r2, 6) AS r2, CAST(n AS BIGINT) AS n FROM f ORDER BY f.r2 DESC, shift LIMIT 1")(
+    lambda spark, sf: T.mandelbrot_fit(T.rank_frequency(_vocab(spark, sf))).select("shift", *[F.round(c, 6).alias(c) for c in ("slope", "intercept", "r2")], "n")
+)
+query("suggest_terms", f"WITH {_RANKS.split(', r AS')[0]} SELECT term, CAST(levenshtein(term, 'wihtt') AS BIGINT) AS distance, CAST(df AS BIGINT) AS df FROM v WHERE levenshtein(term, 'wihtt') <= 2 ORDER BY distance, df DESC, term LIMIT 10")(lambda spark, sf: S.suggest("wihtt", _vocab(spark, sf)))
 query("verify_topk", f"WITH {_DOCS}, {_POST}, v AS (SELECT term, count(*) AS df FROM p GROUP BY term ORDER BY df DESC, term LIMIT 10) SELECT term, CAST(df AS BIGINT) AS df, CAST(df AS BIGINT) AS n_postings, CAST(least(df, 100) AS BIGINT) AS checked, CAST(0 AS BIGINT) AS mismatches FROM v")(
     lambda spark, sf: V.verify(_vocab(spark, sf), _index(spark, sf).postings, _numbered(spark, sf))
 )

@@ -1,4 +1,4 @@
-"""Command line: build an index, search it (also line by line from stdin), verify it, fit the rank-frequency law."""
+"""Command line: prepare a corpus, build an index, search it (also line by line from stdin), verify it, token statistics, the rank-frequency law."""
 
 from __future__ import annotations
 
@@ -8,14 +8,17 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from corploom import web
 from corploom.functions import text as X
-from corploom.operators import index, search, statistics, verify
+from corploom.operators import corpus, index, search, statistics, verify
 from corploom.sources import files
 
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="corploom")
     sub = p.add_subparsers(dest="command", required=True)
+    r = sub.add_parser("prepare")
+    r.add_argument("raw"), r.add_argument("out"), r.add_argument("--no-glue", action="store_true")
     b = sub.add_parser("build")
     b.add_argument("corpus"), b.add_argument("index"), b.add_argument("--tokenizer", default="unicode"), b.add_argument("--stem", action="store_true"), b.add_argument("--sample", type=int, default=0)
     s = sub.add_parser("search")
@@ -25,12 +28,19 @@ def main(argv: list[str] | None = None) -> int:
     z = sub.add_parser("zipf")
     z.add_argument("index"), z.add_argument("out")
     t = sub.add_parser("stats")
-    t.add_argument("corpus"), t.add_argument("--tokenizer", default="unicode"), t.add_argument("--sample", type=int, default=0)
+    t.add_argument("corpus"), t.add_argument("--tokenizer", default="unicode"), t.add_argument("--sample", type=int, default=0), t.add_argument("--out")
     w = sub.add_parser("serve")
     w.add_argument("index"), w.add_argument("corpus"), w.add_argument("--port", type=int, default=8000)
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("corploom").getOrCreate()
-    if a.command == "build":
+    if a.command == "prepare":
+        kept, rejects, stats = corpus.prepare(files.read_raw(spark, a.raw), glue=not a.no_glue)
+        files.write_parts(kept, f"{a.out}/corpus")
+        files.write_rejects(rejects, f"{a.out}/rejects")
+        info = corpus.info_text(stats)
+        info.coalesce(1).write.mode("overwrite").text(f"{a.out}/info")
+        print(info.first()[0])
+    elif a.command == "build":
         built = index.build(files.read_parts(spark, a.corpus), a.tokenizer, X.stem if a.stem else None, a.sample).save(a.index)
         print(built.meta.first().asDict())
     elif a.command == "search":
@@ -44,16 +54,22 @@ def main(argv: list[str] | None = None) -> int:
         for r in verify.verify(ix.vocab, ix.postings, texts, a.top, stemmer=X.stem if a.stem else None).collect():
             print(r.asDict())
     elif a.command == "zipf":
-        files.write_json_row(statistics.zipf_report(index.Index.open(spark, a.index).vocab), a.out)
+        vocab = index.Index.open(spark, a.index).vocab
+        report = statistics.zipf_report(vocab)
+        files.write_json_row(report, a.out)
+        web.plot_ranks(statistics.rank_frequency(vocab, 20_000), report.first(), f"{a.out}.png")
     elif a.command == "stats":
         docs = index.number(files.read_parts(spark, a.corpus))
         docs = docs.where(F.col("docnum") <= a.sample) if a.sample else docs
-        print(statistics.token_stats(docs, a.tokenizer).first().asDict())
-        for r in statistics.top_terms(statistics.term_counts(docs, a.tokenizer)).collect():
+        told = statistics.stats_row(docs, mode=a.tokenizer)
+        if a.out:
+            files.write_json_row(told, f"{a.out}/tokens_stats")
+            files.write_lines(statistics.tokenized(docs, a.sample or 200, a.tokenizer).orderBy("docnum").drop("docnum"), f"{a.out}/sample_tokenized")
+        row = told.first()
+        print({k: row[k] for k in ("docs_processed", "total_tokens", "unique_terms")})
+        for r in row["top_terms"]:
             print(r["term"], r["cf"], sep="\t")
     else:
-        from corploom import web
-
         web.serve(index.Index.open(spark, a.index), files.last_texts(files.read_parts(spark, a.corpus)), a.port)
     return 0
 

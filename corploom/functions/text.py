@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -101,6 +102,31 @@ def stem(word: Column) -> Column:
     return out.otherwise(low)
 
 
+def lemmatizer(lemma: Callable[[], Callable[[str], str]]) -> Callable[[Column], Column]:
+    """A stemmer for index.build from a Python lemmatizer, such as a morphological analyser: lemma() makes one on each worker.
+
+    A word that it fails on stays as it is.  Dear, so the index asks it once for each distinct term.
+    """
+
+    def lemmatize(word: Column) -> Column:
+        @F.arrow_udf("string")
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            find = lemma()
+
+            def safe(w: str | None) -> str | None:
+                try:
+                    return w if w is None else find(w)
+                except Exception:  # noqa: BLE001  whatever a foreign analyser raises
+                    return w
+
+            for a in batches:
+                yield pa.array([safe(w) for w in a.to_pylist()], pa.string())
+
+        return run(word)
+
+    return lemmatize
+
+
 def has_alnum(word: Column) -> Column:
     return word.rlike(r"[\p{L}\p{N}]")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corploom.functions import text as X
+from corploom.sources.files import PLACE
 
 from .shared import materialize
 
@@ -36,15 +37,17 @@ def first_wins(df: DataFrame, key: Column | str, order: Column | str) -> DataFra
 
 
 def prepare(raw: DataFrame, input_no: str = "input_no", glue: bool = True, compose: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(corpus, rejects, statistics) of raw rows (id, title, text, line_bytes, input_no).
+    """(corpus, rejects, statistics) of raw rows (id, title, text, line_bytes, and input_no or the place that read_raw gives).
 
-    Titles and texts are cleaned.  A missing id is rejected, of repeated ids the
+    Titles and texts are cleaned, once: the cleaned rows are a work table that all three come from.  A missing id is rejected, of repeated ids the
     first row is kept.  text_bytes counts rejected rows too, so avg_compat is
     larger than the kept documents' mean, avg_unique.
     """
+    if input_no not in raw.columns:
+        raw = number_rows(raw, *PLACE, name=input_no)
     ident = F.coalesce(F.col("id").cast("string"), F.lit(""))
     rows = raw.select(F.col(input_no).alias("input_no"), ident.alias("docid"), X.clean(F.col("title"), glue, compose).alias("title"), X.clean(F.col("text"), glue, compose).alias("text"), "line_bytes")
-    rows = rows.withColumn("size", F.octet_length("text").cast("long"))
+    rows = materialize(rows.withColumn("size", F.octet_length("text").cast("long")), "cleaned")
     missing = rows.where("docid = ''")
     ranked = first_wins(rows.where("docid <> ''"), "docid", "input_no")
     corpus = ranked.where("nth = 1").select("input_no", "docid", "title", "text")

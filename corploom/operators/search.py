@@ -5,9 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corploom.functions import text as X
 from corploom.plans.boolean import compile_query, lex, postfix
 
 PAGE = 50
@@ -108,6 +109,25 @@ def search_many(queries: list[tuple[int, str]], postings: DataFrame, forward: Da
     return hit.withColumn("nth", F.row_number().over(order).cast("long")).where(F.col("nth") <= limit).select("query_id", "nth", "docnum", "docid", "title")
 
 
+def suggest(word: str, vocab: DataFrame, distance: int = 2, limit: int = 10) -> DataFrame:
+    """(term, distance, df): terms within so many edits of a word, the nearest first, then the most frequent - for spell-checking and soft matches."""
+    word = word.lower()
+    size = F.char_length("term")
+    able = vocab.where((size >= len(word) - distance) & (size <= len(word) + distance))
+    far = F.levenshtein(F.col("term"), F.lit(word), distance)
+    return able.select("term", far.cast("long").alias("distance"), "df").where("distance >= 0").orderBy("distance", F.desc("df"), "term").limit(limit)
+
+
+def biased_snippet(text: Column, words: list[str], sentences: int = 2) -> Column:
+    """The run of so many sentences that has the most different words of a query, the first among equals; null for a null text."""
+    parts = F.split(text, r"(?<=[.!?])\s+|\n+")
+    asked = F.array(*[F.lit(w.lower()) for w in words])
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - sentences + 1)), lambda i: F.struct(
+        F.size(F.array_intersect(asked, F.regexp_extract_all(F.lower(F.array_join(F.slice(parts, i, sentences), " ")), F.lit(X.TOKEN), 0))).alias("n"), (-i).alias("at"), F.array_join(F.slice(parts, i, sentences), " ").alias("run"),
+    ))
+    return F.array_max(runs)["run"]
+
+
 def by_set_operations(query: str, postings: DataFrame, forward: DataFrame, adjacency: str = "last", vocab: DataFrame | None = None) -> DataFrame:
     """(docnum) by INTERSECT, UNION and EXCEPT: the query's set algebra spelt out."""
     universe, empty = forward.select("docnum"), forward.select("docnum").where(F.lit(False))

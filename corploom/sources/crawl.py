@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 CATEGORY, PAGE = "CATEGORY", "MAIN"
@@ -57,6 +57,13 @@ def fetch(titles: DataFrame, client: Callable[[], Callable[[str], str]], attempt
     return titles.select("title").mapInPandas(run, "title string, text string")
 
 
+def counted(fetched: DataFrame, name: str = "crawl") -> tuple[DataFrame, Observation]:
+    """fetched, and what will be known once it has run: pages seen, pages without text, bytes of text."""
+    seen = Observation(name)
+    empty = F.coalesce(F.length("text"), F.lit(0)) == 0
+    return fetched.observe(seen, F.count(F.lit(1)).alias("pages"), F.count_if(empty).alias("empty"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("bytes")), seen
+
+
 def raw_documents(fetched: DataFrame, source: str) -> DataFrame:
     """Raw document rows of the pages that have text; the id is the SHA-1 of the title."""
     stamp = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -13,22 +13,31 @@ VOCAB = T.StructType([T.StructField("term", T.StringType()), *(T.StructField(n,
 HEADER_IDS = ("id", "docid", "document_id")
 
 
+PLACE = ["part_file", "block", "line_no"]  # where a line stands: order of lines over all files
+
+
+def _lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """value and PLACE of every line."""
+    reader = spark.read.schema("value string")
+    lines = (reader.option("pathGlobFilter", glob) if glob else reader).text(path)
+    lines = lines.select("value", F.col("_metadata.file_name").alias("part_file"), F.col("_metadata.file_block_start").alias("block"))
+    return lines.withColumn("line_no", F.monotonically_increasing_id())  # ascending within a file: its splits are read in order of their start
+
+
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines of raw documents; a malformed line stops the job, blank ones are skipped, missing fields are null."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    """JSON lines of raw documents with their place; a malformed line stops the job, blank ones are skipped, missing fields are null."""
+    lines = _lines(spark, path).where(F.trim("value") != "")
     parsed = F.from_json("value", RAW, {"mode": "FAILFAST"})
-    return lines.select(parsed.alias("d"), (F.octet_length("value") + 1).cast("long").alias("line_bytes")).select("d.*", "line_bytes")
+    return lines.select(parsed.alias("d"), (F.octet_length("value") + 1).cast("long").alias("line_bytes"), *PLACE).select("d.*", "line_bytes", *PLACE)
 
 
 def read_parts(spark: SparkSession, folder: str) -> DataFrame:
-    """Corpus rows (part_file, line_no, docid, title, text) of part_*.tsv in file-name order.
+    """Corpus rows (part_file, line_no, docid, title, text) of part_*.tsv, or of write_parts' files, in file-name order.
 
     Short rows and rows whose id is a header word are skipped wherever they
     stand; later tabs stay in the text.
     """
-    schema = "value string"
-    lines = spark.read.schema(schema).option("pathGlobFilter", "part_*.tsv").text(folder).select("value", F.col("_metadata.file_name").alias("part_file"), F.col("_metadata.file_block_start").alias("block"))
-    lines = lines.withColumn("line_no", F.monotonically_increasing_id())  # ascending within a file: its splits are read in order of their start
+    lines = _lines(spark, folder, "part{_*.tsv,-*.txt}")
     f = F.split("value", "\t", 3)
     rows = lines.where((F.col("value") != "") & (F.size(f) == 3)).select("part_file", "block", "line_no", f[0].alias("docid"), f[1].alias("title"), f[2].alias("text"))
     return rows.where(~F.lower("docid").isin(*HEADER_IDS))
@@ -40,11 +49,22 @@ def last_texts(parts: DataFrame) -> DataFrame:
 
 
 def write_parts(corpus: DataFrame, folder: str, rows: int = 1000) -> None:
-    """Tab-separated files of at most rows rows (id, title, text)."""
-    line = corpus.select(F.concat_ws("\t", "docid", "title", "text").alias("value"))
+    """Tab-separated files of at most rows rows (id, title, text), in order of input_no where corpus has it."""
+    ordered = corpus.orderBy("input_no") if "input_no" in corpus.columns else corpus
+    line = ordered.select(F.concat_ws("\t", "docid", "title", "text").alias("value"))
     line.write.mode("overwrite").option("maxRecordsPerFile", rows).text(folder)
 
 
+def write_rejects(rejects: DataFrame, path: str) -> None:
+    """Tab-separated lines (kind, docid, title) of what prepare turned down, in order of input."""
+    rejects.orderBy("input_no").select(F.concat_ws("\t", "kind", "docid", "title").alias("value")).write.mode("overwrite").text(path)
+
+
+def write_lines(df: DataFrame, path: str) -> None:
+    """The columns of df, tab-separated, null as empty."""
+    df.select(F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]).alias("value")).write.mode("overwrite").text(path)
+
+
 def read_titles(spark: SparkSession, path: str) -> DataFrame:
     """Titles that a crawl has processed; a missing file has none."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from html import escape
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from math import exp, log
 from urllib.parse import parse_qs, quote_plus, urlsplit
 
 from pyspark.sql import DataFrame
@@ -36,6 +37,21 @@ def document(ix: Index, corpus: DataFrame, docnum: int) -> str | None:
     return f"<h1>{escape(r['title'] or '')}</h1><p>{escape(r['docid'] or '')}</p><blockquote>{escape(r['snippet'] or '')}</blockquote><pre>{escape(r['text'] or '')}</pre>"
 
 
+def plot_ranks(points: DataFrame, fit: dict, path: str) -> bool:
+    """Ranks against document frequencies on logarithmic axes with the fitted line, as an image; False where no plotting library is installed."""
+    try:
+        from matplotlib.figure import Figure
+    except ImportError:
+        return False
+    rows = points.orderBy("rank").collect()  # as many as the caller's bound on ranks
+    axes = Figure().add_subplot()
+    axes.loglog([r["rank"] for r in rows], [r["df"] for r in rows], ".")
+    if rows and fit["slope"] is not None:
+        axes.loglog([r["rank"] for r in rows], [exp(fit["intercept"] + fit["slope"] * log(r["rank"])) for r in rows])
+    axes.figure.savefig(path)
+    return True
+
+
 def serve(ix: Index, corpus: DataFrame, port: int) -> None:
     class Handler(BaseHTTPRequestHandler):
         def do_GET(self) -> None:  # noqa: N802

@@ -239,3 +239,63 @@ def test_command_line(built, capsys, tmp_path):
     assert "'mismatches': 0" in capsys.readouterr().out
     cli.main(["zipf", folder, str(tmp_path / "z")])
     assert json.loads(next((tmp_path / "z").glob("part-*")).read_text())["total_terms"] == 5
+
+
+def test_prepare_to_search(spark, tmp_path, capsys):
+    """Raw lines to a searched index by the commands alone."""
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    row = lambda i, t, x: json.dumps({"id": i, "title": t, "text": x}, ensure_ascii=False) + "\n"
+    (raw / "b.jsonl").write_text(row("2", "Two", "Кино\tи маши-\nны") + "\n" + row("1", "again", "repeat"), encoding="utf-8")
+    (raw / "a.jsonl").write_text(row("1", "One", "кино") + row(None, "none", "lost") + row("", "empty", "lost"), encoding="utf-8")
+    assert cli.main(["prepare", str(raw), str(tmp_path / "out")]) == 0
+    assert "unique documents: 2" in capsys.readouterr().out
+    rejects = [r["value"] for r in spark.read.text(str(tmp_path / "out/rejects")).collect()]
+    assert rejects == ["MISSING_ID\t\tnone", "MISSING_ID\t\tempty", "DUPLICATE\t1\tagain"]
+    cli.main(["build", str(tmp_path / "out/corpus"), str(tmp_path / "ix"), "--stem"])
+    meta = index.Index.open(spark, str(tmp_path / "ix")).meta.first()
+    assert (meta["stemmer"], len(meta["build_sha1"]), len(meta["tokenizer_sha1"])) == ("stem", 40, 40)
+    capsys.readouterr()
+    cli.main(["search", str(tmp_path / "ix"), "--query", "машин || кин"])
+    assert capsys.readouterr().out == "1\tOne\n2\tTwo\n"
+    cli.main(["stats", str(tmp_path / "out/corpus"), "--out", str(tmp_path / "st")])
+    told = json.loads(next((tmp_path / "st/tokens_stats").glob("part-*")).read_text())
+    assert told["docs_processed"] == 2
+    assert {t["term"]: t["cf"] for t in told["top_terms"]}["кино"] == 1
+    assert sum(len(p.read_text().splitlines()) for p in (tmp_path / "st/sample_tokenized").glob("part-*")) == 2
+
+
+def test_lemmatizer(spark):
+    def lemma():
+        def find(word):
+            if word == "bad":
+                raise ValueError(word)
+            return word.rstrip("s")
+
+        return find
+
+    docs = spark.createDataFrame([(1, "1", "t", "cats cat bad"), (2, "2", "t", "cats")], "n int, docid string, title string, text string")
+    built = index.build(docs, stemmer=X.lemmatizer(lemma))
+    assert {(r["term"], r["df"], r["df_postings"]) for r in built.vocab.collect()} == {("cat", 2, 3), ("bad", 1, 1)}
+    assert built.meta.first()["stemmer"] == "lemmatize"
+
+
+def test_numbering_keeps_ties_and_nulls(spark):
+    docs = spark.createDataFrame([("b", "x"), ("a", "y"), ("a", "z"), (None, "n")], "docid string, text string")
+    got = sorted((r["docnum"], r["docid"], r["text"]) for r in index.number(docs, "docid").collect())
+    assert [(n, i) for n, i, _ in got] == [(1, None), (2, "a"), (3, "a"), (4, "b")]
+    assert {t for *_, t in got} == {"x", "y", "z", "n"}
+
+
+def test_crawl_counters(spark):
+    df, seen = crawl.counted(spark.createDataFrame([("a", "text"), ("b", ""), ("c", None)], "title string, text string"))
+    assert df.count() == 3
+    assert seen.get == {"pages": 3, "empty": 2, "bytes": 4}
+
+
+def test_snippets_and_suggestions(spark):
+    df = spark.createDataFrame([(1, "Nothing here. A cat sat. The dog ran off.\nCat and dog."), (2, "one"), (3, None)], "i int, text string")
+    got = [r[0] for r in df.orderBy("i").select(search.biased_snippet(F.col("text"), ["cat", "dog"])).collect()]
+    assert got == ["A cat sat. The dog ran off.", "one", None]
+    vocab = spark.createDataFrame([("cat", 5), ("cart", 9), ("dog", 1), ("bat", 5)], "term string, df long")
+    assert [(r["term"], r["distance"]) for r in search.suggest("Cat", vocab, 1).collect()] == [("cat", 0), ("cart", 1), ("bat", 1)]
