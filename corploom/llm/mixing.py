@@ -10,8 +10,8 @@ sums over the children in order of capacity / weight.
 A leaf reads its documents in seeded orders, one order an epoch: as many whole
 epochs as fit its budget, then a prefix of the next one, ending before the first
 document that would exceed the budget.  The prefix needs no sort of the leaf: hash
-buckets that lie wholly inside are taken by their sums, and only the bucket in
-which the budget ends is summed row by row.
+buckets that lie wholly inside are taken by their sums, the bucket in which the
+budget ends is found digit by digit, and only that one is summed row by row.
 """
 
 from __future__ import annotations
@@ -85,14 +85,20 @@ def plan(docs: DataFrame, levels: list[str], weights: Mapping[str, Mapping[str,
     budgets = budgets.withColumn("epochs", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.greatest("tokens", F.lit(1)))).otherwise(0).cast("long"))
     budgets = materialize(budgets.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens")), "budgets")
     drawn = slim.join(budgets.select(*levels, "epochs", "rest"), levels).withColumn("draw", draw(F.col("doc_id"), seed, F.col("epochs"))).withColumn("bucket", F.substring("draw", 1, BUCKET_DIGITS))
-    sums = drawn.groupBy(*levels, "rest", "bucket").agg(F.sum("n_tokens").alias("n"))
-    running = Window.partitionBy(*levels).orderBy("bucket")
-    ends = sums.withColumn("upto", F.sum("n").over(running)).where(F.col("upto") > F.col("rest"))
-    ends = ends.groupBy(*levels).agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("n")).alias("base")), "bucket").alias("end"))
-    leaf_plan = materialize(budgets.join(ends, levels, "left").select(*levels, "documents", "tokens", "budget", "epochs", "rest", F.col("end.bucket").alias("end_bucket"), F.col("end.base").alias("base")), "plan")
-    # rows that repeat a draw stand or fall together: the frame is by value
+    # digit by digit: sixteen sums a leaf tell in which part the budget ends, and only that part is opened
+    sums = materialize(drawn.groupBy(*levels, "rest", "bucket").agg(F.sum("n_tokens").alias("n")), "sums")
+    running, ends = Window.partitionBy(*levels).orderBy("part"), None
+    for digits in range(1, BUCKET_DIGITS + 1):
+        own = sums.withColumn("base", F.lit(0).cast("long")) if ends is None else sums.join(ends, levels).where(F.substring("bucket", 1, digits - 1) == F.col("end.part")).withColumn("base", F.col("end.base"))
+        parts = own.groupBy(*levels, F.substring("bucket", 1, digits).alias("part")).agg(F.sum("n").alias("n"), F.first("rest").alias("rest"), F.first("base").alias("base"))
+        over = parts.withColumn("upto", F.col("base") + F.sum("n").over(running)).where(F.col("upto") > F.col("rest"))
+        ends = over.groupBy(*levels).agg(F.min_by(F.struct("part", (F.col("upto") - F.col("n")).alias("base")), "part").alias("end"))
+        ends = materialize(ends, "ends")
+    leaf_plan = materialize(budgets.join(ends, levels, "left").select(*levels, "documents", "tokens", "budget", "epochs", "rest", F.col("end.part").alias("end_bucket"), F.col("end.base").alias("base")), "plan")
+    # rows that repeat a doc_id have one draw and stand or fall together, so they are summed first
     inside = Window.partitionBy(*levels, "bucket").orderBy("draw").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     edge = drawn.join(leaf_plan.select(*levels, "end_bucket", "base"), levels).where(F.col("bucket") == F.col("end_bucket"))
+    edge = edge.groupBy(*levels, "bucket", "draw", "doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.first("base").alias("base"), F.first("rest").alias("rest"))
     edge = edge.withColumn("upto", F.col("base") + F.sum("n_tokens").over(inside)).where(F.col("upto") <= F.col("rest"))
     return leaf_plan, materialize(edge.select("doc_id", *levels).distinct(), "winners")
 
