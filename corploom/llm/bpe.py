@@ -10,7 +10,8 @@ root is the least value: the lowest rank and, among equals, the leftmost pair.
 Applying that merge changes three leaves - the pair's own, its left neighbour's, the
 absorbed symbol's - and each change climbs log2(n) nodes.  The loop ends when the
 root says that no pair has a rank.  Pre-tokens of one size class are merged side by
-side, one tree a row, so a step of the loop is a handful of numpy calls.
+side, one tree a row, so a step of the loop is a handful of numpy calls; the last few
+rows, and a long pre-token alone, go on one merge after another in the same arrays.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^W\p{L}\p{N}]+|[W]+(?![
 #: The same over ASCII texts, where the standard library's engine can do it in less time.
 ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 CACHE_WORDS = 200_000  # distinct pre-tokens that a worker remembers at once
+FEW = 12  # rows below which a merge in Python takes less time than a step of numpy calls
 NO_PAIR = np.int64(1) << 62
 
 
@@ -70,6 +72,7 @@ class Vocabulary:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.merged = np.array([ids[a + b] for a, b in pairs], dtype=np.int64)
+        self.rank_of = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.piece_size = np.array([len(p) for p in self.pieces], dtype=np.int64)
         self.piece_at = np.concatenate([[0], np.cumsum(self.piece_size)])
@@ -136,7 +139,7 @@ def _merge_block(vocab: Vocabulary, words: list[bytes], width: int) -> tuple[np.
 
     nodes, depth = tree.reshape(-1), width.bit_length() - 1
     r = np.flatnonzero(tree[:, 1] < NO_PAIR)
-    while len(r):
+    while len(r) >= max(1, FEW):
         root = tree[r, 1]
         i, rank = root & 0xFFFFFFFF, root >> 32
         j = following[r, i]
@@ -151,9 +154,45 @@ def _merge_block(vocab: Vocabulary, words: list[bytes], width: int) -> tuple[np.
         near_r, near_i = np.concatenate([r, r[has]]), np.concatenate([i, p[has]])
         put(np.concatenate([near_r, r]), np.concatenate([near_i, j]), np.concatenate([value(near_r, near_i), np.full(len(r), NO_PAIR)]))
         r = r[tree[r, 1] < NO_PAIR]
+    for row in r.tolist():
+        _merge_row(vocab, *(memoryview(x[row]) for x in (symbol, following, before, tree, live)), int(size[row]))
     return symbol[live], live.sum(axis=1)
 
 
+def _merge_row(vocab: Vocabulary, symbol: memoryview, following: memoryview, before: memoryview, tree: memoryview, live: memoryview, size: int) -> None:
+    """The remaining merges of one row, in place."""
+    ranks, merged, width, none = vocab.rank_of, vocab.merged, len(symbol), int(NO_PAIR)
+
+    def put(i: int, value: int) -> None:
+        """Point update: set a leaf and recompute the nodes above it, up to the first that doesn't change."""
+        node = i + width
+        tree[node] = value
+        while node > 1:
+            other = tree[node ^ 1]
+            value = value if value < other else other
+            node >>= 1
+            if tree[node] == value:
+                return
+            tree[node] = value
+
+    def value(i: int, j: int) -> int:
+        """The leaf of the pair that starts at i and goes on at j."""
+        rank = ranks.get(symbol[i] << 32 | symbol[j]) if j < size else None
+        return none if rank is None else rank << 32 | i
+
+    while (root := tree[1]) < none:
+        i = root & 0xFFFFFFFF
+        j = following[i]
+        k = following[j]
+        symbol[i], following[i], live[j] = merged[root >> 32], k, False
+        if k < size:
+            before[k] = i
+        put(j, none)
+        put(i, value(i, k))
+        if (p := before[i]) >= 0:
+            put(p, value(p, i))
+
+
 class Encoder:
     """Encodes batches of texts; remembers the ids of pre-tokens, a bounded number at once."""
 

@@ -364,6 +364,20 @@ def test_bpe_cache_is_bounded():
         assert [x.tolist() for x in small.encode([text])] == [x.tolist() for x in large.encode([text])]
 
 
+@pytest.mark.parametrize("few", [0, bpe.FEW, 10**9])
+def test_bpe_on_long_words(monkeypatch, few):
+    """Side by side, one after another, and both in turn give the library's ids, however long a pre-token is."""
+    tokenizers = pytest.importorskip("tokenizers")
+    monkeypatch.setattr(bpe, "FEW", few)
+    path = queries.vocabulary_path()
+    library, rng = tokenizers.Tokenizer.from_file(path), np.random.default_rng(6)
+    letters = np.array(list("etaoinshrdlué"))
+    texts = ["".join(rng.choice(letters, n)) for n in (1, 2, 3, 700, 3000)] + ["a" * 1500 + "é" * 800, "=" * 2047, "", "漢字" * 300]
+    texts += [" ".join("".join(rng.choice(letters, n)) for n in rng.integers(1, 12, 60))]
+    ids, count = bpe.Encoder(bpe.Vocabulary(path)).encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 # near duplicates
 
 
