@@ -120,7 +120,7 @@ query("clean_text_glue")(lambda spark, sf: _documents(spark, sf).select("doc_id"
 
 # documents as raw rows: ids that repeat, ids that are null or empty
 _RAW = "r AS (SELECT doc_id AS input_no, CASE doc_id % 10 WHEN 3 THEN NULL WHEN 4 THEN '' ELSE CAST(doc_id - doc_id % 3 AS VARCHAR) END AS id, concat(source, ' -', chr(10), lang, '  ') AS title, text FROM documents)"
-_CLEANED = f"c AS (SELECT input_no, coalesce(id, '') AS docid, trim(regexp_replace({_CLEAN.replace('text', 'title')}, '[\s]+', ' ', 'g')) AS title, trim(regexp_replace({_CLEAN}, '[\s]+', ' ', 'g')) AS text, strlen(text) + 1 AS line_bytes FROM r), k AS (SELECT *, CASE WHEN docid = '' THEN 0 ELSE row_number() OVER (PARTITION BY docid ORDER BY input_no) END AS nth FROM c)"
+_CLEANED = rf"c AS (SELECT input_no, coalesce(id, '') AS docid, trim(regexp_replace({_CLEAN.replace('text', 'title')}, '[\s]+', ' ', 'g')) AS title, trim(regexp_replace({_CLEAN}, '[\s]+', ' ', 'g')) AS text, strlen(text) + 1 AS line_bytes FROM r), k AS (SELECT *, CASE WHEN docid = '' THEN 0 ELSE row_number() OVER (PARTITION BY docid ORDER BY input_no) END AS nth FROM c)"
 
 
 def _prepared(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
