@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -381,11 +382,13 @@ def test_bpe_on_long_words(monkeypatch, few):
 # near duplicates
 
 
+def shingle_set(text, k):
+    w = WORD.findall((text or "").translate(LOWER))
+    return {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
+
+
 def brute_components(rows, k, percent):
-    sets = {}
-    for i, t in rows:
-        w = WORD.findall((t or "").translate(LOWER))
-        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
+    sets = {i: shingle_set(t, k) for i, t in rows}
     up = {i: i for i in sets}
     changed = True
     while changed:
@@ -399,6 +402,21 @@ def brute_components(rows, k, percent):
     return {i: (len(sets[i]), up[i]) for i in sets}
 
 
+def test_pairs_are_verified_whole():
+    """Texts that repeat within a batch, nulls and empty texts, against sets."""
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"v{x}" for x in rng.integers(0, 6, n)) for n in rng.integers(0, 30, 40)] + [None, "", "a b", "a b c", "A b C"]
+    one, other = (rng.integers(0, len(texts), 900) for _ in range(2))
+    for k, percent in ((1, 50), (3, 10), (3, 90)):
+        sets = [shingle_set(t, k) for t in texts]
+        want = [bool(sets[a]) and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]) for a, b in zip(one, other, strict=True)]
+        got = ngram_join.linked(pa.array([texts[a] for a in one], pa.string()), pa.array([texts[b] for b in other], pa.string()), k, percent)
+        assert got.tolist() == want
+        assert any(want)
+    none = pa.array([], pa.string())
+    assert not len(ngram_join.linked(none, none, 3, 90))
+
+
 @pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80), (3, 100)])
 def test_jaccard(docs, k, percent):
     want = brute_components([(i, t) for i, t in TEXTS if i is not None], k, percent)
