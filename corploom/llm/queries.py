@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anomaly, boosting, bpe, covertree, langid, linededup, mixing, ngram_join, toolcalls, toxicity
+from corploom.operators.shared import new_folder
+
+from . import anomaly, boosting, bpe, covertree, infill, langid, linededup, merkle, mixing, ngram_join, tokenfile, toolcalls, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -154,11 +156,11 @@ SELECT doc_id, domain, lang0 AS lang, source0 AS source, (epochs + CASE WHEN upt
 """
 
 
-def vocabulary_path() -> str:
-    """The byte-level BPE vocabulary among the installed public tokenizers."""
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
+    """A vocabulary among the installed public tokenizers, the byte-level BPE by default."""
     import public_tokenizers
 
-    return str(public_tokenizers.path("byte_bpe_50k.json"))
+    return str(public_tokenizers.path(name))
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,6 +198,85 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE
 FROM m GROUP BY doc_id
 """
 
+END_ID = 2
+
+
+def op11_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the whole table's ids and reads the files back."""
+    folder = new_folder(spark, "token-file")
+    tokenfile.write(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path("word_bpe_49k.json"), folder, END_ID)
+    return tokenfile.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.restore(infill.transform(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
+_OP12_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), r AS (
+  SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d
+), f AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM r
+), o AS (
+  SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || substr(t, 1, a) || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a)
+                      ELSE '<S>' || substr(t, b + 1) || '<P>' || substr(t, 1, a) || '<M>' || substr(t, a + 1, b - a) END AS output
+  FROM f
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(a AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(b - a AS BIGINT) END AS middle_chars,
+       sha256(output) AS output_sha256, sha256(t) AS restored_sha256
+FROM o
+"""
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(_table(spark, sf_dir, "documents"))
+
+
+def _op13_sql(depth: int = 5, top_depth: int = 3) -> str:
+    """Trees of a fixed depth, more than enough: a group of 16 ** depth rows, 16 ** top_depth groups."""
+    told = lambda x: f"coalesce(strlen({x}) || ':' || {x}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(told(x) for x in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)) + ")"
+
+    def levels(name: str, n: int) -> str:
+        out = ""
+        for k in range(1, n + 1):
+            alone = "count(*) = 1 AND min(pos) = 0"
+            run = "string_agg(digest, '' ORDER BY pos)"
+            out += f", {name}{k} AS (SELECT grp, up AS pos, CASE WHEN {alone} THEN NULL ELSE {run} END AS pre, CASE WHEN {alone} THEN min(digest) ELSE sha256({run}) END AS digest FROM (SELECT *, pos // 16 AS up FROM {name}{k - 1}) GROUP BY grp, up)"
+        return out
+
+    steps = [(f"g{k}", "l.grp", "l.pos", k) for k in range(1, depth + 1)] + [(f"t{k}", "''", "t0.pos", k) for k in range(1, top_depth + 1)]
+    joins = "".join(f" JOIN {t} ON {t}.grp = {grp} AND {t}.pos = {pos} // {16**k}" for t, grp, pos, k in steps)
+    picked = ", ".join(f"{t}.pre AS p{i}, ({pos} // {16 ** (k - 1)}) % 16 * 64 AS s{i}" for i, (t, _, pos, k) in enumerate(steps))
+    cut = " || ".join(f"coalesce(substr(p{i}, 1, s{i}) || substr(p{i}, s{i} + 65), '')" for i in range(len(steps)))
+    folds = "".join(f", f{i + 1} AS (SELECT *, CASE WHEN p{i} IS NULL THEN v{i} ELSE sha256(substr(p{i}, 1, s{i}) || v{i} || substr(p{i}, s{i} + 65)) END AS v{i + 1} FROM f{i})" for i in range(len(steps)))
+    return f"""
+WITH c AS (
+  SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)
+), d AS (
+  SELECT *, coalesce('=' || source, '') AS grp,
+         xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1])), 4294967295) AS crc
+  FROM documents, c
+), h AS (
+  SELECT doc_id, grp, {leaf("text")} AS digest, coalesce(crc % 5 = 0, false) AS touched, {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS other FROM d
+), l AS (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, digest) - 1 AS pos FROM h
+), g0 AS (SELECT grp, pos, digest FROM l){levels("g", depth)}
+, t0 AS (SELECT '' AS grp, grp AS name, digest, row_number() OVER (ORDER BY grp) - 1 AS pos FROM g{depth}){levels("t", top_depth)}
+, f0 AS (
+  SELECT l.doc_id, l.digest AS leaf, t0.digest AS subroot, t{top_depth}.digest AS root, CASE WHEN touched THEN other ELSE l.digest END AS v0, {picked}
+  FROM l JOIN t0 ON t0.name = l.grp{joins}
+){folds}
+SELECT doc_id, leaf, subroot, root, sha256({cut}) AS proof_sha256, v{len(steps)} AS folded_root, v{len(steps)} = root AS verified FROM f{len(steps)}
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_tool_calls": op2_tool_calls,
@@ -207,9 +288,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_source_mixing": op9_source_mixing,
     "op10_line_dedup": op10_line_dedup,
+    "op11_token_file": op11_token_file,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_tool_calls": _OP2_SQL,
     "op9_source_mixing": _op9_sql(),
     "op10_line_dedup": _OP10_SQL,
+    "op12_fill_in_middle": _OP12_SQL,
+    "op13_merkle_manifest": _op13_sql(),
 }
