@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 
 from corploom.functions import text as X
 from corploom.functions import varint
+from corploom.operators import blocks as B
 from corploom.operators import corpus as C
+from corploom.operators import fuzzy
 from corploom.operators import index as I
 from corploom.operators import search as S
 from corploom.operators import statistics as T
+from corploom.operators import synonyms as N
 from corploom.operators import verify as V
-from corploom.operators.shared import materialize, new_folder
+from corploom.operators.shared import exists, materialize, new_folder, release_folder
 from corploom.sources import crawl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,19 +64,26 @@ def _forward(spark: SparkSession, sf: str) -> DataFrame:
     return _title(C.number_rows(_documents(spark, sf).select("doc_id", "source", "lang"), "doc_id")).select("docnum", "docid", "title")
 
 
-_stored: dict[tuple, I.Index] = {}
+_stored: dict[str, tuple[tuple, I.Index]] = {}
 
 
 def _index(spark: SparkSession, sf: str) -> I.Index:
-    """The stored index of the documents table as its files are now; built where there is none in this application."""
+    """The stored index of the documents table as its files are now.
+
+    It is built where this application has none, where the table's files have
+    changed - the old one goes - and where its folder has been lost.
+    """
     docs = _documents(spark, sf)
     status = lambda p: p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p)  # noqa: E731, SLF001
     files = [(f, status(spark._jvm.org.apache.hadoop.fs.Path(f))) for f in sorted(docs.inputFiles())]  # noqa: SLF001
-    key = (spark.sparkContext.applicationId, *((f, s.getLen(), s.getModificationTime()) for f, s in files))
-    if key not in _stored:
+    state = (spark.sparkContext.applicationId, *((f, s.getLen(), s.getModificationTime()) for f, s in files))
+    held = _stored.get(sf)
+    if held is None or held[0] != state or not exists(spark, f"{held[1].folder}/meta/_SUCCESS"):
+        if held is not None:
+            release_folder(spark, held[1].folder)
         corpus = _title(docs.select("doc_id", "source", "lang", "text"))
-        _stored[key] = I.build(corpus, order=("doc_id",)).save(new_folder(spark, "index"))
-    return _stored[key]
+        _stored[sf] = (state, I.build(corpus, order=("doc_id",), folder=new_folder(spark, "index")))
+    return _stored[sf][1]
 
 
 def _postings(spark: SparkSession, sf: str) -> DataFrame:
@@ -169,7 +179,7 @@ query("collocations", f"WITH {_PAIRS}, e AS (SELECT a, b, n, sum(n) OVER (PARTIT
     lambda spark, sf: T.collocations(_documents(spark, sf).select(F.col("doc_id").alias("docnum"), "text"), 20).select("a", "b", "n", F.round("pmi", 6).alias("pmi"), F.round("t_score", 6).alias("t_score"))
 )
 query("zone_scores", f"WITH {_DOCS}, z AS (SELECT docnum, {_TOK.replace('text', 'title')} AS a, {_TOK} AS b FROM d), s AS (SELECT docnum, 3.5 * len(list_filter(a, lambda x: x IN ('en', 'with'))) + 0.5 * len(list_filter(b, lambda x: x IN ('en', 'with'))) AS score FROM z) SELECT docnum, CAST(score AS DOUBLE) AS score FROM s WHERE score > 0")(
-    lambda spark, sf: T.zone_scores(["en", "with"], _numbered(spark, sf), {"title": 3.5, "text": 0.5})
+    lambda spark, sf: S.zone_scores(_index(spark, sf), ["en", "with"], {"title": 3.5, "text": 0.5})
 )
 
 # the index
@@ -185,10 +195,18 @@ query("postings_gaps", f"WITH {_DOCS}, {_POST}, {_GAPS} SELECT term, docnum, CAS
 query("vocab_blocks", f"WITH {_DOCS}, {_POST}, {_GAPS}, {_BLOCKS} SELECT term, CAST(df AS BIGINT) AS df, CAST(coalesce(sum(length) OVER (ORDER BY term ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\", CAST(length AS BIGINT) AS length FROM b")(
     lambda spark, sf: I.with_offsets(I.block_sizes(_postings(spark, sf).select("term", "docnum"))).select("term", "df", "offset", "length")
 )
-query("postings_list", f"WITH {_DOCS}, {_POST} SELECT term, string_agg(CAST(docnum AS VARCHAR), ',' ORDER BY docnum) AS docs FROM p GROUP BY term")(
-    lambda spark, sf: _postings(spark, sf).groupBy("term").agg(F.array_join(F.sort_array(F.collect_list("docnum")), ",").alias("docs"))
+# lists in pieces of 1,024 document numbers each, so that no row grows with the corpus
+query("postings_list", f"WITH {_DOCS}, {_POST} SELECT term, docnum // 1024 AS piece, string_agg(CAST(docnum AS VARCHAR), ',' ORDER BY docnum) AS docs FROM p GROUP BY term, docnum // 1024")(
+    lambda spark, sf: _postings(spark, sf).groupBy("term", F.shiftright("docnum", 10).alias("piece")).agg(F.array_join(F.sort_array(F.collect_list("docnum")), ",").alias("docs"))
 )
 query("varint_roundtrip", f"WITH {_DOCS}, {_POST} SELECT term, docnum FROM p")(lambda spark, sf: I.packed(_postings(spark, sf)).select("term", F.explode(varint.decode_block(F.col("block"))).alias("docnum")))
+_BAND = "CASE WHEN df <= 128 THEN 'rare' WHEN df <= 16384 THEN 'middling' ELSE 'frequent' END"
+query("block_density", f"WITH {_DOCS}, {_POST}, {_GAPS}, {_BLOCKS} SELECT {_BAND} AS band, CAST(count(*) AS BIGINT) AS terms, CAST(sum(df) AS BIGINT) AS postings, CAST(sum(length) AS BIGINT) AS bytes, round(sum(length)::DOUBLE / sum(df), 6) AS bytes_per_posting FROM b GROUP BY 1")(
+    lambda spark, sf: B.density(_index(spark, sf).blocks).withColumn("bytes_per_posting", F.round("bytes_per_posting", 6))
+)
+query("postings_positions", f"WITH {_DOCS}, o AS (SELECT docnum, unnest({_TOK}) AS term, generate_subscripts({_TOK}, 1) - 1 AS pos FROM d) SELECT term, docnum, CAST(count(*) AS INTEGER) AS tf, array_to_string(list(pos ORDER BY pos), ' ') AS places FROM o GROUP BY term, docnum")(
+    lambda spark, sf: B.entries(_index(spark, sf).blocks.where("zone = 'text'"), "tfs", "places").select("term", "docnum", "tf", F.array_join("places", " ").alias("places"))
+)
 _STEPS = (1, 130, 20_000, 3_000_000, 5_000_000_000, 2**49, 2**56)  # gaps of one byte to nine
 query("varint_direct", "SELECT doc_id, unnest([" + ", ".join(f"doc_id + CAST({n} AS BIGINT)" for n in _STEPS) + "]) AS docnum FROM documents")(
     lambda spark, sf: _documents(spark, sf).select("doc_id", F.explode(varint.decode_block(varint.encode_block(F.array(*[F.col("doc_id") + n for n in _STEPS])))).alias("docnum"))
@@ -220,11 +238,11 @@ query("stemmed_df_once", f"WITH {_RU_DOCS} SELECT term, CAST(count(DISTINCT doc_
 )
 
 
-@query("index_meta", f"WITH {_DOCS}, {_POST} SELECT (SELECT CAST(count(*) AS BIGINT) FROM d) AS docs_count, (SELECT CAST(sum(len({_TOK})) AS BIGINT) FROM d) AS total_tokens, CAST(count(DISTINCT term) AS BIGINT) AS unique_terms FROM p")
+@query("index_meta", f"WITH {_DOCS}, {_POST} SELECT (SELECT CAST(count(*) AS BIGINT) FROM d) AS docs_count, (SELECT CAST(sum(len({_TOK})) AS BIGINT) FROM d) AS total_tokens, CAST(count(DISTINCT term) AS BIGINT) AS unique_terms, CAST(count(*) AS BIGINT) AS total_postings FROM p")
 def index_meta(spark: SparkSession, sf: str) -> DataFrame:
     """Builds and stores a whole index, whether one is stored already or not."""
     corpus = _title(_documents(spark, sf).select("doc_id", "source", "lang", "text"))
-    return I.build(corpus, order=("doc_id",)).save(new_folder(spark, "index")).meta.select("docs_count", "total_tokens", "unique_terms")
+    return I.build(corpus, order=("doc_id",)).meta.select("docs_count", "total_tokens", "unique_terms", "total_postings")
 
 
 # Boolean search
@@ -235,8 +253,7 @@ def _boolean(name: str, text: str, where: str, adjacency: str = "last") -> None:
 
 
 def _match(spark: SparkSession, sf: str, text: str, adjacency: str = "last") -> DataFrame:
-    ix = _index(spark, sf)
-    return S.matches(text, ix.postings, ix.forward, adjacency, ix.vocab)
+    return S.find(_index(spark, sf), text, adjacency)
 
 
 _has = lambda w: f"list_contains(t, '{w}')"
@@ -258,7 +275,49 @@ _boolean("bool_case_fallback", "THE && And", f"{_has('the')} AND {_has('and')}")
 _boolean("bool_single_ampersand", "the & der", _has("der"))
 _boolean("bool_unknown", "zzzz || !zzzz", "true")
 
+# the wider dialect: quotations, distances, zones, synonyms
+_SAYS = lambda words: f"contains(' ' || array_to_string(t, ' ') || ' ', ' {words} ')"
+_PLACES = "list_filter(range(1, len(t) + 1), lambda i: t[i] = '{}')"
+_within = lambda a, b, n: f"len(list_filter({_PLACES.format(a)}, lambda x: len(list_filter({_PLACES.format(b)}, lambda y: y > x AND y <= x + {n})) > 0)) > 0"
+_boolean("bool_phrase_not", '"of the" && !ach', f"{_SAYS('of the')} AND NOT {_has('ach')}")
+_boolean("bool_phrase_or", '"of the" || «und der»', f"{_SAYS('of the')} OR {_SAYS('und der')}")
+_boolean("bool_phrase_and_phrase", '"of the" && !"to the"', f"{_SAYS('of the')} AND NOT {_SAYS('to the')}")
+_boolean("bool_phrase_within", '"of the" / 5', _within("of", "the", 5))
+_boolean("bool_phrase_repeated", '"the the" / 6', _within("the", "the", 6))
+_boolean("bool_phrase_case", '"Of THE"', _SAYS("of the"))
+_boolean("bool_title_zone", "title:en && with", "list_contains(regexp_extract_all(lower(title), '" + _TOKEN + "', 1), 'en') AND " + _has("with"))
+_boolean("bool_title_phrase", 'title:"src0 en" || title:de', "contains(title, 'src0/en') OR list_contains(regexp_extract_all(lower(title), '" + _TOKEN + "', 1), 'de')")
+
+_PAIRED = [("of", "von"), ("von", "the"), ("the", "of"), ("que", "that"), ("lonely", "lonely")]  # with a cycle
+
+
+@query("bool_synonyms", f"WITH {_DOCS}, {_FLAGS} SELECT docnum, docid, title FROM w WHERE len(list_intersect(t, ['of', 'von', 'the'])) > 0 AND NOT len(list_intersect(t, ['que', 'that'])) > 0")
+def bool_synonyms(spark: SparkSession, sf: str) -> DataFrame:
+    classes = N.close(spark.createDataFrame(_PAIRED, "a string, b string"))
+    return S.find(_index(spark, sf), "von && !that", synonyms=classes)
+
+
+_tfs = lambda *words: f"o AS (SELECT docnum, unnest({_TOK}) AS term FROM d), tf AS (SELECT term, docnum, count(*) AS tf FROM o WHERE list_contains({list(words)}, term) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), s AS (SELECT docnum, sum(tf * ln((SELECT count(*) FROM d)::DOUBLE / df)) AS score FROM tf JOIN df USING (term) GROUP BY docnum)"
+query("rank_top50", f"WITH {_DOCS}, {_tfs('with', 'from', 'que')} SELECT docnum, docid, title, round(score, 6) AS score FROM s JOIN d USING (docnum) ORDER BY round(s.score, 9) DESC, docnum LIMIT 50")(
+    lambda spark, sf: S.rank(_index(spark, sf), "with from que").withColumn("score", F.round("score", 6))
+)
+query("rank_strict", f"WITH {_DOCS}, {_tfs('with', 'from')}, b AS (SELECT docnum FROM tf WHERE term = 'with' INTERSECT SELECT docnum FROM tf WHERE term = 'from') SELECT docnum, docid, title, round(score, 6) AS score FROM s JOIN d USING (docnum) WHERE docnum IN (FROM b) ORDER BY round(s.score, 9) DESC, docnum LIMIT 50")(
+    lambda spark, sf: S.rank(_index(spark, sf), "with && from").withColumn("score", F.round("score", 6))
+)
+
 
+def _misspelt(spark: SparkSession, sf: str) -> DataFrame:
+    """A batch of 100 words: terms of small letters, chosen by digest, each without its third letter."""
+    plain = _index(spark, sf).vocab.where(F.col("term").rlike("^[a-z]{6,}$"))
+    return plain.orderBy(F.md5(F.col("term").cast("binary"))).limit(100).select(F.concat(F.left("term", F.lit(2)), F.substr("term", F.lit(4))).alias("word"))
+
+
+query(
+    "suggest_batch",
+    f"WITH v AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({_TOK})) AS term FROM documents) GROUP BY term HAVING regexp_full_match(term, '[a-z]+')), q AS (SELECT DISTINCT substr(term, 1, 2) || substr(term, 4) AS word FROM (SELECT term FROM v WHERE length(term) >= 6 ORDER BY md5(term) LIMIT 100))"
+    " SELECT word, row_number() OVER (PARTITION BY word ORDER BY levenshtein(word, term), df DESC, term) AS nth, term, CAST(levenshtein(word, term) AS BIGINT) AS distance, CAST(df AS BIGINT) AS df FROM q, v WHERE levenshtein(word, term) <= 2 QUALIFY nth <= 10",
+)(lambda spark, sf: fuzzy.suggest_many(_misspelt(spark, sf), fuzzy.deletion_index(_index(spark, sf).vocab.where(F.col("term").rlike("^[a-z]+$")))))
+query("query_snippets")(lambda spark, sf: _documents(spark, sf).select("doc_id", S.biased_snippet(F.col("text"), ["the", "of", "que"]).alias("snippet")))
 
 @query("bool_setops", f"WITH {_DOCS}, {_FLAGS} SELECT docnum FROM w WHERE {_has('the')} INTERSECT SELECT docnum FROM w WHERE {_has('of')} UNION (SELECT docnum FROM w EXCEPT SELECT docnum FROM w WHERE {_has('der')})")
 def bool_setops(spark: SparkSession, sf: str) -> DataFrame:
@@ -282,9 +341,9 @@ query("search_page2", f"WITH {_DOCS}, {_FLAGS} SELECT docnum, docid, title FROM
 query("result_page_count", f"WITH {_DOCS}, {_FLAGS} SELECT CAST(count(*) AS BIGINT) AS total, CAST(greatest(1, ceil(count(*) / 50.0)) AS BIGINT) AS pages FROM w WHERE {_has('the')}")(lambda spark, sf: S.page_count(_match(spark, sf, "the")))
 query("doc_view", f"WITH {_DOCS} SELECT docnum, docid, title, substr(text, 1, 1000) AS snippet, text FROM d WHERE docnum = 7")(lambda spark, sf: S.document(7, _index(spark, sf).forward, _documents(spark, sf).select(F.col("doc_id").cast("string").alias("docid"), "text")))
 query("doc_snippets", "SELECT doc_id, substr(text, 1, 1000) AS snippet FROM documents")(lambda spark, sf: _documents(spark, sf).select("doc_id", X.snippet(F.col("text")).alias("snippet")))
-query("phrase_search", f"WITH {_DOCS} SELECT docnum FROM d WHERE contains(' ' || array_to_string({_TOK}, ' ') || ' ', ' of the ')")(lambda spark, sf: S.phrase(["of", "the"], T.occurrences(_numbered(spark, sf))))
+query("phrase_search", f"WITH {_DOCS} SELECT docnum FROM d WHERE contains(' ' || array_to_string({_TOK}, ' ') || ' ', ' of the ')")(lambda spark, sf: S.find(_index(spark, sf), '"of the"').select("docnum"))
 query("tf_idf_top", f"WITH {_DOCS}, o AS (SELECT docnum, unnest({_TOK}) AS term FROM d), tf AS (SELECT term, docnum, count(*) AS tf FROM o WHERE term IN ('with', 'from') GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term) SELECT docnum, round(sum(tf * ln((SELECT count(*) FROM d)::DOUBLE / df)), 6) AS score FROM tf JOIN df USING (term) GROUP BY docnum")(
-    lambda spark, sf: T.tf_idf(["with", "from"], _numbered(spark, sf)).select("docnum", F.round("score", 6).alias("score"))
+    lambda spark, sf: S.tf_idf(_index(spark, sf), ["with", "from"]).select("docnum", F.round("score", 6).alias("score"))
 )
 
 # statistics, verification, crawl
@@ -303,11 +362,59 @@ query("verify_topk", f"WITH {_DOCS}, {_POST}, v AS (SELECT term, count(*) AS df
     lambda spark, sf: V.verify(_vocab(spark, sf), _index(spark, sf).postings, _numbered(spark, sf))
 )
 query("verify_both_ways", "SELECT CAST(0 AS BIGINT) AS unsupported, CAST(0 AS BIGINT) AS missing")(lambda spark, sf: V.verify_all(_index(spark, sf).postings, T.occurrences(_numbered(spark, sf)).select("term", "docnum")))
+
+
+# an index that was damaged: every seventh posting is lost, and every fifth document has a word that it never said
+_DAMAGED = f"{_DOCS}, {_POST}, x AS (SELECT term, docnum FROM p WHERE (docnum + length(term)) % 7 <> 0 UNION ALL SELECT 'the', docnum FROM d WHERE docnum % 5 = 0 AND docnum NOT IN (SELECT docnum FROM p WHERE term = 'the'))"
+
+
+def _damaged(spark: SparkSession, sf: str) -> DataFrame:
+    ix = _index(spark, sf)
+    told = ix.postings.where("term = 'the'").select("docnum")
+    strays = ix.forward.where("docnum % 5 = 0").select("docnum").join(told, "docnum", "left_anti").select(F.lit("the").alias("term"), "docnum")
+    return ix.postings.where((F.col("docnum") + F.char_length("term")) % 7 != 0).unionByName(strays)
+
+
+query("verify_damaged", f"WITH {_DAMAGED} SELECT (SELECT CAST(count(*) AS BIGINT) FROM x ANTI JOIN p USING (term, docnum)) AS unsupported, (SELECT CAST(count(*) AS BIGINT) FROM p ANTI JOIN x USING (term, docnum)) AS missing")(
+    lambda spark, sf: V.verify_all(_damaged(spark, sf), I.document_terms(_numbered(spark, sf)))
+)
+query("verify_damaged_topk", f"WITH {_DAMAGED}, v AS (SELECT term, count(*) AS df FROM p GROUP BY term ORDER BY df DESC, term LIMIT 10), h AS (SELECT term, docnum, row_number() OVER (PARTITION BY term ORDER BY docnum) AS nth FROM x WHERE term IN (SELECT term FROM v)), m AS (SELECT h.*, p.term IS NULL AS bad FROM h LEFT JOIN p ON p.term = h.term AND p.docnum = h.docnum) SELECT term, CAST(any_value(df) AS BIGINT) AS df, CAST(count(*) AS BIGINT) AS n_postings, CAST(count(*) FILTER (WHERE nth <= 100) AS BIGINT) AS checked, CAST(count(*) FILTER (WHERE nth <= 100 AND bad) AS BIGINT) AS mismatches FROM m JOIN v USING (term) GROUP BY term")(
+    lambda spark, sf: V.verify(_vocab(spark, sf), _damaged(spark, sf), _numbered(spark, sf))
+)
+
+# labels as judgements: each source's documents in the order of a digest are its results
+_JUDGED = "j AS (SELECT source AS query_id, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR))) AS rank, 2 * quality + 1 - toxic AS grade, 3 AS max_grade FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND toxic IS NOT NULL AND source IS NOT NULL)"
+_QUALITY = """, i AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, rank) AS ideal_rank, (pow(2, grade) - 1) / pow(2, max_grade) AS stop FROM j),
+g AS (SELECT *, coalesce(exp(sum(ln(greatest(1 - stop, 1e-300))) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS go_on FROM i),
+k AS (SELECT unnest([1, 3, 5]) AS level),
+s AS (SELECT query_id, level, sum(CASE WHEN rank <= level AND grade > 0 THEN 1 ELSE 0 END) / level AS p, sum(CASE WHEN rank <= level THEN (pow(2, grade) - 1) / log2(rank + 1) ELSE 0 END) AS dcg,
+  sum(CASE WHEN ideal_rank <= level THEN (pow(2, grade) - 1) / log2(ideal_rank + 1) ELSE 0 END) AS best, sum(CASE WHEN rank <= level THEN go_on * stop / rank ELSE 0 END) AS err FROM g, k GROUP BY query_id, level)
+SELECT query_id, CAST(level AS INTEGER) AS level, round(CAST(p AS DOUBLE), 6) AS p, round(dcg, 6) AS dcg, round(CASE WHEN best > 0 THEN dcg / best ELSE 0 END, 6) AS ndcg, round(err, 6) AS err FROM s"""
+
+
+@query("search_quality", f"WITH {_JUDGED}{_QUALITY}")
+def search_quality(spark: SparkSession, sf: str) -> DataFrame:
+    known = spark.read.parquet(f"{sf}/labels.parquet").where("quality IS NOT NULL AND toxic IS NOT NULL")
+    rows = _documents(spark, sf).select("doc_id", "source").where("source IS NOT NULL").join(known, "doc_id")
+    order = F.md5(F.col("doc_id").cast("string").cast("binary"))
+    judged = C.first_wins(rows, "source", order).select(F.col("source").alias("query_id"), F.col("nth").alias("rank"), (2 * F.col("quality") + 1 - F.col("toxic")).alias("grade"), F.lit(3).alias("max_grade"))
+    return T.ranking_levels(judged).select("query_id", "level", *[F.round(c, 6).alias(c) for c in ("p", "dcg", "ndcg", "err")])
+
+
 query("resume_anti", "SELECT url AS title FROM pages p WHERE NOT EXISTS (SELECT 1 FROM pages q WHERE q.url = p.url AND q.page_id % 3 = 0)")(
     lambda spark, sf: crawl.not_yet(spark.read.parquet(f"{sf}/pages.parquet").select(F.col("url").alias("title")), spark.read.parquet(f"{sf}/pages.parquet").where("page_id % 3 = 0").select(F.col("url").alias("title")))
 )
-_GRAPH = [("root", "a", "CATEGORY"), ("root", "b", "CATEGORY"), ("root", "p0", "MAIN"), ("a", "p1", "MAIN"), ("a", "c", "CATEGORY"), ("b", "p1", "MAIN"), ("b", "a", "CATEGORY"), ("c", "p2", "MAIN"), ("c", "root", "CATEGORY"), ("c", "d", "CATEGORY"), ("d", "p3", "MAIN")]
-query(
+# languages hold sources, sources hold documents, and each source leads back to its languages: a graph with cycles
+_EDGES = "e AS (SELECT DISTINCT 'root' AS parent, lang AS child, 'CATEGORY' AS ns FROM documents UNION ALL SELECT DISTINCT lang, source, 'CATEGORY' FROM documents UNION ALL SELECT DISTINCT source, lang, 'CATEGORY' FROM documents UNION ALL SELECT source, CAST(doc_id AS VARCHAR), 'MAIN' FROM documents)"
+
+
+@query(
     "category_walk",
-    "WITH RECURSIVE e(parent, child, ns) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{n}')" for a, b, n in _GRAPH) + "), w(category, level) AS (SELECT 'root', 0 UNION ALL SELECT e.child, w.level + 1 FROM w JOIN e ON e.parent = w.category WHERE e.ns = 'CATEGORY' AND w.level < 2) SELECT e.child AS title, CAST(w.level AS INTEGER) AS level FROM w JOIN e ON e.parent = w.category WHERE e.ns = 'MAIN'",
-)(lambda spark, sf: crawl.walk_categories(spark.createDataFrame(_GRAPH, "parent string, child string, ns string"), "root", 2))
+    f"WITH RECURSIVE {_EDGES}, w(category, level) AS (SELECT 'root', 0 UNION ALL SELECT e.child, w.level + 1 FROM w JOIN e ON e.parent = w.category WHERE e.ns = 'CATEGORY' AND w.level < 2) SELECT e.child AS title, CAST(w.level AS INTEGER) AS level FROM w JOIN e ON e.parent = w.category WHERE e.ns = 'MAIN'",
+)
+def category_walk(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _documents(spark, sf)
+    edge = lambda a, b, ns: docs.select(a.alias("parent"), b.alias("child"), F.lit(ns).alias("ns"))
+    root, lang, source = F.lit("root"), F.col("lang"), F.col("source")
+    edges = edge(root, lang, "CATEGORY").union(edge(lang, source, "CATEGORY")).union(edge(source, lang, "CATEGORY")).distinct().union(edge(source, F.col("doc_id").cast("string"), "MAIN"))
+    return crawl.walk_categories(materialize(edges, "edges"), "root", 2)

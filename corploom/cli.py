@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corploom import web
 from corploom.functions import text as X
-from corploom.operators import corpus, index, search, statistics, verify
+from corploom.operators import blocks, corpus, fuzzy, index, search, statistics, synonyms, verify
 from corploom.sources import files
 
 
@@ -22,9 +22,15 @@ def main(argv: list[str] | None = None) -> int:
     b = sub.add_parser("build")
     b.add_argument("corpus"), b.add_argument("index"), b.add_argument("--tokenizer", default="unicode"), b.add_argument("--stem", action="store_true"), b.add_argument("--sample", type=int, default=0)
     s = sub.add_parser("search")
-    s.add_argument("index"), s.add_argument("--query"), s.add_argument("--adjacency", default="last")
+    s.add_argument("index"), s.add_argument("--query"), s.add_argument("--adjacency", default="last"), s.add_argument("--rank", action="store_true"), s.add_argument("--synonyms")
     v = sub.add_parser("verify")
     v.add_argument("index"), v.add_argument("corpus"), v.add_argument("--top", type=int, default=10), v.add_argument("--stem", action="store_true")
+    g = sub.add_parser("suggest")
+    g.add_argument("index"), g.add_argument("words", nargs="+"), g.add_argument("--limit", type=int, default=10)
+    m = sub.add_parser("measure")
+    m.add_argument("index")
+    y = sub.add_parser("quality")
+    y.add_argument("grades")
     z = sub.add_parser("zipf")
     z.add_argument("index"), z.add_argument("out")
     t = sub.add_parser("stats")
@@ -41,13 +47,27 @@ def main(argv: list[str] | None = None) -> int:
         info.coalesce(1).write.mode("overwrite").text(f"{a.out}/info")
         print(info.first()[0])
     elif a.command == "build":
-        built = index.build(files.read_parts(spark, a.corpus), a.tokenizer, X.stem if a.stem else None, a.sample).save(a.index)
+        built = index.build(files.read_parts(spark, a.corpus), a.tokenizer, X.stem if a.stem else None, a.sample, folder=a.index)
         print(built.meta.first().asDict())
     elif a.command == "search":
         ix = index.Index.open(spark, a.index)
+        classes = synonyms.close(files.read_pairs(spark, a.synonyms)) if a.synonyms else None
         for q in [a.query] if a.query else filter(None, map(str.strip, sys.stdin)):
-            for r in search.search(q, ix.postings, ix.forward, a.adjacency, vocab=ix.vocab).collect():
-                print(f"{r['docid']}\t{r['title']}")
+            found = search.rank(ix, q, search.PAGE, a.adjacency, classes) if a.rank else search.find(ix, q, a.adjacency, classes).orderBy("docnum").limit(search.PAGE)
+            for r in found.collect():
+                print(f"{r['docid']}\t{r['title']}" + (f"\t{r['score']:.4f}" if a.rank else ""))
+    elif a.command == "suggest":
+        asked = spark.createDataFrame([(w,) for w in a.words], "word string")
+        for r in fuzzy.suggest_many(asked, fuzzy.deletion_index(index.Index.open(spark, a.index).vocab), limit=a.limit).orderBy("word", "nth").collect():
+            print(r["word"], r["term"], r["distance"], r["df"], sep="\t")
+    elif a.command == "measure":
+        ix = index.Index.open(spark, a.index)
+        for table in (index.speed(ix), blocks.density(ix.blocks)):
+            for r in table.collect():
+                print(r.asDict())
+    elif a.command == "quality":
+        for r in statistics.ranking_levels(files.read_grades(spark, a.grades)).orderBy("query_id", "level").collect():
+            print(r.asDict())
     elif a.command == "verify":
         ix = index.Index.open(spark, a.index)
         texts = ix.forward.select("docnum", "docid").join(files.last_texts(files.read_parts(spark, a.corpus)), "docid", "left")

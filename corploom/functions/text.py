@@ -75,13 +75,16 @@ def normalize(text: Column, compose: bool = True) -> Column:
     return collapse_space(fold_signs(casefold(text, compose)))
 
 
-def tokens(text: Column, mode: str = "unicode", compose: bool = True) -> Column:
+def tokens(text: Column, mode: str | Callable[[Column], Column] = "unicode", compose: bool = True) -> Column:
     """Tokens in order with repeats (null: none).
 
     unicode: runs of letters and digits, joined inside by single hyphens and
     apostrophes, case folded.  whitespace: what white space separates, unchanged.
+    A function in place of a name is a tokenizer of the caller's, over Columns.
     """
     text = F.coalesce(text, F.lit(""))
+    if callable(mode):
+        return F.coalesce(mode(text), F.array().cast("array<string>"))
     if mode == "whitespace":
         return F.filter(F.split(text, WHITE + "+"), lambda t: t != "")
     if mode != "unicode":

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import subprocess
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
@@ -11,26 +12,39 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corploom.functions import text as X
-from corploom.functions import varint
 from corploom.sources.files import file_sha1
 
+from . import blocks as B
 from .corpus import number_rows
-from .shared import materialize
+from .shared import materialize, new_folder, release
 
 
 @dataclass
 class Index:
-    """Tables of an index: forward (docnum, docid, title, n_tokens), postings (term, docnum), vocab (term, df, df_postings, offset, length)."""
+    """Tables of an index: forward (docnum, docid, title, n_tokens), blocks of positional postings, vocab (term, df, df_postings, offset, length), meta.
+
+    Titles are a zone of the blocks; postings, vocab and lengths are those of the texts.
+    """
 
     forward: DataFrame
-    postings: DataFrame
+    blocks: DataFrame
     vocab: DataFrame
     meta: DataFrame
+    folder: str | None = None
+
+    @property
+    def postings(self) -> DataFrame:
+        """(term, docnum) of the texts; a filter on term reaches the blocks' scan."""
+        return B.entries(self.blocks.where(F.col("zone") == B.TEXT)).select("term", "docnum")
 
     def save(self, folder: str) -> Index:
-        """Write all tables and return the index as read back: postings sorted by term, so a query reads the row groups of its terms."""
+        """Write all tables to a folder of the caller's and return the index as read back.  build(folder=...) writes there at once."""
+        if folder == self.folder:
+            return self
         self.forward.write.mode("overwrite").parquet(f"{folder}/forward")
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "docnum").write.mode("overwrite").parquet(f"{folder}/postings")
+        order = ["term", "zone", "first"]
+        sorted_ = self.blocks.repartitionByRange(*order).sortWithinPartitions(*order)
+        sorted_.write.mode("overwrite").options(**B.WRITE).parquet(f"{folder}/blocks")
         self.vocab.write.mode("overwrite").parquet(f"{folder}/vocab")
         self.meta.write.mode("overwrite").json(f"{folder}/meta")
         return Index.open(self.forward.sparkSession, folder)
@@ -38,7 +52,7 @@ class Index:
     @staticmethod
     def open(spark: SparkSession, folder: str) -> Index:
         read = spark.read.parquet
-        return Index(read(f"{folder}/forward"), read(f"{folder}/postings"), read(f"{folder}/vocab"), spark.read.json(f"{folder}/meta"))
+        return Index(read(f"{folder}/forward"), read(f"{folder}/blocks"), read(f"{folder}/vocab"), spark.read.json(f"{folder}/meta"), folder)
 
 
 def number(corpus: DataFrame, *order: str) -> DataFrame:
@@ -76,16 +90,19 @@ def vocabulary(terms: DataFrame) -> DataFrame:
     return per_doc.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("df_postings"))
 
 
+def block_table(postings: DataFrame) -> DataFrame:
+    """Postings (term, docnum) as a written table of blocks."""
+    return materialize(B.cut_blocks(postings), "blocks", **B.WRITE)
+
+
 def gaps(postings: DataFrame) -> DataFrame:
     """(term, docnum, gap): distance to the term's posting before; of the first one the docnum itself."""
-    order = Window.partitionBy("term").orderBy("docnum")
-    return postings.withColumn("gap", F.col("docnum") - F.lag("docnum", 1, 0).over(order))
+    return B.gaps(block_table(postings))
 
 
 def block_sizes(postings: DataFrame) -> DataFrame:
-    """(term, df, length): bytes of the delta-coded block, without building it."""
-    sized = gaps(postings).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(varint.size(F.col("gap"))).alias("gap_bytes"))
-    return sized.select("term", "df", (varint.size(F.col("df")) + F.col("gap_bytes")).alias("length"))
+    """(term, df, length): bytes of the delta-coded list, without building it."""
+    return B.list_sizes(block_table(postings)).select("term", "df", "length")
 
 
 def with_offsets(blocks: DataFrame) -> DataFrame:
@@ -104,8 +121,8 @@ def with_offsets(blocks: DataFrame) -> DataFrame:
 
 
 def packed(postings: DataFrame) -> DataFrame:
-    """(term, block): delta-coded blocks.  A block holds a whole posting list, as the file format has it; queries use postings instead."""
-    return postings.groupBy("term").agg(varint.encode_block(F.array_sort(F.collect_list("docnum"))).alias("block"))
+    """(term, first, last, n, block): delta-coded blocks of at most blocks.BLOCK documents."""
+    return B.packed(block_table(postings))
 
 
 def _commit() -> str | None:
@@ -117,30 +134,55 @@ def _commit() -> str | None:
     return told.stdout.strip()
 
 
-def build(corpus: DataFrame, mode: str = "unicode", stemmer: Callable[[Column], Column] | None = None, sample: int = 0, compose: bool = True, order: tuple[str, ...] = ()) -> Index:
-    """Index of a corpus (docid, title, text, order columns); sample N keeps the first N documents, 0 all.
+def _restemmed(postings: DataFrame, mode: str, stemmer: Callable[[Column], Column] | None) -> DataFrame:
+    """Postings of surface terms as those of their stems: forms counts the different ones of a document."""
+    if stemmer is None:
+        return postings if mode == "unicode" else _posted(postings, mode, None)
+    merged = F.array_sort(F.flatten(F.collect_list("places")))
+    return _posted(postings, mode, stemmer).groupBy("term", "zone", "docnum").agg(F.sum("tf").cast("int").alias("tf"), F.sum("forms").cast("int").alias("forms"), merged.alias("places"))
 
-    Every text is tokenized once, into a work table that the other tables come from.
-    meta tells the stemmer's name and the digests of the files that define index and tokens.
+
+def build(corpus: DataFrame, mode: str | Callable[[Column], Column] = "unicode", stemmer: Callable[[Column], Column] | None = None, sample: int = 0, compose: bool = True, order: tuple[str, ...] = (), folder: str | None = None) -> Index:
+    """Index of a corpus (docid, title, text, order columns), written to folder (default: a work folder); sample N keeps the first N documents, 0 all.
+
+    mode names a tokenizer, or is one: a function from a text Column to one of arrays
+    of tokens.  Every text is tokenized once, into a work table that the other tables
+    come from, and its tokens are shuffled once, as postings.
+    meta tells the stemmer's name, the digests of the files that define index and tokens, and how long the build took.
     """
+    spark, began = corpus.sparkSession, time.monotonic()
+    folder = folder or new_folder(spark, "index")
+    name = mode if isinstance(mode, str) else "own"
     numbered = number(corpus, *order)
     if sample:
         numbered = numbered.where(F.col("docnum") <= sample)
-    toks = X.tokens(F.col("text"), mode, compose)
-    cut = materialize(numbered.select("docnum", "docid", "title", F.size(toks).cast("long").alias("n_tokens"), F.array_distinct(toks).alias("terms")), "tokens")
-    forward = cut.select("docnum", "docid", "title", "n_tokens")
-    terms = _posted(cut.select("docnum", F.explode("terms").alias("term")), mode, stemmer)
-    # without a stemmer a document has a term once already
-    postings = terms.withColumn("n", F.lit(1).cast("long")) if stemmer is None else materialize(terms.groupBy("term", "docnum").agg(F.count(F.lit(1)).alias("n")), "postings")
-    sizes = with_offsets(block_sizes(postings.select("term", "docnum")))
-    if stemmer is None:
-        vocab = sizes.select("term", "df", F.col("df").alias("df_postings"), "offset", "length")
-    else:
-        vocab = sizes.join(postings.groupBy("term").agg(F.sum("n").alias("df_postings")), "term").select("term", "df", "df_postings", "offset", "length")
-    stats = forward.agg(F.count(F.lit(1)).alias("docs_count"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("total_tokens"))
+    toks = lambda c: X.tokens(F.col(c), mode, compose)
+    cut = materialize(numbered.select("docnum", "docid", "title", toks("text").alias(B.TEXT), toks("title").alias("in_title"), F.octet_length("text").cast("long").alias("bytes")), "tokens")
+    cut.select("docnum", "docid", "title", F.size(B.TEXT).cast("long").alias("n_tokens"), "bytes").write.mode("overwrite").parquet(f"{folder}/forward")
+    forward = spark.read.parquet(f"{folder}/forward")
+    zoned = cut.select("docnum", B.TEXT, F.col("in_title").alias("title"))
+    inverted = materialize(B.invert(zoned, (B.TEXT, "title")), "inverted")
+    release(cut)
+    posted = _restemmed(inverted, name, stemmer)
+    if stemmer is not None:
+        posted = materialize(posted, "stemmed")  # else the ranges' sample would group them once more
+    B.cut_blocks(posted).write.mode("overwrite").options(**B.WRITE).parquet(f"{folder}/blocks")
+    release(inverted, posted)
+    blocks = spark.read.parquet(f"{folder}/blocks")
+    with_offsets(B.list_sizes(blocks)).select("term", "df", "df_postings", "offset", "length").write.mode("overwrite").parquet(f"{folder}/vocab")
+    vocab = spark.read.parquet(f"{folder}/vocab")
+    stats = forward.agg(F.count(F.lit(1)).alias("docs_count"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("total_tokens"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("text_bytes"))
     text = lambda x: F.lit(x).cast("string")
-    meta = stats.crossJoin(sizes.agg(F.count(F.lit(1)).alias("unique_terms"))).withColumns({
-        "created_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"), "sample": F.lit(sample or None).cast("long"), "stemmed": F.lit(stemmer is not None), "tokenizer": F.lit(mode),
+    meta = stats.crossJoin(vocab.agg(F.count(F.lit(1)).alias("unique_terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("total_postings"))).withColumns({
+        "created_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"), "sample": F.lit(sample or None).cast("long"), "stemmed": F.lit(stemmer is not None), "tokenizer": F.lit(name),
         "stemmer": text(getattr(stemmer, "__name__", None)), "build_sha1": text(file_sha1(__file__)), "tokenizer_sha1": text(file_sha1(X.__file__)), "commit": text(_commit()),
+        "build_seconds": F.lit(time.monotonic() - began),
     })
-    return Index(forward, postings.select("term", "docnum"), vocab, meta)
+    meta.coalesce(1).write.mode("overwrite").json(f"{folder}/meta")
+    return Index.open(spark, folder)
+
+
+def speed(ix: Index) -> DataFrame:
+    """One row: documents, kilobytes of text, seconds of the build, seconds a document and a kilobyte."""
+    kb = F.col("text_bytes") / 1024
+    return ix.meta.select("docs_count", kb.alias("text_kb"), "build_seconds", F.try_divide("build_seconds", "docs_count").alias("seconds_per_document"), F.try_divide(F.col("build_seconds"), kb).alias("seconds_per_kb"))

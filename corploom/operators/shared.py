@@ -16,13 +16,16 @@ _made: list[tuple[SparkSession, str]] = []
 def work_folder(spark: SparkSession) -> str:
     """This application's folder for work tables: under spark.checkpoint.dir, else under the context's checkpoint folder.
 
-    Only where neither is set (tests, a laptop) a folder of our own becomes the
-    checkpoint folder.
+    Only where neither is set and all tasks run on this machine (tests, a laptop) a
+    folder of our own becomes the checkpoint folder; on a cluster executors couldn't
+    see it, so one must be named there.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not sc._jsc.sc().getCheckpointDir().isDefined():  # noqa: SLF001
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="corploom-"))
         root = sc._jsc.sc().getCheckpointDir().get()  # noqa: SLF001
     return f"{root.rstrip('/')}/corploom-{sc.applicationId}"
@@ -52,8 +55,8 @@ def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a work table and return a scan of it.  The table goes with release(), at the latest when the driver ends.
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write df as a work table and return a scan of it; options are the writer's.  The table goes with release(), at the latest when the driver ends.
 
     What depends on how a plan ran - generated ids, partition numbers, sampled
     ranges - is fixed from here on, and a lost executor costs a re-read.
@@ -61,7 +64,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     with _setting(spark, _CLEANUP, "true"):  # the plan that writes the table runs once
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._work_path = path  # noqa: SLF001
     return out
@@ -76,6 +79,18 @@ def release(*tables: DataFrame) -> None:
             _made[:] = [m for m in _made if m[1] != path]
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)  # noqa: SLF001
+
+
+def release_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that new_folder named, where the application that made it is the one that runs."""
+    if (spark, path) in _made:
+        _delete(spark, path)
+        _made.remove((spark, path))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)  # noqa: SLF001

@@ -23,8 +23,9 @@ def verify(vocab: DataFrame, postings: DataFrame, numbered: DataFrame, top: int
     in lower case or stemmed; the term counts in its lower case too.  A posting
     without a document is a mismatch.
     """
-    few = top_by_df(vocab, top).select("term", "df")
-    held = postings.join(F.broadcast(few), "term")
+    rows = top_by_df(vocab, top).select("term", "df").collect()  # top rows; as an IN list they reach the scan of the postings
+    few = vocab.sparkSession.createDataFrame(rows, vocab.select("term", "df").schema)
+    held = postings.where(F.col("term").isin(*[r["term"] for r in rows])).join(F.broadcast(few), "term")
     first = materialize(held.withColumn("nth", F.row_number().over(Window.partitionBy("term").orderBy("docnum"))).where(F.col("nth") <= per_term), "checked")
     toks = X.tokens(F.col("text"), mode, compose)
     forms = F.transform(toks, stemmer if stemmer is not None else F.lower)

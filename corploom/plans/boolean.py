@@ -1,4 +1,9 @@
-"""Boolean queries: text to words and operators, to postfix, to a Column over per-document term flags."""
+"""Boolean queries: text to leaves and operators, to postfix, to a Column over per-document flags.
+
+A leaf is a word or, in the wider dialect, a quotation: ``"a b c"`` (these words in a
+row, also in guillemets or curly quotes), ``"a b c" / 5`` (in this order, the last at most five
+places behind the first), either with a zone before it, as ``title:word``.
+"""
 
 from __future__ import annotations
 
@@ -11,11 +16,53 @@ from pyspark.sql import functions as F
 
 BINDS = {"||": 1, "&&": 2, "!": 3}
 _LEXEME = re.compile(r"&&|\|\||[()!]|(?:(?!&&|\|\|)[^\s()!])+")
+_QUOTED = r"""(?:"[^"]*"|«[^»]*»|“[^”]*”)"""
+_WIDE = re.compile(rf"""&&|\|\||[()!]|(?:\w+:)?{_QUOTED}(?:\s*/\s*\d+)?|(?:(?!&&|\|\|)[^\s()!"«»“”])+""")
+_LEAF = re.compile(rf"""(?:(?P<zone>\w+):)?(?P<quoted>{_QUOTED})(?:\s*/\s*(?P<within>\d+))?""")
+
+
+def lex(query: str, quotes: bool = False) -> list[str]:
+    """Parentheses, operators and leaves; a single & or | belongs to a word.
+
+    quotes reads quotations as leaves; a quotation mark without its partner is passed over.
+    """
+    return (_WIDE if quotes else _LEXEME).findall(query)
+
+
+@dataclass(frozen=True)
+class Leaf:
+    """Words that a document must hold in a zone: one, or several in a row, or (within) in order with so many places from first to last."""
+
+    words: tuple[str, ...]
+    zone: str = "text"
+    within: int | None = None
+
 
+def read_leaf(lexeme: str, zones: Iterable[str] = ("text",)) -> Leaf:
+    """The leaf that a lexeme of the wider dialect spells; what stands before a colon is a zone only if there is one of that name."""
+    if m := _LEAF.fullmatch(lexeme):
+        words, zone = tuple(m["quoted"][1:-1].split()), m["zone"]
+        if zone is not None and zone not in zones:
+            words, zone = (), None
+        return Leaf(words, zone or "text", int(m["within"]) if m["within"] and len(words) > 1 else None)
+    zone, colon, word = lexeme.partition(":")
+    return Leaf((word,), zone) if colon and word and zone in zones else Leaf((lexeme,))
 
-def lex(query: str) -> list[str]:
-    """Parentheses, operators and words; a single & or | belongs to a word."""
-    return _LEXEME.findall(query)
+
+def required(form: Iterable[str]) -> frozenset[str]:
+    """Leaves without which no document can match the postfix form."""
+    stack: list[frozenset[str]] = []
+    for x in form:
+        if x == "!":
+            stack.append(frozenset() if not stack else (stack.pop(), frozenset())[1])
+        elif x in ("&&", "||"):
+            b = stack.pop() if stack else None
+            a = stack.pop() if stack else None
+            both = [s for s in (a, b) if s is not None]
+            stack.append(frozenset().union(*both) if x == "&&" or len(both) < 2 else both[0] & both[1])
+        else:
+            stack.append(frozenset({x}))
+    return stack[-1] if stack else frozenset()
 
 
 def _with_and(lexemes: list[str]) -> list[str]:
@@ -69,7 +116,7 @@ class Compiled:
     matches_nothing: bool = False
 
 
-def compile_query(query: str, adjacency: str = "last", flag: Callable[[str], Column] | None = None) -> Compiled:
+def compile_query(query: str, adjacency: str = "last", flag: Callable[[str], Column] | None = None, quotes: bool = False) -> Compiled:
     """Run the postfix form on a stack of Columns; what is missing is false, under NOT true; the result is the top."""
     names: dict[str, str] = {}
 
@@ -80,7 +127,7 @@ def compile_query(query: str, adjacency: str = "last", flag: Callable[[str], Col
         return F.coalesce(F.col(names[word]), F.lit(False))
 
     stack: list[Column] = []
-    for x in postfix(lex(query), adjacency):
+    for x in postfix(lex(query, quotes), adjacency):
         if x == "!":
             stack.append(~stack.pop() if stack else F.lit(True))
         elif x in ("&&", "||"):
@@ -90,18 +137,3 @@ def compile_query(query: str, adjacency: str = "last", flag: Callable[[str], Col
         else:
             stack.append(term(x))
     return Compiled(stack[-1] if stack else F.lit(False), names, not stack)
-
-
-def evaluate(lexemes_postfix: list[str], postings: Callable[[str], Iterable[int]], universe: set[int]) -> set[int]:
-    """The same over sets, for small in-memory postings and as an independent check of the compiler."""
-    stack: list[frozenset[int]] = []
-    take = lambda: stack.pop() if stack else frozenset()
-    for x in lexemes_postfix:
-        if x == "!":
-            stack.append(frozenset(universe - (stack.pop() if stack else frozenset())))
-        elif x in ("&&", "||"):
-            b, a = take(), take()
-            stack.append(a & b if x == "&&" else a | b)
-        else:
-            stack.append(frozenset(postings(x)))
-    return set(stack[-1]) if stack else set()

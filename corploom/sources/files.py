@@ -102,6 +102,17 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("q")).where("q <> ''")
 
 
+def read_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """Synonyms (a, b): tab-separated lines; shorter lines are skipped."""
+    f = F.split("value", "\t")
+    return spark.read.text(path).where(F.size(f) >= 2).select(F.trim(f[0]).alias("a"), F.trim(f[1]).alias("b")).where("a <> '' AND b <> ''")
+
+
+def read_grades(spark: SparkSession, path: str) -> DataFrame:
+    """Judged results (query_id, rank, grade, max_grade): tab-separated whole numbers."""
+    return _tsv(spark, path).schema("query_id string, rank int, grade int, max_grade int").option("mode", "FAILFAST").csv(path)
+
+
 def write_json_row(row: DataFrame, path: str) -> None:
     """A one-row table as a JSON file."""
     row.coalesce(1).write.mode("overwrite").json(path)

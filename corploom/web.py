@@ -19,12 +19,17 @@ def home() -> str:
     return FORM.format(q="")
 
 
-def results(ix: Index, q: str, page: str = "1") -> str:
-    """The result page; a page that isn't a number raises ValueError, a blank query gets a message."""
+def results(ix: Index, q: str, page: str = "1", corpus: DataFrame | None = None) -> str:
+    """The result page; a page that isn't a number raises ValueError, a blank query gets a message.
+
+    With the corpus (docid, text) each result shows the sentences that have most of the query's words.
+    """
     if not q.strip():
         return FORM.format(q="") + "<p>Empty query.</p>"
-    p = search.search_page(q.strip(), int(page), ix.postings, ix.forward, vocab=ix.vocab)
-    items = "".join(f'<li><a href="/doc/{r["docnum"]}">{escape(r["title"] or "")}</a> <small>{escape(r["docid"] or "")}</small></li>' for r in p.rows)
+    p = search.page_of(search.find(ix, q.strip()), int(page))
+    said = {} if corpus is None else {r["docid"]: r["snippet"] for r in search.snippets(corpus, q, [r["docid"] for r in p.rows]).collect()}
+    item = lambda r: f'<li><a href="/doc/{r["docnum"]}">{escape(r["title"] or "")}</a> <small>{escape(r["docid"] or "")}</small>'
+    items = "".join(item(r) + (f"<p>{escape(said[r['docid']])}</p>" if said.get(r["docid"]) else "") + "</li>" for r in p.rows)
     link = lambda n, text: f'<a href="/search?q={quote_plus(q)}&page={n}">{text}</a> '
     nav = (link(p.page - 1, "previous") if p.page > 1 else "") + (link(p.page + 1, "next") if p.page < p.pages else "")
     return FORM.format(q=escape(q)) + f"<p>{p.first}-{p.last} of {p.total}</p><ol start={p.first}>{items}</ol>{nav}"
@@ -61,7 +66,7 @@ def serve(ix: Index, corpus: DataFrame, port: int) -> None:
                 if url.path == "/":
                     status, body = 200, home()
                 elif url.path == "/search":
-                    status, body = 200, results(ix, args.get("q", ""), args.get("page", "1"))
+                    status, body = 200, results(ix, args.get("q", ""), args.get("page", "1"), corpus)
                 elif url.path.startswith("/doc/") and url.path[5:].isdigit() and (found := document(ix, corpus, int(url.path[5:]))):
                     status, body = 200, found
                 else:

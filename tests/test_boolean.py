@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corploom.operators import search
-from corploom.plans.boolean import compile_query, evaluate, lex, postfix
+from corploom.plans.boolean import Leaf, compile_query, lex, postfix, read_leaf, required
 
 A, B, C, ALL = {1, 2, 3}, {2, 3}, {3}, {1, 2, 3, 4}
 POSTINGS = {"a": A, "b": B, "c": C}
@@ -24,6 +24,25 @@ def loader(word):
     return POSTINGS.get(word) or POSTINGS.get(word.lower()) or []
 
 
+def evaluate(form, holds, documents):
+    """What a query says of each document alone: truth values for sets."""
+
+    def true_of(doc):
+        said = []
+        for x in form:
+            if x == "!":
+                said[-1:] = [not said[-1]] if said else [True]
+            elif x == "&&":
+                said[-2:] = [len(said) > 1 and said[-2] and said[-1]]
+            elif x == "||":
+                said[-2:] = [any(said[-2:])]
+            else:
+                said.append(doc in holds(x))
+        return bool(said) and said[-1]
+
+    return {d for d in documents if true_of(d)}
+
+
 @pytest.fixture(scope="module")
 def index(spark):
     postings = spark.createDataFrame([(t, d) for t, ds in POSTINGS.items() for d in ds], "term string, docnum long")
@@ -87,3 +106,45 @@ def test_any_sequence_compiles_to_the_same(spark, lexemes):
     flags = spark.createDataFrame([(d, d in A, d in B, d in C) for d in sorted(ALL)], "docnum long, a boolean, b boolean, c boolean")
     compiled = compile_query(query, flag=lambda w: F.col(w) if w in POSTINGS else F.lit(False))
     assert {r["docnum"] for r in flags.where(compiled.condition).collect()} == evaluate(postfix(lex(query)), lambda w: POSTINGS.get(w, []), ALL)
+
+
+# the wider dialect
+
+
+@pytest.mark.parametrize(("query", "form"), [
+    ('"what where when"', ['"what where when"']),
+    ('"what where when" / 5', ['"what where when" / 5']),
+    ('"what where when" && who', ['"what where when"', "who", "&&"]),
+    ("«what where»|| quiz", ["«what where»", "quiz", "||"]),
+    ('"what where" && !"crystal owl"', ['"what where"', '"crystal owl"', "!", "&&"]),
+    ('(“a b”/3||title:"c d")&&e', ["“a b”/3", 'title:"c d"', "||", "e", "&&"]),
+    ('a"b c"d', ["a", '"b c"', "d"]), ('a "b c', ["a", "b", "c"]), ('""', ['""']),
+])
+def test_quotations(query, form):
+    assert postfix(lex(query, quotes=True)) == form
+
+
+def test_leaves():
+    zones = ("text", "title")
+    assert read_leaf('"a b" / 5', zones) == Leaf(("a", "b"), "text", 5)
+    assert read_leaf('title:«a  b»', zones) == Leaf(("a", "b"), "title")
+    assert read_leaf("title:x", zones) == Leaf(("x",), "title")
+    assert read_leaf("body:x", zones) == Leaf(("body:x",))
+    assert read_leaf("title:", zones) == Leaf(("title:",))
+    assert read_leaf('body:"x y"', zones) == Leaf(())
+    assert read_leaf('"a" / 3', zones) == Leaf(("a",))
+    assert read_leaf('""', zones) == Leaf(())
+    assert lex('"a b"') == ['"a', 'b"']  # the plain dialect knows no quotations
+
+
+@pytest.mark.parametrize(("query", "leaves"), [("a && b", "ab"), ("a || b", ""), ("a && (b || c)", "a"), ("(a && b) || (a && c)", "a"), ("!a && b", "b"), ("!!a", ""), ("&& a", "a"), ("|| a", "a"), ("", ""), ("!", "")])
+def test_required(query, leaves):
+    assert required(postfix(lex(query))) == set(leaves)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", "c", "&&", "||", "!", "(", ")"]), max_size=9))
+def test_no_match_lacks_a_required_leaf(lexemes):
+    form = postfix(lexemes)
+    for doc in evaluate(form, lambda w: POSTINGS.get(w, []), ALL):
+        assert all(doc in POSTINGS.get(x, []) for x in required(form))

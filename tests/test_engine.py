@@ -138,12 +138,19 @@ def test_statistics(spark):
     assert abs(q["dcg"] - dcg) < 1e-9
     assert abs(q["ndcg"] - dcg / (7 + 3 / np.log2(3))) < 1e-9
     assert abs(q["err"] - (7 / 8 + (1 / 8) * (3 / 8) / 3)) < 1e-9
+    assert {(r["level"], round(r["p"], 3)) for r in statistics.ranking_levels(judged).collect()} == {(1, 1.0), (3, 0.667), (5, 0.4)}
+    far = spark.createDataFrame([(2**40, "b a"), (-5, "a c")], "docnum long, text string")
+    assert [(r["term"], r["cf"], r["first_doc"], r["first_pos"]) for r in statistics.top_terms(statistics.term_counts(far)).collect()] == [("a", 2, -5, 0), ("c", 1, -5, 1), ("b", 1, 2**40, 0)]
 
 
 def test_phrase(spark):
     pos = statistics.occurrences(spark.createDataFrame([(1, "a b c"), (2, "b a c"), (3, "a x b")], "docnum long, text string"))
     assert {r[0] for r in search.phrase(["a", "b"], pos).collect()} == {1}
-    assert {r[0] for r in search.phrase(["a", "b"], pos, window=3).collect()} == {1, 2, 3}
+    assert {r[0] for r in search.phrase(["a", "b"], pos, window=2).collect()} == {1, 3}
+    assert {r[0] for r in search.phrase(["a", "b"], pos, window=1).collect()} == {1}
+    twice = statistics.occurrences(spark.createDataFrame([(1, "the cat"), (2, "the the"), (3, "the x the")], "docnum long, text string"))
+    assert {r[0] for r in search.phrase(["the", "the"], twice, window=5).collect()} == {2, 3}
+    assert {r[0] for r in search.phrase(["the", "the"], twice).collect()} == {2}
 
 
 def test_crawl(spark):
@@ -225,6 +232,7 @@ def test_pages(built, spark):
     with pytest.raises(ValueError, match="invalid literal"):
         web.results(ix, "x", "two")
     texts = files.last_texts(rows)
+    assert "<p>Кино и машины</p>" in web.results(ix, '"кино и"', "1", texts)
     assert "Кино и машины" in web.document(ix, texts, 1)
     assert web.document(ix, texts, 99) is None
 
@@ -233,6 +241,18 @@ def test_command_line(built, capsys, tmp_path):
     *_, parts, folder = built
     assert cli.main(["search", folder, "--query", "рок-н-ролл"]) == 0
     assert capsys.readouterr().out.strip() == "d3\tThree"
+    cli.main(["search", folder, "--query", "кино машины", "--rank"])
+    assert [line.split("\t")[0] for line in capsys.readouterr().out.splitlines()] == ["d1", "d2"]
+    (tmp_path / "syn.tsv").write_text("рок-н-ролл\tжанр\n", encoding="utf-8")
+    cli.main(["search", folder, "--query", "жанр", "--synonyms", str(tmp_path / "syn.tsv")])
+    assert capsys.readouterr().out.strip() == "d3\tThree"
+    cli.main(["suggest", folder, "машинй"])
+    assert capsys.readouterr().out.splitlines()[0] == "машинй\tмашиной\t1\t1"
+    cli.main(["measure", folder])
+    assert "'band': 'rare'" in capsys.readouterr().out
+    (tmp_path / "grades.tsv").write_text("q\t1\t3\t3\nq\t2\t0\t3\n")
+    cli.main(["quality", str(tmp_path / "grades.tsv")])
+    assert "'level': 1, 'p': 1.0" in capsys.readouterr().out
     cli.main(["stats", parts])
     assert "кино\t2" in capsys.readouterr().out
     cli.main(["verify", folder, parts])
