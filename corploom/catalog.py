@@ -316,7 +316,7 @@ query(
     "suggest_batch",
     f"WITH v AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({_TOK})) AS term FROM documents) GROUP BY term HAVING regexp_full_match(term, '[a-z]+')), q AS (SELECT DISTINCT substr(term, 1, 2) || substr(term, 4) AS word FROM (SELECT term FROM v WHERE length(term) >= 6 ORDER BY md5(term) LIMIT 100))"
     " SELECT word, row_number() OVER (PARTITION BY word ORDER BY levenshtein(word, term), df DESC, term) AS nth, term, CAST(levenshtein(word, term) AS BIGINT) AS distance, CAST(df AS BIGINT) AS df FROM q, v WHERE levenshtein(word, term) <= 2 QUALIFY nth <= 10",
-)(lambda spark, sf: fuzzy.suggest_many(_misspelt(spark, sf), fuzzy.deletion_index(_index(spark, sf).vocab.where(F.col("term").rlike("^[a-z]+$")))))
+)(lambda spark, sf: fuzzy.suggest_many(_misspelt(spark, sf), _index(spark, sf).soft_terms().where(F.col("term").rlike("^[a-z]+$"))))
 query("query_snippets")(lambda spark, sf: _documents(spark, sf).select("doc_id", S.biased_snippet(F.col("text"), ["the", "of", "que"]).alias("snippet")))
 
 @query("bool_setops", f"WITH {_DOCS}, {_FLAGS} SELECT docnum FROM w WHERE {_has('the')} INTERSECT SELECT docnum FROM w WHERE {_has('of')} UNION (SELECT docnum FROM w EXCEPT SELECT docnum FROM w WHERE {_has('der')})")

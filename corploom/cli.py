@@ -58,7 +58,7 @@ def main(argv: list[str] | None = None) -> int:
                 print(f"{r['docid']}\t{r['title']}" + (f"\t{r['score']:.4f}" if a.rank else ""))
     elif a.command == "suggest":
         asked = spark.createDataFrame([(w,) for w in a.words], "word string")
-        for r in fuzzy.suggest_many(asked, fuzzy.deletion_index(index.Index.open(spark, a.index).vocab), limit=a.limit).orderBy("word", "nth").collect():
+        for r in fuzzy.suggest_many(asked, index.Index.open(spark, a.index).soft_terms(), limit=a.limit).orderBy("word", "nth").collect():
             print(r["word"], r["term"], r["distance"], r["df"], sep="\t")
     elif a.command == "measure":
         ix = index.Index.open(spark, a.index)

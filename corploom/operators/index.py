@@ -16,7 +16,8 @@ from corploom.sources.files import file_sha1
 
 from . import blocks as B
 from .corpus import number_rows
-from .shared import materialize, new_folder, release
+from .fuzzy import deletion_index
+from .shared import exists, materialize, new_folder, release
 
 
 @dataclass
@@ -37,6 +38,16 @@ class Index:
         """(term, docnum) of the texts; a filter on term reaches the blocks' scan."""
         return B.entries(self.blocks.where(F.col("zone") == B.TEXT)).select("term", "docnum")
 
+    def soft_terms(self, distance: int = 2) -> DataFrame:
+        """The vocabulary by what deletions leave of its terms (fuzzy.deletion_index), written beside the index the first time that it is asked for."""
+        spark = self.vocab.sparkSession
+        if self.folder is None:
+            return deletion_index(self.vocab, distance)
+        path = f"{self.folder}/soft{distance}"
+        if not exists(spark, f"{path}/_SUCCESS"):
+            deletion_index(self.vocab, distance).repartitionByRange("remainder").sortWithinPartitions("remainder").write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+
     def save(self, folder: str) -> Index:
         """Write all tables to a folder of the caller's and return the index as read back.  build(folder=...) writes there at once."""
         if folder == self.folder:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,6 +70,17 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[..., None]]:
+    """Work tables that are written within go at the end, but for those that the yielded function is given: what a lazy result still reads."""
+    before, kept = {path for _, path in _made}, set()
+    try:
+        yield lambda *tables: kept.update(getattr(df, "_work_path", None) for df in tables)
+    finally:
+        for spark, path in [m for m in _made if m[1] not in before and m[1] not in kept]:
+            release_folder(spark, path)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete work tables that nothing will read any more."""
     for df in tables:
