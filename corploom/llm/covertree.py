@@ -27,7 +27,7 @@ compared block by block.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .work import materialize, parallelism, release, small_batches
+from .work import materialize, parallelism, scratch, small_batches
 
 BLOCK_ROWS = 4096  # vectors of a block at most
 BLOCK_BYTES = 1 << 20  # of codes of a block at most
@@ -511,6 +511,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, block_rows: int =
 
     report, if given, is filled with what was compared and pruned.
     """
+    with scratch() as keep:
+        return _near_duplicates(vectors, cosine, block_rows, report, keep)
+
+
+def _near_duplicates(vectors: DataFrame, cosine: float, block_rows: int, report: dict | None, keep: Callable[..., None]) -> DataFrame:
     spark = vectors.sparkSession
     small_batches(spark)
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
@@ -588,7 +593,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, block_rows: int =
     joined = connected_components(told.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")).union(edges))
     by_rep = held.join(links, "rep", "left").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
     by_rep = by_rep.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    by_rep = materialize(by_rep, "answers")
+    keep(ids, by_rep)
     by_id = ids.join(by_rep, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
-    release(blocks, asked, tasks)
     out = vectors.select("vec_id").join(by_id, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -21,11 +21,12 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .work import materialize
+from .work import materialize, scratch
 
 SPACE = r"[ \t-\r]+"
 MISSING = "(none)"  # stands for a null domain, language or source
-BUCKET_DIGITS = 3  # hex digits: 4096 buckets a leaf
+BUCKET_DIGITS = 3  # hex digits at least: 4096 buckets a leaf; more digits where a leaf's buckets would hold over BUCKET_ROWS documents
+BUCKET_ROWS = 10_000
 
 
 def count_words(text: Column) -> Column:
@@ -81,14 +82,17 @@ def plan(docs: DataFrame, levels: list[str], weights: Mapping[str, Mapping[str,
     slim = docs.select("doc_id", *levels, count_words(F.col("text")).alias("n_tokens"))
     slim = materialize(slim, "tokens")
     leaves = materialize(slim.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("documents")), "leaves")
+    most, size = leaves.agg(F.max("documents")).first()[0] or 0, BUCKET_DIGITS
+    while most > BUCKET_ROWS << (4 * size):
+        size += 1
     budgets = leaf_budgets(leaves, levels, weights, share, max_epochs)
     budgets = budgets.withColumn("epochs", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.greatest("tokens", F.lit(1)))).otherwise(0).cast("long"))
     budgets = materialize(budgets.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens")), "budgets")
-    drawn = slim.join(budgets.select(*levels, "epochs", "rest"), levels).withColumn("draw", draw(F.col("doc_id"), seed, F.col("epochs"))).withColumn("bucket", F.substring("draw", 1, BUCKET_DIGITS))
+    drawn = slim.join(budgets.select(*levels, "epochs", "rest"), levels).withColumn("draw", draw(F.col("doc_id"), seed, F.col("epochs"))).withColumn("bucket", F.substring("draw", 1, size))
     # digit by digit: sixteen sums a leaf tell in which part the budget ends, and only that part is opened
     sums = materialize(drawn.groupBy(*levels, "rest", "bucket").agg(F.sum("n_tokens").alias("n")), "sums")
     running, ends = Window.partitionBy(*levels).orderBy("part"), None
-    for digits in range(1, BUCKET_DIGITS + 1):
+    for digits in range(1, size + 1):
         own = sums.withColumn("base", F.lit(0).cast("long")) if ends is None else sums.join(ends, levels).where(F.substring("bucket", 1, digits - 1) == F.col("end.part")).withColumn("base", F.col("end.base"))
         parts = own.groupBy(*levels, F.substring("bucket", 1, digits).alias("part")).agg(F.sum("n").alias("n"), F.first("rest").alias("rest"), F.first("base").alias("base"))
         over = parts.withColumn("upto", F.col("base") + F.sum("n").over(running)).where(F.col("upto") > F.col("rest"))
@@ -109,19 +113,24 @@ def choose(docs: DataFrame, levels: list[str], weights: Mapping[str, Mapping[str
     share is the token budget as a part of all tokens, max_epochs how often a leaf
     may be read.  Tokens are words.  Null levels form a leaf of their own; a null
     or empty text has no tokens and is read whenever the prefix reaches it; rows
-    that repeat a doc_id stand or fall together; an empty table gives none.  Other
+    that repeat a doc_id stand or fall together, as do rows without one that have the
+    same text, which draws for them; an empty table gives none.  Other
     columns pass through; a column named copies is replaced.
     """
+    own = F.concat(F.lit("text "), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     named = docs.drop("copies").withColumns({f"__{c}": F.coalesce(F.col(c).cast("string"), F.lit(MISSING)) for c in levels})
-    work = named.select("doc_id", "text", *[F.col(f"__{c}").alias(c) for c in levels])
-    leaf_plan, winners = plan(work, levels, weights, share, max_epochs, seed)
+    named = named.withColumn("__ident", F.when(F.col("doc_id").isNull(), own).otherwise(F.col("doc_id").cast("string")))
+    work = named.select(F.col("__ident").alias("doc_id"), "text", *[F.col(f"__{c}").alias(c) for c in levels])
+    with scratch() as keep:
+        leaf_plan, winners = plan(work, levels, weights, share, max_epochs, seed)
+        keep(leaf_plan, winners)
     leaf = leaf_plan.select(*[F.col(c).alias(f"__{c}") for c in levels], F.col("epochs").alias("__epochs"), F.col("end_bucket").alias("__end"))
     edge = winners.select(F.col("doc_id").alias("__won"), *[F.col(c).alias(f"__{c}") for c in levels])
     path = [f"__{c}" for c in levels]
     placed = named.join(leaf, path)
-    bucket = F.substring(draw(F.col("doc_id"), seed, F.col("__epochs")), 1, BUCKET_DIGITS)
+    bucket = F.substr(draw(F.col("__ident"), seed, F.col("__epochs")), F.lit(1), F.length("__end"))
     placed = placed.withColumn("__bucket", bucket)
-    match = [placed[c] == edge[c] for c in path] + [placed["doc_id"].eqNullSafe(edge["__won"]), placed["__bucket"] == placed["__end"]]
+    match = [placed[c] == edge[c] for c in path] + [placed["__ident"] == edge["__won"], placed["__bucket"] == placed["__end"]]
     on = match[0]
     for m in match[1:]:
         on &= m

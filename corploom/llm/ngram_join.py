@@ -12,14 +12,15 @@ join runs over one representative of each.
   and the prefixes that held them are cut anew - the others don't change.
 * A set of n shingles needs only its first ``n - ceil(t n) + 1`` as a prefix: two
   similar sets share a shingle of their prefixes.  Prefix entries carry size,
-  position and a summary of the whole set: the parities of its shingle counts in
-  512 hash classes, as bits.
+  position and a summary of the set's suffix, of what stands behind the position:
+  the parities of its shingle counts in 512 hash classes, as bits.
 * Pairs from a shared prefix shingle pass the length filter, the positional filter
-  (what can still overlap from the shared position on) and the suffix filter (the
-  summaries' distance bounds the sets' symmetric difference from below): first on
-  the entries' bits, then, once a pair, on fine summaries of a class for about
-  16 shingles, which long documents need.
-* The positional filter takes the shared shingle for the first that the sets share.
+  (what can still overlap from the shared position on) and the suffix filter: of
+  the differences that a linked pair may have, those before the shared shingle
+  are used up, and the summaries' distance bounds the suffixes' differences from
+  below.  Then, once a pair, fine summaries of the whole sets, of a class for about
+  16 shingles, sieve long documents.
+* Both filters take the shared shingle for the first that the sets share.
   A pair that links shares its first shingle within both prefixes and passes there;
   at its later shingles it may fail, which only saves repeated rows.
 * Each surviving pair is verified once on the whole sets.
@@ -29,14 +30,16 @@ joins each entry only with the leader of its shingle (a different one for each
 shingle, chosen by hash), verifies those pairs and forms components; the second
 round takes every remaining pair whose ends lie in different components.  No link
 between different components is left out, and a group of thousands of near copies
-costs thousands of pairs, not millions.  There the entries of a shingle that MANY
-sets hold meet by shingle and by a band of sizes, of which the length filter allows
-only neighbours.
+costs thousands of pairs, not millions.  Of two sets in different components one
+at least lies outside the component that most of a shingle's sets are in, so only
+those few are joined with all; and the entries of a shingle that MANY sets hold
+meet by shingle, by a band of sizes, of which the length filter allows only neighbours,
+and by tiles of TILE entries, so no task gets a whole group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -46,7 +49,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .textkernel import buffers, chunks, mix, shingles, words
-from .work import materialize, release, small_batches
+from .work import materialize, release, scratch, small_batches
 
 SKETCH_BITS = 20  # counters of the frequency sketch: 2 ** 20, whatever the corpus
 BROADCAST_IDS = 1_000_000  # ids (8 bytes each) that may be broadcast; beyond it they are shuffled
@@ -54,7 +57,9 @@ HEAVY = 10_000  # sets whose prefixes may share a shingle before it is put last
 HEAVY_LIST = 250_000  # such shingles (8 bytes each) at one time at most: the bound on sets rises with the number of entries, so no more can exist
 HEAVY_ROUNDS = 4  # times that prefixes are cut anew; any order is correct, so more would only save time
 MANY = 1_000  # entries of a shingle from which the second round deals them by bands of sizes too
-SUMMARY_LONGS = 8  # of 64 parity bits each: the coarse summary that entries carry
+TILE = 2_000  # entries of such a shingle that meet others in one place
+SUMMARY_LONGS = 8  # of 64 parity bits each: the summary that entries carry
+CLASSES = 64 * SUMMARY_LONGS
 SUMMARY = [f"s{i}" for i in range(SUMMARY_LONGS)]
 FINE_CLASSES = (8, 4096)  # fewest and most classes of a document's fine summary: about one for 16 shingles
 
@@ -105,6 +110,12 @@ def frequency_sketch(docs: DataFrame, k: int, bits: int = SKETCH_BITS) -> np.nda
     return out
 
 
+def parities(row: np.ndarray, of: np.ndarray, rows: int) -> np.ndarray:
+    """SUMMARY_LONGS numbers a row: for each class the parity of how often it occurs."""
+    odd = np.bincount(row * CLASSES + of, minlength=rows * CLASSES) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64).reshape(-1, SUMMARY_LONGS)
+
+
 def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     """n - ceil(t n) + 1 for t = percent / 100, in whole numbers."""
     return np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
@@ -117,7 +128,7 @@ def fine_classes(n: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, percent: int, sketch: np.ndarray, last: np.ndarray | None = None) -> DataFrame:
-    """(doc_id, n, set_key, prefix, fine, s0, s1 ...) of every document: prefix in rare-first order, the shingles of last (ascending) behind all others."""
+    """(doc_id, n, set_key, prefix, classes, fine, s0, s1 ...) of every document: prefix in rare-first order, the shingles of last (ascending) behind all others; classes are the hash classes of the prefix, s0 ... the summary of the whole set."""
     bits = int(len(sketch)).bit_length() - 1
     level = np.floor(np.log2(np.maximum(sketch, 1) / max(1.0, float(np.median(sketch))) + 1e-9) * 8).astype(np.int64)
     level = np.clip(level, 0, 254).astype(np.uint8)  # counters near the median are equally rare
@@ -141,8 +152,8 @@ def signatures(docs: DataFrame, k: int, percent: int, sketch: np.ndarray, last:
             position = np.arange(len(h)) - np.repeat(bounds[:-1], n)
             take = position < np.repeat(prefix_size(n, percent), n)
             chosen = h[order][take]
-            odd = np.bincount(doc * 64 * SUMMARY_LONGS + (by_hash & np.uint64(64 * SUMMARY_LONGS - 1)).astype(np.int64), minlength=len(n) * 64 * SUMMARY_LONGS) & 1
-            own = np.packbits(odd.astype(bool)).view(np.int64).reshape(-1, SUMMARY_LONGS)
+            of = (by_hash & np.uint64(CLASSES - 1)).astype(np.int64)
+            own = parities(doc, of, len(n))
             p_bounds = np.concatenate([[0], np.cumsum(prefix_size(n, percent))])
             width = fine_classes(n)
             f_bounds = np.concatenate([[0], np.cumsum(width)])
@@ -153,13 +164,14 @@ def signatures(docs: DataFrame, k: int, percent: int, sketch: np.ndarray, last:
                     batch.column("doc_id"), pa.array(n.astype(np.int64)),
                     pa.array([r.tobytes() if m else None for r, m in zip(keys, n, strict=True)], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(p_bounds.astype(np.int32)), pa.array(chosen.view(np.int64))),
+                    pa.ListArray.from_arrays(pa.array(p_bounds.astype(np.int32)), pa.array(of[order][take].astype(np.int16))),
                     pa.ListArray.from_arrays(pa.array(f_bounds.astype(np.int32)), pa.array(np.minimum(fine, 127).astype(np.int8))),
                     *(pa.array(own[:, i]) for i in range(SUMMARY_LONGS)),
                 ],
-                ["doc_id", "n", "set_key", "prefix", "fine", *SUMMARY],
+                ["doc_id", "n", "set_key", "prefix", "classes", "fine", *SUMMARY],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, set_key binary, prefix array<long>, fine array<tinyint>, " + ", ".join(f"{s} long" for s in SUMMARY))
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, set_key binary, prefix array<long>, classes array<smallint>, fine array<tinyint>, " + ", ".join(f"{s} long" for s in SUMMARY))
 
 
 def _without_heavy(owners: DataFrame, docs: DataFrame, k: int, percent: int, sketch: np.ndarray, heavy: int) -> DataFrame:
@@ -177,9 +189,9 @@ def _without_heavy(owners: DataFrame, docs: DataFrame, k: int, percent: int, ske
         spark = owners.sparkSession
         listed = spark.createDataFrame(pa.table({"shingle": pa.array(fresh.view(np.int64))}))
         touched = materialize(entries.join(F.broadcast(listed), "shingle", "left_semi").select("set_key", "rep").distinct(), "touched")
-        anew = signatures(_only(docs, touched.select("rep").distinct()), k, percent, sketch, last).select("doc_id", "set_key", F.col("prefix").alias("cut"))
+        anew = signatures(_only(docs, touched.select("rep").distinct()), k, percent, sketch, last).select("doc_id", "set_key", F.struct("prefix", "classes").alias("cut"))
         anew = anew.join(touched.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi").dropDuplicates(["set_key"]).select("set_key", "cut")
-        changed = owners.join(anew, "set_key", "left").withColumn("prefix", F.coalesce("cut", "prefix")).drop("cut")
+        changed = owners.join(anew, "set_key", "left").withColumns({c: F.coalesce(f"cut.{c}", c) for c in ("prefix", "classes")}).drop("cut")
         before, owners = owners, materialize(changed, "representatives")
         release(before, touched)
     return owners
@@ -193,15 +205,35 @@ def _bands(n: Column, percent: int) -> Column:
     return F.floor(F.ln(n.cast("double")) / float(-np.log(percent / 100) * (1 + 1e-9) + 1e-9))
 
 
+def _suffixes(entries: DataFrame, owners: DataFrame) -> DataFrame:
+    """entries (shingle, rep, n, pos, leads) with the summary of each suffix: the whole set's without the classes up to pos."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column, pos = batch.column("classes"), batch.column("pos").to_numpy(zero_copy_only=False).astype(np.int64)
+            size = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(size)), size)
+            taken = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) <= pos[row]
+            gone = parities(row[taken], column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)[taken], len(size))
+            rest = [pa.array(batch.column(s).to_numpy(zero_copy_only=False) ^ gone[:, i]) for i, s in enumerate(SUMMARY)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *rest], [*keep, *SUMMARY])
+
+    keep = ["shingle", "rep", "n", "pos", "leads"]
+    # as long as the prefix may be, of a row only its classes up to pos are sent
+    rows = entries.join(owners.select("rep", "classes", *SUMMARY), "rep").withColumn("classes", F.slice("classes", F.lit(1), F.col("pos") + 1))
+    return rows.mapInArrow(run, "shingle long, rep long, n long, pos int, leads boolean, " + ", ".join(f"{s} long" for s in SUMMARY))
+
+
 def _may_link(percent: int) -> Column:
-    """Length, positional and suffix filters of an entry a and an entry b of one shingle."""
+    """Length, positional and suffix filters of an entry a and an entry b of one shingle, the first that they share."""
     a, b = F.col("a.n"), F.col("b.n")
     length = (100 * F.least(a, b)) >= percent * F.greatest(a, b)
     # 100 |x & y| >= percent |x | y|  <=>  (100 + percent) |x & y| >= percent (|x| + |y|)
     need = F.ceil((percent * (a + b)) / F.lit(100 + percent) - F.lit(1e-9))
     positional = F.least(a - F.col("a.pos"), b - F.col("b.pos")) >= need
     apart = reduce(Column.__add__, [F.bit_count(F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}"))) for s in SUMMARY])
-    suffix = apart <= a + b - 2 * need
+    # a + b - 2 need differences are allowed; what stands before the first shared shingle differs
+    suffix = apart <= a + b - 2 * need - F.col("a.pos") - F.col("b.pos")
     return length & positional & suffix
 
 
@@ -264,14 +296,18 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, heavy: in
     component_id is the least doc_id reachable.  Null or empty texts have no
     shingles and link with nothing; their component is their own id.  Rows that
     repeat a doc_id are kept as rows and count as copies of the id; an empty table
-    gives an empty result.
+    gives an empty result.  Texts of any length are read whole; other columns of docs
+    don't count.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select("doc_id", "text")
+    with scratch() as keep:
+        return _components(docs.select("doc_id", "text"), k, percent, heavy, many, keep)
+
+
+def _components(docs: DataFrame, k: int, percent: int, heavy: int, many: int, keep: Callable[..., None]) -> DataFrame:
+    small_batches(docs.sparkSession)
     sketch = frequency_sketch(docs, k)
     marked = materialize(signatures(docs, k, percent, sketch), "signatures")
-    owners = marked.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n", "prefix", "fine", *SUMMARY), "doc_id").alias("s"))
+    owners = marked.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n", "prefix", "classes", "fine", *SUMMARY), "doc_id").alias("s"))
     owners = materialize(owners.select("set_key", "rep", "s.*"), "representatives")
     keys, classes = materialize(marked.select("doc_id", "n", "set_key"), "keys"), materialize(owners.select("set_key", "rep"), "classes")
     fines = materialize(owners.select("rep", "n", "fine"), "fines")
@@ -284,7 +320,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, heavy: in
     leaders = materialize(spread.where("held > 1").select("shingle", "lead"), "leaders")
     shared = materialize(entries.select("shingle", "rep", "n", "pos").join(leaders, "shingle").withColumn("leads", place == F.col("lead")).drop("lead"), "shared")
     release(leaders)
-    full = materialize(shared.join(owners.select("rep", *SUMMARY), "rep"), "entries")
+    full = materialize(_suffixes(shared, owners), "entries")
     release(shared)
     release(owners)
     heads = full.where("leads")
@@ -295,18 +331,26 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, heavy: in
 
     placed = full.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     placed = materialize(placed, "placed")
-    split = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("held")).where("lo < hi").select("shingle", "held")
+    release(full)
+    each = placed.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("own"))
+    split = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("parts"), F.sum("own").alias("held"), F.max_by("component", F.struct("own", "component")).alias("main")).where("parts > 1").select("shingle", "held", "main")
     rest = materialize(placed.join(split, "shingle"), "rest")
-    apart = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.component") != F.col("b.component"))
+    release(placed)
+    # one end of a pair lies outside the shingle's main component
+    minor = F.col("component") != F.col("main")
+    apart = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.component") != F.col("b.component")) & ((F.col("a.rep") < F.col("b.rep")) | (F.col("b.component") == F.col("b.main")))
     few, lots, band = rest.where(F.col("held") <= many), rest.where(F.col("held") > many), _bands(F.col("n"), percent)
-    ends = [F.col("a.rep").alias("a"), F.col("b.rep").alias("b")]
-    pairs = few.alias("a").join(few.alias("b"), apart & _may_link(percent)).select(*ends)
-    one, other = lots.withColumn("band", F.explode(F.array(band - 1, band, band + 1))), lots.withColumn("band", band)
-    pairs = pairs.union(one.alias("a").join(other.alias("b"), (F.col("a.band") == F.col("b.band")) & apart & _may_link(percent)).select(*ends))
+    ends = [F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")]
+    pairs = few.where(minor).alias("a").join(few.alias("b"), apart & _may_link(percent)).select(*ends)
+    tiles = F.ceil(F.col("held") / TILE).cast("int")
+    one = lots.where(minor).withColumn("band", F.explode(F.array(band - 1, band, band + 1))).withColumn("tile", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    other = lots.withColumn("band", band).withColumn("tile", F.pmod(F.xxhash64("rep"), tiles).cast("int"))
+    pairs = pairs.union(one.alias("a").join(other.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.tile") == F.col("b.tile")) & apart & _may_link(percent)).select(*ends))
     pairs = pairs.distinct().join(tried, ["a", "b"], "left_anti")
     more = materialize(_verify(materialize(_pass_suffix(pairs, fines, percent), "pairs"), docs, k, percent), "links")
     final = materialize(connected_components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "components")
 
+    keep(keys, classes, final)
     by_key = classes.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     out = keys.select("doc_id", F.col("n").alias("n_shingles"), "set_key").join(by_key, "set_key", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from corploom.operators.shared import materialize, release
+from corploom.operators.shared import materialize, release, scratch
 from corploom.shipping import ship
 
-__all__ = ["materialize", "parallelism", "release", "small_batches"]
+__all__ = ["materialize", "parallelism", "release", "scratch", "small_batches"]
 
 
 BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20  # of an Arrow batch that a Python worker gets

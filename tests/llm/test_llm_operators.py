@@ -229,7 +229,7 @@ def test_grammar():
     assert reported < aimed
     assert g.clause("i will kill you") > g.clause("kill the process") == 0
     assert g.clause("the sky is blue") == 0
-    one, two = toxicity._recent(1, 2, {2: (2.0, 1.0)}), toxicity._held(3, {2: (3.0, 0.5)})  # noqa: SLF001
+    one, two = toxicity._held(1, {2: (2.0, 1.0)}), toxicity._held(3, {2: (3.0, 0.5)})  # noqa: SLF001
     both = one.compose(two)
     for word in itertools.product(range(4), repeat=4):  # the composition does what both do side by side
         s, a, b = 0, 0, 0
@@ -334,11 +334,71 @@ def test_matched_clauses_decide_not_words(monkeypatch):
 
 def test_learned_stems_are_not_capped(spark):
     rows = [(i, " ".join(f"{chr(97 + n % 26)}{chr(97 + n // 26)}qx word" for n in range(60 if i % 2 else 0)) + " plain", i % 2) for i in range(60)]
-    stems = toxicity.learn_stems(spark.createDataFrame(rows, "doc_id long, text string, label int"))
+    stems = toxicity.learn_stems(spark.createDataFrame(rows, "doc_id long, text string, label int"))[0]
     assert len(stems) == 61  # sixty words, and the one that stands between them
     assert all(len(s) == 4 for s in stems)
 
 
+def test_stems_of_the_other_folds(spark):
+    """A fold's stems are what is learned from the documents outside it."""
+    rows = [(i, f"plain {'nasty' if i % 4 == 1 else 'nice'}{chr(97 + i % 3)} {'vile' if i % 4 == 1 and i % 5 == 2 else ''}", int(i % 4 == 1)) for i in range(400)]
+    sample = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    whole, *folds = toxicity.learn_stems(sample, fold=(F.col("doc_id") % toxicity.FOLDS).cast("int"))
+    assert whole == toxicity.learn_stems(sample)[0]
+    for f, got in enumerate(folds):
+        assert got == toxicity.learn_stems(sample.where(F.col("doc_id") % toxicity.FOLDS != f))[0]
+    assert "vile" in whole and "vile" not in folds[2]
+
+
+def test_work_tables_are_released(spark, docs):
+    """What is left after an operator is what its lazy result reads."""
+    from corploom.operators import shared
+
+    for run, most in ((lambda: ngram_join.jaccard_components(docs), 3), (lambda: covertree.near_duplicates(spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [1.0, 0.01], 1)], "vec_id long, embedding array<double>, label int")), 2), (lambda: mixing.choose(docs.withColumn("domain", F.lit("d")), ["domain", "lang", "source"], {}, 0.5), 2)):
+        before = {p for _, p in shared._made}  # noqa: SLF001
+        out = run()
+        left = [p for _, p in shared._made if p not in before]  # noqa: SLF001
+        assert len(left) <= most
+        assert out.count() > 0
+
+
+def test_rows_without_ids_are_drawn_by_their_texts(spark):
+    rows = [(None if i % 2 else i, f"text number {i} of many", "a") for i in range(40)] + [(None, "twice the same text", "a")] * 2
+    got = mixing.choose(spark.createDataFrame(rows, "doc_id long, text string, source string"), ["source"], {}, 0.5, 1, 3).collect()
+    for own in ([r["copies"] for r in got if r["doc_id"] is None], [r["copies"] for r in got if r["doc_id"] is not None]):
+        assert set(own) == {0, 1}
+    assert len({r["copies"] for r in got if r["text"].startswith("twice")}) == 1
+    assert sum(r["copies"] * len(r["text"].split()) for r in got) <= 0.5 * sum(len(t.split()) for _, t, _ in rows)
+
+
+def test_small_buckets(spark, docs, monkeypatch):
+    """More digits where buckets are large: the same choice, since draws alone decide."""
+    table = docs.withColumn("domain", F.lit("d"))
+    run = lambda: sorted(str((r["doc_id"], r["text"], r["copies"])) for r in mixing.choose(table, ["domain", "source"], {}, 0.6, 2, 4).collect())
+    before = run()
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 1)
+    monkeypatch.setattr(mixing, "BUCKET_DIGITS", 1)
+    assert run() == before
+
+
+@pytest.mark.parametrize("tile", [2, 2000])
+def test_hot_shingles_meet_in_tiles(spark, monkeypatch, tile):
+    """Many sets of one template and a few strangers among them, every shingle dealt by bands and tiles."""
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    rng = np.random.default_rng(4)
+    base = [f"t{i}" for i in range(40)]
+    texts = [" ".join(base[: 20 + int(rng.integers(0, 21))] + [f"own{i}x{j}" for j in range(int(rng.integers(0, 12)))]) for i in range(60)]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(table, 1, 80, heavy=5, many=3).collect()}
+    sets, up = [set(t.split()) for t in texts], list(range(60))
+    for i, j in itertools.combinations(range(60), 2):
+        if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            a, b = up[i], up[j]
+            up = [min(a, b) if c in (a, b) else c for c in up]
+    assert got == {i: (len(sets[i]), up[i]) for i in range(60)}
+    assert len({c for _, c in got.values()}) > 3
+
+
 # BPE
 
 
