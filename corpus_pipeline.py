@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corploom.llm import bpe, linededup, mixing, ngram_join, queries, toxicity
-from corploom.llm.work import materialize
+from corploom.llm.work import materialize, release, scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MIX_SHARE = 0.9  # part of the tokens that the mixture keeps
@@ -83,8 +83,10 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply STAGES to the documents table; between stages the documents are written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for n, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if n + 1 < len(STAGES):
-            docs = materialize(docs, "stage")
-    return docs
+    for _, stage in STAGES[:-1]:
+        with scratch() as keep:  # a stage's work tables go once its result is written
+            out = materialize(stage(spark, docs, sf_dir), "stage")
+            keep(out)
+        release(docs)
+        docs = out
+    return STAGES[-1][1](spark, docs, sf_dir)
