@@ -57,21 +57,18 @@ def keepers(occ: DataFrame, min_docs: int = 3) -> DataFrame:
     return firsts.groupBy("key").agg(F.max("doc_id").alias("keeper"), F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs).select("key", "keeper")
 
 
-def _runs(dropped: Column) -> Column:
-    """Ascending positions -> runs [gap, length, gap, length, ...]: the gap counts kept lines before a run."""
-    zero = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("upto"), F.lit(0).alias("gap"), F.lit(0).alias("len"))
+def _with_runs(per_doc: DataFrame) -> DataFrame:
+    """per_doc (dropped: ascending positions) with bitmap: runs [gap, length, gap, length, ...]; the gap counts kept lines before a run.
 
-    def step(s: Column, p: Column) -> Column:
-        joins = (s["len"] > 0) & (p == s["upto"])
-        done = F.when(s["len"] > 0, F.concat(s["out"], F.array(s["gap"], s["len"]))).otherwise(s["out"])
-        return F.struct(
-            F.when(joins, s["out"]).otherwise(done).alias("out"),
-            (p + 1).alias("upto"),
-            F.when(joins, s["gap"]).otherwise(p - s["upto"]).alias("gap"),
-            F.when(joins, s["len"] + 1).otherwise(F.lit(1)).alias("len"),
-        )
-
-    return F.aggregate(dropped, zero, step, lambda s: F.when(s["len"] > 0, F.concat(s["out"], F.array(s["gap"], s["len"]))).otherwise(s["out"]))
+    First the places in dropped where a run starts, then each run from its start and
+    the next one's: two passes, whatever the number of runs.
+    """
+    n = F.size("dropped")
+    before = lambda i: F.get("dropped", i - 1) + 1
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("dropped", i) != before(i)))
+    gap = lambda s: F.get("dropped", s) - F.when(s == 0, F.lit(0)).otherwise(before(s))
+    run = F.transform("__starts", lambda s, k: F.array(gap(s), F.coalesce(F.get("__starts", k + 1), n) - s))
+    return per_doc.withColumn("__starts", starts).withColumn("bitmap", F.flatten(run)).drop("__starts")
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
@@ -86,7 +83,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     kept = materialize(keepers(occ, min_docs), "keepers")
     lost = occ.join(kept, "key").where(F.col("doc_id") != F.col("keeper"))
     per_doc = lost.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.col("pos").cast("int"))).alias("dropped"))
-    return per_doc.select("doc_id", F.size("dropped").cast("long").alias("n_dropped"), _runs(F.col("dropped")).alias("bitmap"))
+    return _with_runs(per_doc).select("doc_id", F.size("dropped").cast("long").alias("n_dropped"), "bitmap")
 
 
 def _flags(bitmap: Column) -> Column:
@@ -118,6 +115,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     A line's key is the line without white space ``[ \\t-\\r]`` at its ends, A-Z in
     lower case.  Keys of min_chars code points or more that min_docs documents
     hold lose all their lines but those in the largest doc_id.  A null or empty
-    text is one empty line; an empty table gives an empty table.
+    text is one empty line; an empty table gives an empty table.  Rows that repeat a
+    doc_id are one document; texts of any length are cut whole.  text gives way to
+    kept_text; columns named n_lines, n_dropped or kept_text are replaced.
     """
     return apply_bitmaps(docs, keep_bitmaps(docs, min_chars, min_docs))

@@ -399,6 +399,16 @@ def test_hot_shingles_meet_in_tiles(spark, monkeypatch, tile):
     assert len({c for _, c in got.values()}) > 3
 
 
+def test_runs_of_dropped_lines(spark):
+    """Bitmaps of any pattern, spelt out again, and of very many single lines."""
+    rng = np.random.default_rng(9)
+    kept = [sorted(rng.choice(40, size=k, replace=False).tolist()) for k in (1, 2, 20, 39, 40)] + [[0], [5, 6, 7], list(range(0, 60_000, 2))]
+    df = spark.createDataFrame(list(enumerate(kept)), "doc_id long, dropped array<int>")
+    for r in linededup._with_runs(df).select("dropped", "bitmap", linededup._flags(F.col("bitmap")).alias("flags")).collect():  # noqa: SLF001
+        assert [i for i, dropped in enumerate(r["flags"]) if dropped] == r["dropped"]
+        assert all(n > 0 for n in r["bitmap"][1:])
+
+
 # BPE
 
 
