@@ -24,7 +24,8 @@ from corploom.operators import statistics as T
 from corploom.operators import synonyms as N
 from corploom.operators import verify as V
 from corploom.operators.shared import exists, materialize, new_folder, release_folder
-from corploom.sources import crawl
+from corploom import sql
+from corploom.sources import crawl, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -317,6 +318,30 @@ query(
     f"WITH v AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({_TOK})) AS term FROM documents) GROUP BY term HAVING regexp_full_match(term, '[a-z]+')), q AS (SELECT DISTINCT substr(term, 1, 2) || substr(term, 4) AS word FROM (SELECT term FROM v WHERE length(term) >= 6 ORDER BY md5(term) LIMIT 100))"
     " SELECT word, row_number() OVER (PARTITION BY word ORDER BY levenshtein(word, term), df DESC, term) AS nth, term, CAST(levenshtein(word, term) AS BIGINT) AS distance, CAST(df AS BIGINT) AS df FROM q, v WHERE levenshtein(word, term) <= 2 QUALIFY nth <= 10",
 )(lambda spark, sf: fuzzy.suggest_many(_misspelt(spark, sf), _index(spark, sf).soft_terms().where(F.col("term").rlike("^[a-z]+$"))))
+
+
+# the same through SQL alone
+
+
+@query("sql_search", f"WITH {_DOCS}, {_FLAGS} SELECT docnum, docid, title FROM w WHERE ({_has('the')} AND NOT {_has('ach')}) OR NOT {_has('der')}")
+def sql_search(spark: SparkSession, sf: str) -> DataFrame:
+    sql.register_index(spark, _index(spark, sf))
+    return spark.sql("SELECT docnum, docid, title FROM search('(The && !ach) || !der')")
+
+
+@query("sql_tokens", f"SELECT term, {_STEM.format('term')} AS stem, CAST(count(*) AS BIGINT) AS cf FROM (SELECT unnest({_TOK}) AS term FROM (SELECT {_SPLIT} AS text FROM documents)) GROUP BY term")
+def sql_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    sql.register_functions(spark)
+    return spark.sql(f"SELECT t.term, stem(t.term) AS stem, count(*) AS cf FROM (SELECT {_SPLIT} AS text FROM parquet.`{sf}/documents.parquet`) d, LATERAL tokens(d.text) t GROUP BY t.term")
+
+
+@query("raw_pages", "SELECT sha1(url) AS id, url AS title, CAST(strlen(html) AS BIGINT) AS bytes, md5(html) AS md5 FROM pages WHERE url IS NOT NULL AND html <> ''")
+def raw_pages(spark: SparkSession, sf: str) -> DataFrame:
+    pages.register(spark)
+    rows = spark.read.format("raw_pages").options(titles=f"{sf}/pages.parquet", title="url", text="html").load()
+    return rows.select("id", "title", "bytes", F.md5(F.col("text").cast("binary")).alias("md5"))
+
+
 query("query_snippets")(lambda spark, sf: _documents(spark, sf).select("doc_id", S.biased_snippet(F.col("text"), ["the", "of", "que"]).alias("snippet")))
 
 @query("bool_setops", f"WITH {_DOCS}, {_FLAGS} SELECT docnum FROM w WHERE {_has('the')} INTERSECT SELECT docnum FROM w WHERE {_has('of')} UNION (SELECT docnum FROM w EXCEPT SELECT docnum FROM w WHERE {_has('der')})")

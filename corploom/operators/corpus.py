@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corploom.functions import text as X
 from corploom.sources.files import PLACE
 
-from .shared import materialize
+from .shared import materialize, release
 
 
 def number_rows(df: DataFrame, *order: Column | str, name: str = "docnum") -> DataFrame:
@@ -31,9 +31,24 @@ def number_rows(df: DataFrame, *order: Column | str, name: str = "docnum") -> Da
     return placed.join(F.broadcast(base), "__part").withColumn(name, (F.col("__base") + F.col("__at") + 1).cast("long")).drop("__part", "__at", "__base")
 
 
-def first_wins(df: DataFrame, key: Column | str, order: Column | str) -> DataFrame:
-    """df with nth: the place of a row among those with its key, in order."""
-    return df.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(order)).cast("long"))
+def first_wins(df: DataFrame, key: str, order: Column | str) -> DataFrame:
+    """df with nth: the place of a row among those with its key, in order.
+
+    Rows are dealt by ranges of (key, order), so the copies of one text lie in
+    many partitions; what lies before a partition is one number a key and
+    partition, joined on both.  Send narrow rows.
+    """
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keyed = df.withColumn("__order", F.col(order) if isinstance(order, str) else order).withColumn("__row", F.monotonically_increasing_id())
+    by = [key, "__order", "__row"]
+    ranged = keyed.repartitionByRange(n, *by).sortWithinPartitions(*by).drop("__order", "__row")
+    spot = F.monotonically_increasing_id()
+    placed = materialize(ranged.withColumn("__id", spot).withColumns({"__part": F.shiftright("__id", 33), "__at": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("__id"), "ranked")
+    spans = placed.groupBy(key, "__part").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    spans = spans.select(F.col(key).alias("__key"), F.col("__part").alias("__in"), (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first") + 1).alias("__base"))
+    on = placed[key].eqNullSafe(spans["__key"]) & (placed["__part"] == spans["__in"])
+    return placed.join(spans, on).withColumn("nth", (F.col("__base") + F.col("__at")).cast("long")).drop("__key", "__in", "__base", "__part", "__at")
 
 
 def prepare(raw: DataFrame, input_no: str = "input_no", glue: bool = True, compose: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -48,14 +63,16 @@ def prepare(raw: DataFrame, input_no: str = "input_no", glue: bool = True, compo
     ident = F.coalesce(F.col("id").cast("string"), F.lit(""))
     rows = raw.select(F.col(input_no).alias("input_no"), ident.alias("docid"), X.clean(F.col("title"), glue, compose).alias("title"), X.clean(F.col("text"), glue, compose).alias("text"), "line_bytes")
     rows = materialize(rows.withColumn("size", F.octet_length("text").cast("long")), "cleaned")
-    missing = rows.where("docid = ''")
-    ranked = first_wins(rows.where("docid <> ''"), "docid", "input_no")
-    corpus = ranked.where("nth = 1").select("input_no", "docid", "title", "text")
-    rejects = missing.select(F.lit("MISSING_ID").alias("kind"), "input_no", "docid", "title").unionAll(ranked.where("nth > 1").select(F.lit("DUPLICATE").alias("kind"), "input_no", "docid", "title"))
-    told = ranked.select("nth", "size", "line_bytes").unionAll(missing.select(F.lit(0).cast("long").alias("nth"), "size", "line_bytes"))
+    # only each id's first place is looked for, so an id that very many rows share is one row after partial aggregation; places name rows
+    firsts = rows.where("docid <> ''").groupBy("docid").agg(F.min("input_no").alias("input_no"))
+    told = materialize(rows.join(firsts.select("input_no", F.lit(True).alias("is_first")), "input_no", "left").withColumn("is_first", F.coalesce("is_first", F.lit(False))), "told")
+    release(rows)
+    corpus = told.where("is_first").select("input_no", "docid", "title", "text")
+    kind = F.when(F.col("docid") == "", "MISSING_ID").otherwise("DUPLICATE").alias("kind")
+    rejects = told.where("NOT is_first").select(kind, "input_no", "docid", "title")
     stats = told.agg(
-        F.count(F.lit(1)).alias("input_docs"), F.count_if(F.col("nth") == 1).alias("unique_docs"), F.coalesce(F.sum("line_bytes"), F.lit(0)).alias("raw_bytes"),
-        F.coalesce(F.sum("size"), F.lit(0)).alias("text_bytes"), F.coalesce(F.sum(F.when(F.col("nth") == 1, F.col("size"))), F.lit(0)).alias("unique_bytes"),
+        F.count(F.lit(1)).alias("input_docs"), F.count_if("is_first").alias("unique_docs"), F.coalesce(F.sum("line_bytes"), F.lit(0)).alias("raw_bytes"),
+        F.coalesce(F.sum("size"), F.lit(0)).alias("text_bytes"), F.coalesce(F.sum(F.when(F.col("is_first"), F.col("size"))), F.lit(0)).alias("unique_bytes"),
     )
     stats = stats.withColumn("avg_compat", F.coalesce(F.try_divide("text_bytes", "unique_docs"), F.lit(0.0))).withColumn("avg_unique", F.coalesce(F.try_divide("unique_bytes", "unique_docs"), F.lit(0.0)))
     return corpus, rejects, stats

@@ -20,6 +20,14 @@ def raw_stream(spark: SparkSession, folder: str, max_files: int = 100) -> DataFr
     return rows.select("*", F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start").alias(ARRIVED))
 
 
+def first_arrived(batch: DataFrame) -> DataFrame:
+    """(docid, title, text), cleaned: of rows with one id the first to arrive; rows without an id are dropped."""
+    arrived = [ARRIVED] if ARRIVED in batch.columns else []
+    placed = batch.where("id <> ''").withColumn("place", F.struct(*arrived, F.monotonically_increasing_id()))
+    first = placed.groupBy("id").agg(F.min_by(F.struct("title", "text"), "place").alias("row"))
+    return first.select(F.col("id").alias("docid"), X.clean(F.col("row.title")).alias("title"), X.clean(F.col("row.text")).alias("text"))
+
+
 def ingest(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Append the terms of new documents to target/terms and their rows to target/documents.
 
@@ -28,19 +36,15 @@ def ingest(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     own repeats.  Rows without an id are dropped.  A segment is written under its
     batch number, so a batch that runs again replaces its own output.
     """
-    arrived = [ARRIVED] if ARRIVED in stream.columns else []
 
     def segment(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        placed = batch.where("id <> ''").withColumn("place", F.struct(*arrived, F.monotonically_increasing_id()))
-        first = placed.groupBy("id").agg(F.min_by(F.struct("title", "text"), "place").alias("row"))
+        spark, rows = batch.sparkSession, first_arrived(batch)
         try:
             written = spark.read.schema("docid string, batch long").parquet(f"{target}/documents").where(F.col("batch") != number)
-            first = first.join(written, first["id"] == written["docid"], "left_anti")
+            rows = rows.join(written, "docid", "left_anti")
         except AnalysisException as missing:  # nothing is written yet
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
-        rows = first.select(F.col("id").alias("docid"), X.clean(F.col("row.title")).alias("title"), X.clean(F.col("row.text")).alias("text"))
         rows.write.mode("overwrite").parquet(f"{target}/documents/batch={number}")
         own = spark.read.parquet(f"{target}/documents/batch={number}")
         terms = own.select("docid", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
