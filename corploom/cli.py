@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+import time
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ def main(argv: list[str] | None = None) -> int:
     w = sub.add_parser("serve")
     w.add_argument("index"), w.add_argument("corpus"), w.add_argument("--port", type=int, default=8000)
     a = p.parse_args(argv)
-    spark = SparkSession.builder.appName("corploom").getOrCreate()
+    spark, began = SparkSession.builder.appName("corploom").getOrCreate(), time.monotonic()
     if a.command == "prepare":
         kept, rejects, stats = corpus.prepare(files.read_raw(spark, a.raw), glue=not a.no_glue)
         files.write_parts(kept, f"{a.out}/corpus")
@@ -46,6 +47,7 @@ def main(argv: list[str] | None = None) -> int:
         info = corpus.info_text(stats)
         info.coalesce(1).write.mode("overwrite").text(f"{a.out}/info")
         print(info.first()[0])
+        print(f"seconds: {time.monotonic() - began:.1f}")
     elif a.command == "build":
         built = index.build(files.read_parts(spark, a.corpus), a.tokenizer, X.stem if a.stem else None, a.sample, folder=a.index)
         print(built.meta.first().asDict())

@@ -64,6 +64,12 @@ def counted(fetched: DataFrame, name: str = "crawl") -> tuple[DataFrame, Observa
     return fetched.observe(seen, F.count(F.lit(1)).alias("pages"), F.count_if(empty).alias("empty"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("bytes")), seen
 
 
+def progress(seen: Observation, seconds: float) -> dict[str, float]:
+    """What counted tells of a crawl that has run, with pages a second over the caller's clock."""
+    told = seen.get
+    return {**told, "pages_per_second": told["pages"] / seconds if seconds > 0 else 0.0}
+
+
 def raw_documents(fetched: DataFrame, source: str) -> DataFrame:
     """Raw document rows of the pages that have text; the id is the SHA-1 of the title."""
     stamp = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")

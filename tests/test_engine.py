@@ -311,6 +311,7 @@ def test_crawl_counters(spark):
     df, seen = crawl.counted(spark.createDataFrame([("a", "text"), ("b", ""), ("c", None)], "title string, text string"))
     assert df.count() == 3
     assert seen.get == {"pages": 3, "empty": 2, "bytes": 4}
+    assert crawl.progress(seen, 2.0) == {"pages": 3, "empty": 2, "bytes": 4, "pages_per_second": 1.5}
 
 
 def test_snippets_and_suggestions(spark):
