@@ -98,7 +98,9 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", cut: fl
 
     Scores depend on the text alone.  Null and empty texts have all-zero
     statistics and get a score too; without usable labels every score is 0.5.
-    Columns of docs with a result's name are replaced.
+    Columns of docs with a result's name or a count's (docstats.COUNTS) are replaced.
+    Rows that repeat a doc_id are scored each by its own text; texts of any length are
+    read whole; an empty docs gives an empty result.
     """
     model = train(docs, labels, label, rows)
     stats = with_statistics(docs.drop("held_out", "score", "predicted"))

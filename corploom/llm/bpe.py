@@ -309,7 +309,12 @@ def decode(df: DataFrame, vocab_path: str, ids: str = "ids", text: str = "decode
 
 
 def encode_decode(df: DataFrame, vocab_path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """decode(encode(df)) in one pass: a task keeps one Python worker and one vocabulary instead of two."""
+    """decode(encode(df)) in one pass: a task keeps one Python worker and one vocabulary instead of two.
+
+    A null or empty text has no ids and decodes to an empty text; texts of any length
+    are encoded whole; repeated rows stay rows; an empty table gives an empty one.
+    Columns that are already named as ids or decoded are replaced, others pass through.
+    """
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -162,6 +162,8 @@ def identify(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     docs needs doc_id, text and lang; lang teaches, and never enters a prediction.
     A null text, or one without a letter, is ``und`` with score 0; so is every
     text where nothing can be learned.  Columns with a result's name are replaced.
+    Rows that repeat a doc_id are told each by its own text; of a text of any length
+    all windows are read; an empty docs gives an empty result.
     """
     spark, net = docs.sparkSession, train(docs, rows)
     small_batches(spark)

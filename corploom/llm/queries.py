@@ -123,7 +123,8 @@ _OP9_LEVEL = """
 )"""
 
 
-def _op9_sql() -> str:
+def op9_sql(share: float = MIX_SHARE, epochs: int = MIX_EPOCHS) -> str:
+    """Copies of each row of documents, at MIX_WEIGHTS and MIX_SEED."""
     weight = lambda level: "CASE " + " ".join(f"WHEN {level} = '{k}' THEN {v}" for k, v in MIX_WEIGHTS.get(level, {"": 1}).items()) + " ELSE 1 END"
     steps = []
     for n, level in enumerate(MIX_LEVELS):
@@ -140,8 +141,8 @@ WITH d AS (
          CASE WHEN trim(coalesce(text, ''), {space}) = '' THEN 0 ELSE len(string_split_regex(trim(text, {space}), '[ \t-\r]+')) END::BIGINT AS n_tokens
   FROM documents
 ), leaves AS (
-  SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, (sum(n_tokens) * {MIX_EPOCHS})::BIGINT AS capacity FROM d GROUP BY ALL
-), total AS (SELECT floor(sum(tokens)::DOUBLE * {MIX_SHARE})::BIGINT AS budget FROM leaves),
+  SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, (sum(n_tokens) * {epochs})::BIGINT AS capacity FROM d GROUP BY ALL
+), total AS (SELECT floor(sum(tokens)::DOUBLE * {share})::BIGINT AS budget FROM leaves),
 {",".join(steps)},
 e AS (
   SELECT l.*, b.budget, CASE WHEN tokens > 0 THEN b.budget // tokens ELSE 0 END AS epochs, b.budget - CASE WHEN tokens > 0 THEN b.budget // tokens ELSE 0 END * tokens AS rest
@@ -294,7 +295,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_tool_calls": _OP2_SQL,
-    "op9_source_mixing": _op9_sql(),
+    "op9_source_mixing": op9_sql(),
     "op10_line_dedup": _OP10_SQL,
     "op12_fill_in_middle": _OP12_SQL,
     "op13_merkle_manifest": _op13_sql(),

@@ -122,6 +122,10 @@ def test_mix(steps):
     before, after = steps[3]
     n = lambda df: sum(len(WORD.findall(r["text"])) for r in df.collect())
     assert 0.8 * n(before) < n(after) <= P.MIX_SHARE * n(before)
+    con = duckdb.connect()
+    con.register("documents", before.toArrow())
+    want = con.execute(f"SELECT doc_id FROM ({queries.op9_sql(P.MIX_SHARE, 1)}) WHERE copies > 0").fetchall()
+    assert sorted(r["doc_id"] for r in after.collect()) == sorted(i for (i,) in want)
 
 
 def test_bpe(steps):
