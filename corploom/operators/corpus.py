@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,24 +13,29 @@ from corploom.sources.files import PLACE
 from .shared import materialize, release
 
 
-def number_rows(df: DataFrame, *order: Column | str, name: str = "docnum") -> DataFrame:
+def number_rows(df: DataFrame, *order: Column | str, name: str = "docnum", project: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """df with a dense 1-based number in the given order, without a single-partition window and without a join of df.
 
     Rows are range-partitioned, sorted and written once with their partition and
     their place in it; each partition's base comes from the counts of those before
     it - one row a partition, so the broadcast is bounded by their number.  Rows
-    that tie in order get numbers of their own, nulls come first.
+    that tie in order get numbers of their own, nulls come first.  project is
+    applied to the sorted rows before they are written, row by row: what is dear is done once, and
+    what isn't needed afterwards isn't written.
     """
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     tied = df.withColumn("__row", F.monotonically_increasing_id())  # so that equal keys don't have to share a partition
     spot = F.monotonically_increasing_id()
     placed = tied.repartitionByRange(n, *keys, "__row").sortWithinPartitions(*keys, "__row").drop("__row")
+    placed = project(placed) if project is not None else placed
     placed = materialize(placed.withColumn("__id", spot).withColumns({"__part": F.shiftright("__id", 33), "__at": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("__id"), "numbered")
     counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    return placed.join(F.broadcast(base), "__part").withColumn(name, (F.col("__base") + F.col("__at") + 1).cast("long")).drop("__part", "__at", "__base")
+    out = placed.join(F.broadcast(base), "__part").withColumn(name, (F.col("__base") + F.col("__at") + 1).cast("long")).drop("__part", "__at", "__base")
+    out._work_path = placed._work_path  # noqa: SLF001  release(out) deletes what was written
+    return out
 
 
 def first_wins(df: DataFrame, key: str, order: Column | str) -> DataFrame:

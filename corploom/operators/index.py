@@ -66,11 +66,11 @@ class Index:
         return Index(read(f"{folder}/forward"), read(f"{folder}/blocks"), read(f"{folder}/vocab"), spark.read.json(f"{folder}/meta"), folder)
 
 
-def number(corpus: DataFrame, *order: str) -> DataFrame:
+def number(corpus: DataFrame, *order: str, project: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """corpus with docnum, by the given order (default: part file and line, else docid)."""
     if not order:
         order = ("part_file", "block", "line_no") if "part_file" in corpus.columns else ("docid",)
-    return number_rows(corpus, *order)
+    return number_rows(corpus, *order, project=project)
 
 
 def stem_once(terms: DataFrame, stemmer: Callable[[Column], Column]) -> DataFrame:
@@ -103,7 +103,10 @@ def vocabulary(terms: DataFrame) -> DataFrame:
 
 def block_table(postings: DataFrame) -> DataFrame:
     """Postings (term, docnum) as a written table of blocks."""
-    return materialize(B.cut_blocks(postings), "blocks", **B.WRITE)
+    held = materialize(postings, "postings")  # else the ranges' sample would make them once more
+    out = materialize(B.cut_blocks(held), "blocks", **B.WRITE)
+    release(held)
+    return out
 
 
 def gaps(postings: DataFrame) -> DataFrame:
@@ -164,16 +167,20 @@ def build(corpus: DataFrame, mode: str | Callable[[Column], Column] = "unicode",
     spark, began = corpus.sparkSession, time.monotonic()
     folder = folder or new_folder(spark, "index")
     name = mode if isinstance(mode, str) else "own"
-    numbered = number(corpus, *order)
-    if sample:
-        numbered = numbered.where(F.col("docnum") <= sample)
     toks = lambda c: X.tokens(F.col(c), mode, compose)
-    cut = materialize(numbered.select("docnum", "docid", "title", toks("text").alias(B.TEXT), toks("title").alias("in_title"), F.octet_length("text").cast("long").alias("bytes")), "tokens")
+    tokenized = lambda df: df.select("docid", "title", toks("text").alias(B.TEXT), toks("title").alias("in_title"), F.octet_length("text").cast("long").alias("bytes"))
+    if sample:  # the few are numbered before they are tokenized
+        few = number(corpus, *order)
+        work = number_rows(few.where(F.col("docnum") <= sample), "docnum", name="nth", project=tokenized)
+        cut = work.withColumnRenamed("nth", "docnum")
+        release(few)
+    else:
+        cut = work = number(corpus, *order, project=tokenized)
     cut.select("docnum", "docid", "title", F.size(B.TEXT).cast("long").alias("n_tokens"), "bytes").write.mode("overwrite").parquet(f"{folder}/forward")
     forward = spark.read.parquet(f"{folder}/forward")
     zoned = cut.select("docnum", B.TEXT, F.col("in_title").alias("title"))
     inverted = materialize(B.invert(zoned, (B.TEXT, "title")), "inverted")
-    release(cut)
+    release(work)
     posted = _restemmed(inverted, name, stemmer)
     if stemmer is not None:
         posted = materialize(posted, "stemmed")  # else the ranges' sample would group them once more
