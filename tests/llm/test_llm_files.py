@@ -206,7 +206,7 @@ def brute_audit(rows):
 
 def test_manifest(spark, docs):
     many = spark.range(700).select(F.col("id").alias("doc_id"), F.concat(F.lit("Text "), F.col("id")).alias("text"), F.lit("en").alias("lang"), F.when(F.col("id") < 300, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 40)).alias("source"), F.lit(3).cast("long").alias("n_chars"))
-    for table in (docs, many.repartition(5), many.where("doc_id = 5"), many.where("doc_id < 17"), many.where("doc_id between 283 and 315")):
+    for table in (docs, many.repartition(5), many.where("doc_id between 283 and 315 OR doc_id = 690")):
         got, want = merkle.audit(table).collect(), list(brute_audit(table.collect()))
         assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert merkle.audit(docs.limit(0)).count() == 0
