@@ -238,11 +238,19 @@ def find(ix: Index, query: str, adjacency: str = "last", synonyms: DataFrame | N
 
 @dataclass
 class Ranked:
-    """The best documents, and how many blocks of the query's terms there are and were read."""
+    """The best documents; the blocks of the query's terms, and those of them that were read."""
 
     rows: DataFrame
-    held: int
-    read: int
+    held_blocks: DataFrame
+    read_blocks: DataFrame
+
+    @property
+    def held(self) -> int:
+        return self.held_blocks.count()
+
+    @property
+    def read(self) -> int:
+        return self.read_blocks.count()
 
 
 def _scores(blocks: DataFrame, gains: dict[tuple[str, str], float]) -> DataFrame:
@@ -282,8 +290,7 @@ def top_k(ix: Index, gains: dict[tuple[str, str], float], k: int = PAGE) -> Rank
     floor = first[-1]["score"] - 1e-8 if len(first) == k else -1.0
     alive = ((bound >= floor) & (bound >= 0)).astype(np.int64)
     near = in_ranges(held, alive, shift)
-    counts = near.agg(F.count(F.lit(1))).first()[0], held.agg(F.count(F.lit(1))).first()[0]
-    return Ranked(best(_scores(near, gains), k), counts[1], counts[0])
+    return Ranked(best(_scores(near, gains), k), held, near)
 
 
 def rank(ix: Index, query: str, k: int = PAGE, adjacency: str = "last", synonyms: DataFrame | None = None, weights: dict[str, float] | None = None) -> DataFrame:
