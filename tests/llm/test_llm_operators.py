@@ -332,6 +332,30 @@ def test_matched_clauses_decide_not_words(monkeypatch):
     assert accuracy() < 0.7
 
 
+def test_scores_rank_where_no_word_is_sure(spark):
+    """Each word of the toxic documents stands in too few labelled ones to enter the lexicon; held-out toxic documents still come before the others."""
+    rng = np.random.default_rng(4)
+    common, marks = ["".join(rng.choice(list("bdfgklm"), 6)) for _ in range(300)], ["zurquat", "zelbino", "zamprek", "zoltier", "zickorn", "zuvelle"]
+    rows = [(i, " ".join([*rng.choice(common, 40), *([marks[i // 10 % 6]] * 3 if i % 10 == 0 else [])]), int(i % 10 == 0)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    out = toxicity.score(docs.select("doc_id", "text"), docs.select("doc_id", "toxic")).where("held_out").join(docs.select("doc_id", "toxic"), "doc_id").collect()
+    one, zero = ([r["score"] for r in out if r["toxic"] == y] for y in (1, 0))
+    assert len(one) > 5
+    assert np.mean([(a > b) + (a == b) / 2 for a in one for b in zero]) > 0.8
+
+
+def test_hints_against_a_slow_version():
+    import pyarrow as pa
+
+    g = toxicity.Grammar({"grob": 3.5}, {"zurq": 8.0, "zurquat": 6.5, "über": 2.0})
+    texts = ["zurquat is here. you zurquat", "he said you zurqa: x", "not a zurquat « you über überall »", "grobian zur", "", "zurquat idiot, you"]
+    want = [8 * 0.2 + 8, 0.6 * 8, 0.5 * 0.2 * 8 + 0.6 * 2 + 0.6 * 2, 0, 0, 8 * 0.2]
+    words = [5, 5, 8, 2, 0, 3]  # by bytes: a sign outside ASCII is one too
+    x, _ = g.read(pa.array(texts))
+    assert np.allclose(x[:5, 3], [10 * w / (30 + n) for w, n in zip(want, words, strict=True)][:5])
+    assert np.allclose(x[:, :3], toxicity.Grammar({"grob": 3.5}).features(pa.array(texts))[0])  # hints leave the rest as it is
+
+
 def test_learned_stems_are_not_capped(spark):
     rows = [(i, " ".join(f"{chr(97 + n % 26)}{chr(97 + n // 26)}qx word" for n in range(60 if i % 2 else 0)) + " plain", i % 2) for i in range(60)]
     stems = toxicity.learn_stems(spark.createDataFrame(rows, "doc_id long, text string, label int"))[0]
