@@ -3,23 +3,25 @@
 Hard rules look at exact counts.  What passes them is judged by an isolation
 forest over the documents' ratios: random splits separate an odd document from
 the rest after few steps, so a short mean path is an anomaly.  Trees are grown on
-small subsamples of a bounded sample; the threshold on the anomaly score comes
-from labelled rows.
+small subsamples, as the method has it; scales, path lengths and the threshold on the
+anomaly score come from all labelled rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .docstats import COUNTS, RATIOS, labelled_sample, with_statistics
+from .docstats import COUNTS, RATIOS, usable_labels, with_statistics
+from .work import materialize, release, small_batches
 
-SAMPLE_ROWS = 12_000  # labelled documents that the forest and its threshold may see
+SCORE_BINS = 1 << 16  # steps of the scores that the threshold is chosen from
 FULL_TRUST_WORDS = 200  # words from which a document's ratios count in full
 
 
@@ -60,10 +62,10 @@ class IsolationForest:
                 stack += [(2 * k + 1, level + 1, own[~right]), (2 * k + 2, level + 1, own[right])]
         return cls(feature, split, length, m)
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        """Anomaly score in (0, 1]: 2 ** -(mean path / expected path); 0.5 is usual, near 1 is odd."""
-        total, rows = np.zeros(len(x)), np.arange(len(x))
-        for feature, split, length in zip(self.feature, self.split, self.length, strict=True):
+    def leaves(self, x: np.ndarray) -> Iterator[np.ndarray]:
+        """The nodes where rows end, tree by tree."""
+        rows = np.arange(len(x))
+        for feature, split in zip(self.feature, self.split, strict=True):
             node = np.zeros(len(x), dtype=np.int64)
             while True:
                 f = feature[node]
@@ -72,6 +74,17 @@ class IsolationForest:
                     break
                 step = 2 * node + 1 + (x[rows, np.maximum(f, 0)] > split[node])
                 node = np.where(inner, step, node)
+            yield node
+
+    def weighed(self, share: np.ndarray) -> IsolationForest:
+        """The forest with path lengths by the share of all rows in each leaf, in place of the subsample's rows in it."""
+        level = np.floor(np.log2(np.arange(self.feature.shape[1]) + 1))
+        return IsolationForest(self.feature, self.split, np.where(self.feature < 0, level + mean_path(share * self.subsample), 0.0), self.subsample)
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """Anomaly score in (0, 1]: 2 ** -(mean path / expected path); 0.5 is usual, near 1 is odd."""
+        total = np.zeros(len(x))
+        for length, node in zip(self.length, self.leaves(x), strict=True):
             total += length[node]
         return 2.0 ** -(total / len(self.feature) / max(1e-9, float(mean_path(self.subsample))))
 
@@ -99,12 +112,16 @@ def threshold_from_labels(score: np.ndarray, good: np.ndarray, max_good_lost: fl
 
     Without rows of both labels nothing is rejected.
     """
-    if not good.any() or good.all():
+    values, at = np.unique(score, return_inverse=True)
+    return threshold_from_counts(values, np.bincount(at[good], minlength=len(values)), np.bincount(at[~good], minlength=len(values)), max_good_lost)
+
+
+def threshold_from_counts(values: np.ndarray, ok: np.ndarray, bad: np.ndarray, max_good_lost: float = 0.005) -> float:
+    """The same from ascending scores with their numbers of good and bad rows."""
+    if not ok.sum() or not bad.sum():
         return float("inf")
-    cuts = np.unique(score)
-    cuts = np.concatenate([(cuts[1:] + cuts[:-1]) / 2, [cuts[-1] + 1e-6]])
-    ok, bad = np.sort(score[good]), np.sort(score[~good])
-    lost, caught = 1 - np.searchsorted(ok, cuts, "right") / len(ok), 1 - np.searchsorted(bad, cuts, "right") / len(bad)
+    cuts = np.concatenate([(values[1:] + values[:-1]) / 2, [values[-1] + 1e-6]])
+    lost, caught = 1 - np.cumsum(ok) / ok.sum(), 1 - np.cumsum(bad) / bad.sum()
     gain = np.where(lost <= max_good_lost, caught - lost, -1)
     return float(cuts[int(np.flatnonzero(gain == gain.max())[-1])])
 
@@ -114,33 +131,102 @@ def base_failed() -> F.Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def calibrate(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, trees: int = 200, subsample: int = 64, seed: int = 7) -> Calibration | None:
-    """Grow the forest on at most rows labelled documents and set its threshold; None if no labelled document passes the hard rules."""
-    sample = with_statistics(labelled_sample(docs, labels, "quality", rows)).where(~base_failed()).select("doc_id", "label", "n_words", "ratios").toPandas()
-    if not len(sample):
+def quantiles(rows: DataFrame, share: float, n: int, columns: int, values: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """The exact value of rank floor(share * (n - 1)) of each column of values, none of them negative.
+
+    Such doubles ascend as their bits do, so each of four passes finds sixteen more bits
+    of all columns: what reaches the driver are counts of bit patterns.
+    """
+    found, rank = np.zeros(columns, np.int64), np.full(columns, int(share * (n - 1)), np.int64)
+    for shift in (48, 32, 16, 0):
+        above = shift + 16
+
+        def count(batches: Iterator[pa.RecordBatch], shift: int = shift, above: int = above, found: np.ndarray = found) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                bits = (np.abs(values(batch)) + 0.0).view(np.int64)
+                mine = np.ones(bits.shape, bool) if above == 64 else bits >> above == found
+                key, k = np.unique((np.broadcast_to(np.arange(columns) << 16, bits.shape) + (bits >> shift & 0xFFFF))[mine], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(k.astype(np.int64))], ["key", "k"])
+
+        got = rows.mapInArrow(count, "key long, k long").groupBy("key").agg(F.sum("k").alias("k")).toPandas().sort_values("key")
+        key, k, digits = got["key"].to_numpy(np.int64), got["k"].to_numpy(np.int64), np.zeros(columns, np.int64)
+        for c in range(columns):
+            own = key >> 16 == c
+            upto = np.cumsum(k[own])
+            at = int(np.searchsorted(upto, rank[c], "right"))
+            digits[c], rank[c] = key[own][at] & 0xFFFF, rank[c] - (upto[at - 1] if at else 0)
+        found = found << 16 | digits
+    return found.view(np.float64)
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    ratios = batch.column("ratios")
+    return ratios.flatten().to_numpy().reshape(len(ratios), len(RATIOS))
+
+
+def calibrate(stats: DataFrame, labels: DataFrame, trees: int = 200, subsample: int = 64, seed: int = 7) -> Calibration | None:
+    """Scales, forest and threshold from all labelled rows of stats (with_statistics); None if none of them passes the hard rules.
+
+    Scales are order statistics of all labelled rows.  As the method has it, a tree's
+    splits come from a small subsample of them; its path lengths are set by how many
+    of all labelled rows end in each leaf.  The threshold comes from the scores of all.
+    Of rows that repeat a doc_id the one of the least statistics counts.
+    """
+    row = F.min(F.struct(*COUNTS, "ratios")).alias("row")
+    rows = stats.select("doc_id", *COUNTS, "ratios").join(usable_labels(labels, "quality"), "doc_id").groupBy("doc_id", "label").agg(row)
+    rows = materialize(rows.select("doc_id", "label", "row.*").where(~base_failed()).select("doc_id", "label", "n_words", "ratios"), "rules")
+    n = rows.count()
+    if not n:
+        release(rows)
         return None
-    sample = sample.sort_values("doc_id", kind="stable")
-    x, good = np.stack(sample["ratios"].to_numpy()), sample["label"].to_numpy() == 1
-    centre = np.median(x, axis=0)
-    scale = np.maximum(np.percentile(np.abs(x - centre), 75, axis=0), 1e-3)
+    small_batches(stats.sparkSession)
+    centre = quantiles(rows, 0.5, n, len(RATIOS), _matrix)
+    scale = np.maximum(quantiles(rows, 0.75, n, len(RATIOS), lambda batch: _matrix(batch) - centre), 1e-3)
     out = Calibration(centre, scale, None, 0.0)  # type: ignore[arg-type]
-    grown = out.scaled(x, sample["n_words"].to_numpy())
-    out.forest = IsolationForest.grow(grown, trees, subsample, seed)
-    out.threshold = threshold_from_labels(out.forest.score(grown), good)
-    return out
-
-
-def apply_rules(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, trees: int = 200, subsample: int = 64, seed: int = 7) -> DataFrame:
+    order, most = F.xxhash64("doc_id", F.lit(17)), trees * subsample
+    drawn = rows.where(F.pmod(order, F.lit(1 << 40)) < int(min(1.0, 1.2 * most / n) * (1 << 40)))
+    x = drawn.select(order.alias("order"), "doc_id", "n_words", "ratios").toPandas().sort_values(["order", "doc_id"], kind="stable")[:most]
+    ratios = np.stack(x["ratios"].to_numpy()) if len(x) else np.zeros((0, len(RATIOS)))
+    out.forest = IsolationForest.grow(out.scaled(ratios, x["n_words"].to_numpy(np.float64)), trees, subsample, seed)
+
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(out.forest.feature.shape, np.int64)
+        for batch in batches:
+            for t, node in enumerate(out.forest.leaves(out.scaled(_matrix(batch), batch.column("n_words").to_numpy()))):
+                total[t] += np.bincount(node, minlength=total.shape[1])
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total.ravel()[cell])], ["cell", "k"])
+
+    held = rows.mapInArrow(leaves, "cell long, k long").groupBy("cell").agg(F.sum("k").alias("k")).toPandas()
+    counts = np.zeros(out.forest.feature.size)
+    counts[held["cell"].to_numpy(np.int64)] = held["k"].to_numpy()
+    forest = out.forest.weighed(counts.reshape(out.forest.feature.shape) / n)
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = forest.score(out.scaled(_matrix(batch), batch.column("n_words").to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array((s * SCORE_BINS).astype(np.int64)), batch.column("label")], ["bin", "label"])
+
+    got = rows.mapInArrow(scores, "bin long, label int").groupBy("bin").agg(F.sum((F.col("label") == 1).cast("long")).alias("ok"), F.count(F.lit(1)).alias("k")).toPandas().sort_values("bin")
+    release(rows)
+    ok = got["ok"].to_numpy(np.int64)
+    threshold = threshold_from_counts((got["bin"].to_numpy(np.float64) + 0.5) / SCORE_BINS, ok, got["k"].to_numpy(np.int64) - ok)
+    return Calibration(centre, scale, forest, threshold)
+
+
+def apply_rules(docs: DataFrame, labels: DataFrame, trees: int = 200, subsample: int = 64, seed: int = 7) -> DataFrame:
     """docs without text, with the counts, base_failed, anomaly (score) and kept.
 
     docs needs doc_id and text, labels doc_id and quality (1 good, 0 bad, null
     unused); other columns pass through unless a result has their name.  A null
     or empty text has no words and fails; an empty docs gives an empty result;
     without usable labels only the hard rules decide.  Rows that repeat a doc_id are
-    judged each by its own text; texts of any length are read whole.
+    judged each by its own text; texts of any length are read whole, once: their
+    statistics are written as a work table.
     """
-    model = calibrate(docs, labels, rows, trees, subsample, seed)
-    stats = with_statistics(docs.drop("base_failed", "anomaly", "kept")).withColumn("base_failed", base_failed())
+    stats = materialize(with_statistics(docs.drop("base_failed", "anomaly", "kept")), "statistics")
+    model = calibrate(stats, labels, trees, subsample, seed)
+    stats = stats.withColumn("base_failed", base_failed())
     if model is None:
         return stats.drop("ratios").withColumn("anomaly", F.lit(0.5)).withColumn("kept", ~F.col("base_failed"))
 
@@ -153,4 +239,4 @@ def apply_rules(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, tre
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") <= model.threshold))
 
 
-__all__ = ["COUNTS", "RATIOS", "Calibration", "IsolationForest", "apply_rules", "base_failed", "calibrate", "mean_path", "threshold_from_labels"]
+__all__ = ["COUNTS", "RATIOS", "Calibration", "IsolationForest", "apply_rules", "base_failed", "calibrate", "mean_path", "quantiles", "threshold_from_counts", "threshold_from_labels"]

@@ -157,6 +157,27 @@ def test_isolation_forest():
     assert 0.2 < anomaly.threshold_from_labels(np.array([0.1, 0.2, 0.9]), np.array([True, True, False])) < 0.9
 
 
+def test_rules_learn_from_all_labelled_rows(spark):
+    """Order statistics of all rows, and a forest whose path lengths are those of all rows."""
+    rng = np.random.default_rng(5)
+    x = np.round(rng.gamma(1.0, 0.2, (15_000, len(docstats.RATIOS))), 3)
+    bad = np.arange(len(x)) % 100 == 7
+    x[bad] += 3
+    rows = spark.createDataFrame([(i, 300, 0, 0, 0, 0, r) for i, r in enumerate(x.tolist())], f"doc_id long, {', '.join(f'{c} long' for c in docstats.COUNTS)}, ratios array<double>").repartition(5)
+    labels = spark.createDataFrame([(i, int(not b)) for i, b in enumerate(bad.tolist())], "doc_id long, quality int")
+    got = anomaly.calibrate(rows, labels, trees=20)
+    at = lambda v, share: np.sort(v, axis=0)[int(share * (len(v) - 1))]
+    assert np.array_equal(got.centre, at(x, 0.5))
+    assert np.array_equal(got.scale, np.maximum(at(np.abs(x - got.centre), 0.75), 1e-3))
+    scaled = got.scaled(x, np.full(len(x), 300))
+    for length, node in zip(got.forest.length, got.forest.leaves(scaled), strict=True):
+        k = np.bincount(node, minlength=len(length))
+        assert np.allclose(length[k > 0], (np.floor(np.log2(np.arange(len(k)) + 1)) + anomaly.mean_path(k / len(x) * 64))[k > 0])
+    score = got.score(x, np.full(len(x), 300))
+    assert abs(got.threshold - anomaly.threshold_from_labels(score, ~bad)) < 1e-4
+    assert (score[bad] > got.threshold).all()
+
+
 def test_rules_keep_good_and_reject_bad(spark):
     d, lab = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     m = anomaly.apply_rules(d, lab).join(lab, "doc_id").where("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("k")).collect()
